@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytebpe, jaccard, packing, quality, secretscan, tokencounts, toxicity, warc
+from . import ann, bytebpe, jaccard, packing, quality, secretscan, suffixdedup, tokencounts, toxicity, warc
 
 WORD_BPE_END = 49407
 
@@ -41,6 +41,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.remove_repeats(spark, _table(spark, sf_dir, "documents"), 50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -59,5 +64,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), WORD_BPE_END).select("doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_warc, op4_byte_bpe, op5_packing, op7_quality_rules, op8_toxicity, op9_cross_polytope, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_warc, op4_byte_bpe, op5_packing, op6_suffix_dedup, op7_quality_rules, op8_toxicity, op9_cross_polytope, op10_token_counts)}
+ORACLE_SQL = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        t AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS target FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN target <> page_id THEN target END AS refers_to
+        FROM t
+    """,
+    "op1_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))
+                                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh
+            FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        pairs AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS c
+            FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+        edges AS (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
+        walk AS (SELECT doc_id AS id, doc_id AS reach FROM s UNION SELECT walk.id, edges.v FROM walk JOIN edges ON walk.reach = edges.u)
+        SELECT s.doc_id, any_value(len(sh))::BIGINT AS n_shingles, min(reach) AS component_id FROM s JOIN walk ON walk.id = s.doc_id GROUP BY s.doc_id
+    """.replace("\\\\", "\\"),
+}

@@ -113,15 +113,26 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: EntropyRules =
     return F.struct(base.alias("base"), tagged(found, 3).alias("found"))
 
 
+def _all_spans(base: Column, extra: Column) -> Column:
+    added = F.filter(extra, lambda e: ~F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    return F.array_sort(F.concat(base, added))
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: EntropyRules = EntropyRules()) -> DataFrame:
     """(id, base, spans): the pattern spans, and all spans with those that entropy adds, each sorted.
 
     One row per input row, repeated rows included; other columns are left out.
     """
-    found = docs.select(F.col(id_col), find_secrets(docs, text_col, rules).alias("f"))
-    base, extra = F.array_sort("f.base"), F.col("f.found")
-    added = F.filter(extra, lambda e: ~F.exists(F.col("base"), lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return found.select(id_col, "f", base.alias("base")).select(id_col, "base", F.array_sort(F.concat(F.col("base"), added)).alias("spans"))
+    found = docs.select(F.col(id_col), find_secrets(docs, text_col, rules).alias("f")).select(id_col, F.array_sort("f.base").alias("base"), F.col("f.found").alias("found"))
+    return found.select(id_col, "base", _all_spans(F.col("base"), F.col("found")).alias("spans"))
+
+
+def mask_secrets(docs: DataFrame, text_col: str = "text", rules: EntropyRules = EntropyRules(), mark: str = "<secret>") -> DataFrame:
+    """docs with each run of overlapping secrets in the texts replaced by the mark; null texts stay null."""
+    found = docs.withColumn("__secrets", find_secrets(docs, text_col, rules))
+    spans = _all_spans(F.col("__secrets")["base"], F.col("__secrets")["found"])
+    found = found.withColumn("__secrets", spans)
+    return found.select(*[redacted(docs[c].cast("string"), F.col("__secrets"), mark).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def redacted(text: Column, spans: Column, mark: str = "<secret>") -> Column:

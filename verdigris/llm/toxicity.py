@@ -35,10 +35,12 @@ class ToxicityParams:
     train_rows: int = 16_000
     positives: int = 600
     negatives: int = 6000
-    landmarks: int = 96
+    landmarks: int = 160
     least_texts: int = 3
     least_share: float = 0.6
-    penalty: float = 0.02
+    least_evidence: float = 7.0  # log likelihood ratio of a word's count in toxic texts
+    inserted: int = 2  # variants with an inserted letter that each bad word is trained with
+    penalty: float = 1e-5
 
 
 def _letters() -> np.ndarray:
@@ -132,6 +134,12 @@ def dense(units: list[str], columns: np.ndarray) -> np.ndarray:
 
 def train_words(good: list[str], bad: list[str], params: ToxicityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Subsequence slots, checks and weights, and the bias, of the machine that tells bad words from good ones."""
+    rng = np.random.default_rng(11)
+    variants = []
+    for word in bad:
+        for _ in range(params.inserted if len(word) >= 4 else 0):
+            at = int(rng.integers(1, len(word)))
+            variants.append(word[:at] + chr(int(rng.integers(97, 123))) + word[at:])
     third = params.landmarks // 3
     pool = bad[: 4 * params.landmarks]
     columns = np.unique(kernel_rows(pool + good[:third])[1])
@@ -144,11 +152,11 @@ def train_words(good: list[str], bad: list[str], params: ToxicityParams) -> tupl
     marks = np.concatenate([mapped[chosen], dense(good[:third], columns)])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    of = np.concatenate([dense(part, columns) @ marks.T @ root for part in (bad, good)])
+    of = np.concatenate([dense(part, columns) @ marks.T @ root for part in (bad + variants, good)])
     x = np.hstack([of, np.ones((len(of), 1))])
-    y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
-    cost = np.where(y > 0, 0.5 / max(1, len(bad)), 0.5 / max(1, len(good)))
-    w, keep = np.zeros(x.shape[1]), np.eye(x.shape[1]) * params.penalty * 0.1
+    y = np.concatenate([np.ones(len(bad) + len(variants)), -np.ones(len(good))])
+    cost = np.where(y > 0, 0.5 / (len(bad) + len(variants)), 0.5 / len(good))
+    w, keep = np.zeros(x.shape[1]), np.eye(x.shape[1]) * params.penalty
     keep[-1, -1] = 1e-6
     for _ in range(60):  # Newton steps on the squared hinge
         active = y * (x @ w) < 1
@@ -245,9 +253,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
 
     texts = written(spark, texts.select("id", "text", "toxic"), "labelled")
     # One text of each family of near copies (by its smallest shingle), so that copies don't make words look telling.
-    seen = texts.mapInArrow(to_words, "toxic int, family long, words array<string>").dropDuplicates(["family"])
+    seen = written(spark, texts.mapInArrow(to_words, "toxic int, family long, words array<string>").dropDuplicates(["family"]), "families")
     counted = written(spark, seen.select("toxic", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")), "words")
-    bad = [r["word"] for r in counted.where((F.col("t") >= params.least_texts) & (F.col("t") >= params.least_share * F.col("n"))).orderBy(F.desc(F.col("t") * F.col("t") / F.col("n")), "word").limit(params.positives).collect()]
+    share = seen.agg(F.avg("toxic")).first()[0] or 0.0
+    by_chance = F.col("n") * max(share, 1e-6)
+    evidence = F.col("t") * F.log(F.col("t") / by_chance) - (F.col("t") - by_chance)
+    marked = counted.where((F.col("t") >= params.least_texts) & (F.col("t") >= params.least_share * F.col("n"))).where(evidence >= params.least_evidence)
+    bad = [r["word"] for r in marked.orderBy(F.desc(evidence), "word").limit(params.positives).collect()]
     clean = counted.where("4 * t <= n")
     good = [r["word"] for r in clean.orderBy(F.desc("n"), "word").limit(params.negatives // 3).collect()] + [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(params.negatives // 3).collect()]
     if not bad or not good:
@@ -295,3 +307,16 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows whose text isn't predicted toxic, all columns as they were."""
+    text_at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = WordScorer(model.slots, model.checks, model.weights, model.bias)
+        for batch in batches:
+            for lo, hi, x in text_features(batch.column(text_at), scorer):
+                yield batch.slice(lo, hi - lo).filter(pa.array(model.probabilities(x) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
