@@ -1,4 +1,4 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import evaluation, evidence, text  # noqa: F401  they register on import
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
