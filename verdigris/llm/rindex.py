@@ -14,6 +14,14 @@ import numpy as np
 WORD = 7
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    ranked = key[order]
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], (ranked[1:] != ranked[:-1]).astype(np.int64))))
+    return rank
+
+
 def _suffix_array(symbols: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order (equal ones by position) and the packed words, by doubling until no string is longer."""
     n = len(symbols)
@@ -24,23 +32,16 @@ def _suffix_array(symbols: np.ndarray, longest: int) -> tuple[np.ndarray, np.nda
         here = np.where(open_, padded[i : i + n], np.uint64(0))
         open_ &= here > 0
         packed = packed << np.uint64(9) | here
-    order = np.argsort(packed, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
-    key = packed[order]
-    rank[order] = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
+    rank = _ranks(packed)
     ends = np.flatnonzero(symbols == 0)
     end_of = np.repeat(ends, np.diff(np.concatenate(([-1], ends))))
     width = WORD
-    while width <= longest and rank[order[-1]] < n - 1:
+    while width <= longest:
         ahead = np.arange(n) + width
         second = np.where(ahead <= end_of, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        key = rank * np.int64(n + 2) + second
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
+        rank = _ranks(rank * np.int64(n + 2) + second)
         width *= 2
-    return order, packed
+    return np.argsort(rank * np.int64(n) + np.arange(n)), packed
 
 
 class RunIndex:
@@ -61,10 +62,11 @@ class RunIndex:
         starts = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         self.starts, self.heads = starts, before[starts]
         stops = np.append(starts[1:], n) - 1
+        self.stops = stops
         self.sample_first, self.sample_last = order[starts], order[stops]
         # LF of a run's first row: smaller bytes in the text, and the same byte in runs before.
         sizes = stops - starts + 1
-        by_byte = np.argsort(self.heads, kind="stable")
+        by_byte = np.argsort(self.heads, kind="stable")  # 16-bit keys: a radix sort
         self.lf = np.empty(len(starts), dtype=np.int64)
         self.lf[by_byte] = np.cumsum(sizes[by_byte]) - sizes[by_byte]
         self.byte_runs = self.heads[by_byte].astype(np.int64) * (len(starts) + 1) + by_byte
@@ -130,8 +132,7 @@ class RunIndex:
                 found = has_after | has_before
                 new_run = np.where(use_down, next_run, prev_run)
                 run[jump] = np.where(found, new_run, run[jump])
-                stops = np.append(self.starts[1:], len(self.packed)) - 1
-                row[jump] = np.where(use_down, self.starts[new_run], stops[new_run])
+                row[jump] = np.where(use_down, self.starts[new_run], self.stops[new_run])
                 at[jump] = np.where(use_down, self.sample_first[new_run], self.sample_last[new_run])
                 match[jump] = np.maximum(up, down)
             ok = np.ones(live, dtype=bool)

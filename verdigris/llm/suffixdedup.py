@@ -2,9 +2,9 @@
 
 Every window of `long` bytes belongs to the least hash among its `GRAM`-byte strings. Runs of windows with one such
 anchor make a short string, and strings are dealt out by anchor, so all occurrences of a window meet in one task,
-however far apart their documents are; none needs another task's text. There, anchors seen in one document only
-are done; the strings of the others form a run-compressed index, and their matching statistics, streamed
-through it, tell the smallest document that holds each window.
+however far apart their documents are; none needs another task's text. There, strings are trimmed to windows whose
+fingerprint occurs again; what is left forms a run-compressed index, and the matching statistics of the same
+strings, streamed through it, tell the smallest document that holds each window.
 """
 
 from __future__ import annotations
@@ -34,8 +34,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    a = np.lib.stride_tricks.as_strided(data[: len(data) - 7].view(np.uint8), (len(data) - 7, 8), (data.strides[0], data.strides[0]))
-    words = np.ascontiguousarray(a).view(np.uint64).ravel()
+    raw = data.tobytes() + bytes(8)
+    words = np.empty(len(data) + 1, dtype=np.uint64)
+    for i in range(8):
+        part = np.frombuffer(raw, dtype="<u8", count=(len(raw) - i) // 8, offset=i)
+        words[i::8] = part[: len(words[i::8])]
     x = words[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (words[GRAM - 8 : GRAM - 8 + n] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -55,19 +58,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def cut_strings(data: np.ndarray, offsets: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start in the row's text, windows, anchor) of the strings that hold all windows of all texts."""
     anchors = sliding_min(gram_hashes(data), long - GRAM + 1)[: max(0, len(data) - long + 1)]
-    row = np.repeat(np.arange(len(offsets) - 1), np.maximum(np.diff(offsets) - long + 1, 0))
-    if not len(row):
+    n = len(anchors)
+    sizes = np.diff(offsets)
+    if not n or not (sizes >= long).any():
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    counts = np.maximum(np.diff(offsets) - long + 1, 0)
-    first = np.cumsum(counts) - counts
-    at = np.arange(len(row)) - first[row] + offsets[row]
-    anchor = anchors[at]
-    new = np.concatenate(([True], (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])))
+    new = np.empty(n, dtype=bool)
+    new[0], new[1:] = True, anchors[1:] != anchors[:-1]
+    new[offsets[:-1][offsets[:-1] < n]] = True
     begins = np.flatnonzero(new)
-    deep = np.arange(len(row)) - begins[np.cumsum(new) - 1]
-    begins = np.flatnonzero(deep % RUN == 0)
-    windows = np.diff(np.append(begins, len(row)))
-    return row[begins], at[begins] - offsets[row[begins]], windows, anchor[begins]
+    row = np.searchsorted(offsets, begins, side="right") - 1
+    last = offsets[row + 1] - long + 1  # windows of the row end here
+    begins, row, last = (x[begins < last] for x in (begins, row, last))
+    ends = np.minimum(np.append(begins[1:], n), last)
+    pieces = -(-(ends - begins) // RUN)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    row, ends, begins = np.repeat(row, pieces), np.repeat(ends, pieces), np.repeat(begins, pieces) + nth * RUN
+    return row, begins - offsets[row], np.minimum(ends - begins, RUN), anchors[begins]
 
 
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -75,47 +81,67 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[np.arange(int(done[-1]) if len(done) else 0) + np.repeat(starts - done + lengths, lengths)]
 
 
-def _packed(ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, strings: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
-    return press.compress(np.int64(len(ids)).tobytes() + ids.astype("<i8").tobytes() + starts.astype("<i8").tobytes() + windows.astype(np.uint8).tobytes() + strings.tobytes())
+def _packed(ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, anchors: np.ndarray, strings: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    tags = (anchors & np.uint64(0xFFFFFFFF)).astype("<u4")
+    return press.compress(b"".join([np.int64(len(ids)).tobytes(), ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), tags.tobytes(), windows.astype(np.uint8).tobytes(), strings.tobytes()]))
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    return np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n), np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64), np.frombuffer(raw, np.uint8, -1, 8 + 17 * n)
+    n, at, out = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
+    for kind in ("<i8", "<i8", "<u4", "u1"):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return *out, np.frombuffer(raw, np.uint8, -1, at)
 
 
-def removals(ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, strings: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, begin, end) of byte runs to remove, from all strings of some anchors."""
+def removals(ids: np.ndarray, starts: np.ndarray, anchors: np.ndarray, windows: np.ndarray, strings: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, begin, end) of byte runs to remove, from all strings of some anchors.
+
+    Strings whose anchor is in one document only, and windows whose fingerprint is alone, can't repeat; the strings
+    are trimmed to what lies between the other windows, and only those go into the index.
+    """
+    none = (np.zeros(0, np.int64),) * 3
+    windows = windows.astype(np.int64)
     lengths = windows + long - 1
-    offsets = np.concatenate(([0], np.cumsum(lengths)))
-    anchor = sliding_min(gram_hashes(strings), long - GRAM + 1)[offsets[:-1]]
-    _, group = np.unique(anchor, return_inverse=True)
-    low, high = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
-    np.minimum.at(low, group, ids)
-    np.maximum.at(high, group, ids)
-    use = np.flatnonzero((low < high)[group])
+    offsets = np.cumsum(lengths) - lengths
+    order = np.argsort(anchors)
+    group = np.flatnonzero(np.concatenate(([True], anchors[order][1:] != anchors[order][:-1])))
+    differ = np.minimum.reduceat(ids[order], group) < np.maximum.reduceat(ids[order], group)
+    use = np.sort(order[np.repeat(differ, np.diff(np.append(group, len(order))))])
     if not len(use):
-        return (np.zeros(0, np.int64),) * 3
-    _, first, variant = np.unique(Hasher(strings)(offsets[use], offsets[use + 1]), return_index=True, return_inverse=True)
-    owner = np.full(len(first), np.iinfo(np.int64).max)
+        return none
+    ids, starts, windows, lengths, offsets = (x[use] for x in (ids, starts, windows, lengths, offsets))
+    strings = gather(strings, offsets, lengths)
+    offsets = np.cumsum(lengths) - lengths
+    own = np.repeat(np.arange(len(ids)), windows)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = offsets[own] + nth
+    prints = Hasher(strings)(at, at + long)
+    ranked = np.sort(prints)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if not len(twice):
+        return none
+    open_ = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, prints), len(twice) - 1)] == prints)
+    own, nth = own[open_], nth[open_]
+    lead = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    use, first, last = own[lead], nth[lead], nth[np.append(lead[1:], len(own)) - 1]
+    begins, sizes = offsets[use] + first, last - first + long
+    _, one, variant = np.unique(Hasher(strings)(begins, begins + sizes), return_index=True, return_inverse=True)
+    owner = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(owner, variant, ids[use])
-    kept = use[first]
-    texts, sizes = gather(strings, offsets[kept], lengths[kept]), lengths[kept]
+    texts, sizes = gather(strings, begins[one], sizes[one]), sizes[one]
     _, least = RunIndex(texts, sizes, owner, long).matching_statistics(texts, sizes, long)
-    begin = np.concatenate(([0], np.cumsum(sizes)))
+    place = np.cumsum(sizes) - sizes
     # Each occurrence: the windows whose smallest document is smaller than its own.
-    counts = windows[use]
-    own = np.repeat(np.arange(len(use)), counts)
-    nth = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-    gone = least[begin[variant[own]] + nth] < ids[use][own]
+    string = np.repeat(np.arange(len(use)), np.diff(np.append(lead, len(own))))
+    gone = least[place[variant[string]] + nth - first[string]] < ids[own]
     own, nth = own[gone], nth[gone]
     if not len(own):
-        return (np.zeros(0, np.int64),) * 3
-    new = np.concatenate(([True], (own[1:] != own[:-1]) | (nth[1:] != nth[:-1] + 1)))
-    last = np.append(np.flatnonzero(new)[1:], len(own)) - 1
-    own_new = own[new]
-    return ids[use][own_new], starts[use][own_new] + nth[new], starts[use][own_new] + nth[last] + long
+        return none
+    new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (nth[1:] != nth[:-1] + 1))))
+    last = np.append(new[1:], len(own)) - 1
+    return ids[own[new]], starts[own[new]] + nth[new], starts[own[new]] + nth[last] + long
 
 
 def _gone(spans: pa.ListScalar, size: int) -> np.ndarray:
@@ -157,12 +183,12 @@ class SuffixDedup:
                         continue
                     bucket = (mix(anchor) % np.uint64(buckets)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
-                    row, start, windows, bucket = row[order], start[order], windows[order], bucket[order]
+                    row, start, windows, anchor, bucket = (x[order] for x in (row, start, windows, anchor, bucket))
                     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
                     blobs = []
                     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                         strings = gather(data, offsets[row[a:b]] + start[a:b], windows[a:b] + long - 1)
-                        blobs.append(_packed(ids[lo + row[a:b]], start[a:b], windows[a:b], strings, press))
+                        blobs.append(_packed(ids[lo + row[a:b]], start[a:b], windows[a:b], anchor[a:b], strings, press))
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "strings"])
 
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
