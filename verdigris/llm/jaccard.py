@@ -27,6 +27,8 @@ from .shared import written
 
 #: Sets that meet one probe in a task, and members of a signature compared in a task (squared).
 TRIE_SETS, BLOCK_SETS = 256, 1024
+#: Sets, and members of signatures, that a task takes at once: many small groups, or one of the largest.
+TASK_SETS, TASK_ROWS = 1024, 16_384
 #: Candidate ids are broadcast up to this many rows (8 bytes each); beyond it texts are shuffled to them.
 BROADCAST_ROWS = 1 << 20
 
@@ -192,7 +194,7 @@ class NgramJaccard:
 
         return run
 
-    def _signatures(self) -> DataFrame:
+    def _signatures(self, copies: DataFrame) -> DataFrame:
         k, t = self.k, self.t
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +204,9 @@ class NgramJaccard:
                     rows, sigs = part_signatures(elements, offsets, t)
                     yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(ids[lo + rows])], names=["sig", "id"])
 
-        return self.docs.where("id IS NOT NULL").mapInArrow(run, "sig long, id long")
+        docs = self.docs.where("id IS NOT NULL")
+        docs = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti")
+        return docs.mapInArrow(run, "sig long, id long")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that link, with their overlap."""
@@ -223,15 +227,19 @@ class NgramJaccard:
                     yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())], names=["id", "elements"])
 
         def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-            asks = pdf["asks"].to_numpy(dtype=bool)
-            members = pdf[~asks].drop_duplicates(["id", "elements"])
-            ids = members["id"].to_numpy()
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in members["elements"]]
-            out = [(int(p), int(ids[i]), n) for p, x in zip(pdf["id"][asks], pdf["elements"][asks]) for i, n in trie_matches(np.frombuffer(x, dtype=np.uint64), sets, t)]
+            out = []
+            for _, group in pdf.groupby(["probe", "cut"], sort=False).indices.items():
+                asks = pdf["asks"].to_numpy(dtype=bool)[group]
+                ids, raw = pdf["id"].to_numpy()[group], pdf["elements"].to_numpy()[group]
+                members = dict(zip(zip(ids[~asks].tolist(), raw[~asks]), raw[~asks]))
+                names, sets = [i for i, _ in members], [np.frombuffer(x, dtype=np.uint64) for x in members.values()]
+                for p, x in dict(zip(zip(ids[asks].tolist(), raw[asks]), raw[asks])).items():
+                    out += [(p[0], names[i], n) for i, n in trie_matches(np.frombuffer(x, dtype=np.uint64), sets, t)]
             return pd.DataFrame(out, columns=["a", "b", "overlap"])
 
         held = texts.mapInArrow(to_sets, "id long, elements binary").join(wanted, "id")
-        return held.groupBy("probe", "cut").applyInPandas(walk, "a long, b long, overlap long")
+        deal = max(1, -(-wanted.count() // TASK_SETS))
+        return held.groupBy(F.pmod(F.xxhash64("probe", "cut"), F.lit(deal)).alias("deal")).applyInPandas(walk, "a long, b long, overlap long")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(links, membership): verified links (a, b) between class representatives, enough to connect every class,
@@ -240,11 +248,12 @@ class NgramJaccard:
         t = self.t
         reps = self.summary.where("id IS NOT NULL AND n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
         membership = self.summary.select("id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+        membership = written(self.spark, membership, "membership")
+        sigs = self._signatures(membership.where("id <> rep").select("id").distinct())
         sketches = self.summary.join(reps.select(F.col("rep").alias("id"), "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])
         sketches = written(self.spark, sketches, "sketches")
-        sigs = self._signatures()
         ends = sigs.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-        shared = sigs.join(ends.drop("hi"), "sig").join(sketches.select("id"), "id", "left_semi")
+        shared = sigs.join(ends.drop("hi"), "sig")
         shared = written(self.spark, shared, "shared-signatures")
         # The first partner of each set: of the smallest ids at its signatures, the one that most of them have.
         met = shared.where("id <> lo").groupBy("id", "lo").agg(F.count(F.lit(1)).alias("votes"))
@@ -255,27 +264,36 @@ class NgramJaccard:
         placed = shared.select("sig", "id").join(classes, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
         placed = written(self.spark, placed, "placed")
         open_ = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1")
-        open_ = open_.select("sig", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("cuts"))
-        rows = placed.join(open_, "sig").join(sketches, "id")
+        open_ = open_.select("sig", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("cuts"), (F.col("size") * F.ceil(F.col("size") / BLOCK_SETS)).alias("rows"))
+        open_ = written(self.spark, open_, "open-signatures")
+        rows = placed.join(open_.select("sig", "cuts"), "sig").join(sketches, "id")
         rows = rows.select("sig", "id", "component", "n", "sketch", F.pmod(F.xxhash64("id"), "cuts").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
         rows = rows.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component", "n", "sketch", "own")
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-            ids, comps, n, own = (pdf[c].to_numpy() for c in ("id", "component", "n", "own"))
-            least = pdf["sketch"].map(len).min()
-            bits = np.stack([_folded(s, least) for s in pdf["sketch"]])
-            side = np.flatnonzero(own == y)
-            a, b = [], []
-            for i in np.flatnonzero(own == x):
-                j = side[(comps[side] != comps[i]) & ((x != y) | (ids[side] > ids[i]))]
-                j = j[t.den * np.minimum(n[j], n[i]) >= t.num * np.maximum(n[j], n[i])]
-                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= t.most_different(n[j] + n[i])]
-                a.append(np.minimum(ids[i], ids[j]))
-                b.append(np.maximum(ids[i], ids[j]))
-            return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}).drop_duplicates()
-
-        left = rows.groupBy("sig", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+            keys = pdf[["sig", "x", "y"]].to_numpy()
+            order = np.lexsort(keys.T)
+            edges = np.flatnonzero(np.concatenate(([True], (keys[order][1:] != keys[order][:-1]).any(axis=1), [True])))
+            ids, comps, n, own, sketches = (pdf[c].to_numpy()[order] for c in ("id", "component", "n", "own", "sketch"))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                x, y = keys[order[lo], 1:]
+                here = np.arange(lo, hi)
+                least = min(len(s) for s in sketches[lo:hi])
+                bits = np.stack([_folded(s, least) for s in sketches[lo:hi]]).view(np.uint64)
+                side = here[own[lo:hi] == y]
+                for i in here[own[lo:hi] == x].tolist():
+                    j = side[(comps[side] != comps[i]) & ((x != y) | (side > i))]
+                    j = j[t.den * np.minimum(n[j], n[i]) >= t.num * np.maximum(n[j], n[i])]
+                    if len(j):
+                        j = j[np.bitwise_count(bits[j - lo] ^ bits[i - lo]).sum(axis=1, dtype=np.int64) <= t.most_different(n[j] + n[i])]
+                        a.append(np.minimum(ids[i], ids[j]))
+                        b.append(np.maximum(ids[i], ids[j]))
+            return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+        deal = max(1, -(-(open_.agg(F.sum("rows")).first()[0] or 0) // TASK_ROWS))
+        rows = rows.withColumn("deal", F.pmod(F.xxhash64("sig", "x", "y"), F.lit(deal)))
+        left = rows.groupBy("deal").applyInPandas(compare, "a long, b long").distinct()
         left = written(self.spark, left, "open-pairs")
         more = written(self.spark, self._verified(left), "links")
         return first.unionByName(more), membership
