@@ -8,16 +8,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .arrays import Hasher, chunks, words
+from .arrays import LOWER, Hasher, chunks, words
 
-#: Entries of the table of runs in a Python worker; a full table is emptied.
-TABLE_ENTRIES = 1_000_000
+#: Runs known to a Python worker at most; a full table is emptied.
+TABLE_ENTRIES = 2_000_000
+#: Bytes of text encoded at once.
+TEXT_BYTES = 1 << 20
+#: Runs encoded in one call.
+CALL_RUNS = 4096
+
+
+def _split_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A full stop or comma after an a-z letter at the end of a run is a run of its own, as it is to the tokenizer."""
+    last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+    cut = np.flatnonzero((ends - starts > 1) & ((last == ord(".")) | (last == ord(","))) & (before >= ord("a")) & (before <= ord("z")))
+    marks = ends[cut] - 1
+    kept = ends.copy()
+    kept[cut] = marks
+    return np.insert(starts, cut + 1, marks), np.insert(kept, cut + 1, marks + 1), np.insert(rows, cut + 1, rows[cut])
 
 
 class WordTokens:
     """Texts are cut at ASCII blanks: the tokenizer drops white space and never merges across it.
 
-    The ids of all known runs lie in one pool; a run is found by its 64-bit hash.
+    A run is known by its 64-bit hash. Hashes are kept sorted, with the place of each run's ids in one pool.
     """
 
     def __init__(self, path: str):
@@ -29,39 +43,49 @@ class WordTokens:
         self.empty()
 
     def empty(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool = np.zeros(1 << 20, dtype=np.uint32)
-        self.start = np.zeros(1 << 18, dtype=np.int64)
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.place = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int32)
+        self.pool = np.zeros(1 << 20, dtype=np.uint16)
         self.used = 0
 
-    def learn(self, keys: list[int], runs: list[str]) -> None:
-        for i in range(0, len(runs), 20_000):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(runs[i : i + 20_000], add_special_tokens=False)]
-            ids = np.array([t for f in found for t in f], dtype=np.uint32)
-            at = len(self.known)
+    def learn(self, keys: np.ndarray, runs: list[str]) -> None:
+        """keys ascending, and not known yet."""
+        sizes = np.zeros(len(runs), dtype=np.int32)
+        start = self.used
+        for lo in range(0, len(runs), CALL_RUNS):
+            part = runs[lo : lo + CALL_RUNS]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, begins = np.array(found.ids, dtype=np.uint16), np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            lengths = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1
+            run = np.searchsorted(np.cumsum(lengths) - lengths, begins, side="right") - 1
+            sizes[lo : lo + len(part)] = np.bincount(run, minlength=len(part))
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while at + len(found) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.pool[self.used : self.used + len(ids)] = ids
-            self.start[at + 1 : at + 1 + len(found)] = self.used + np.cumsum([len(f) for f in found])
             self.used += len(ids)
-            self.known.update(zip(keys[i : i + 20_000], range(at, at + len(found))))
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.place = np.insert(self.place, at, start + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, at, sizes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each text has."""
-        starts, ends, rows = words(data, offsets)
+        data = LOWER[data]
+        starts, ends, rows = _split_marks(data, *words(data, offsets))
         keys, first, where = np.unique(Hasher(data)(starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > TABLE_ENTRIES:
+        if len(self.keys) + len(keys) > TABLE_ENTRIES:
             self.empty()
-        keys = keys.tolist()
-        if new := [i for i, k in enumerate(keys) if k not in self.known]:
-            raw, at = data.tobytes(), first[new]
-            self.learn([keys[i] for i in new], [raw[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-        run = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[where]
-        begin, count = self.start[run], self.start[run + 1] - self.start[run]
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            raw, of = data.tobytes(), first[new]
+            self.learn(keys[new], [raw[a:b].decode("utf-8") for a, b in zip(starts[of].tolist(), ends[of].tolist())])
+            at = np.searchsorted(self.keys, keys)
+        run = at[where]
+        begin, count = self.place[run], self.size[run].astype(np.int64)
         done = np.cumsum(count)
-        ids = self.pool[np.arange(done[-1] if len(done) else 0) + np.repeat(begin - done + count, count)]
+        ids = self.pool[np.arange(done[-1] if len(done) else 0) + np.repeat(begin - done + count, count)].astype(np.uint32)
         return ids, np.bincount(rows, weights=count, minlength=len(offsets) - 1).astype(np.int64)
 
 
@@ -78,7 +102,7 @@ def word_tokens(path: str) -> WordTokens:
 def encoded(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, offsets of rows in ids) over chunks; each text's ids end in end_id."""
     tokens = word_tokens(path)
-    for lo, hi, data, offsets in chunks(column):
+    for lo, hi, data, offsets in chunks(column, TEXT_BYTES):
         ids, count = tokens.encode(data, offsets)
         bounds = np.concatenate(([0], np.cumsum(count)))
         yield lo, hi, np.insert(ids, bounds[1:], end_id), bounds + np.arange(hi - lo + 1)
