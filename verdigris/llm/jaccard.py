@@ -247,7 +247,7 @@ class NgramJaccard:
         """
         t = self.t
         reps = self.summary.where("id IS NOT NULL AND n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
-        membership = self.summary.select("id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+        membership = self.summary.select("id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
         membership = written(self.spark, membership, "membership")
         sigs = self._signatures(membership.where("id <> rep").select("id").distinct())
         sketches = self.summary.join(reps.select(F.col("rep").alias("id"), "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])
