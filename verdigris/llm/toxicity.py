@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Hasher, chunks, mix, shingle_hashes, words
+from .arrays import SLICE_ROWS, Hasher, chunks, mix, shingle_hashes, words
 from .shared import written
 
 DECAY, PAIR_GAP, TRIPLE_SPAN = 0.6, 3, 5
@@ -171,23 +171,24 @@ def train_words(good: list[str], bad: list[str], params: ToxicityParams) -> tupl
 
 def _units(column: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
     """(first row, end row, distinct words, which word, its row) over chunks, runs of single letters added."""
-    lower = pa.array([(t or "").lower() for t in column.to_pylist()], pa.large_string())
-    for lo, hi, data, offsets in chunks(lower):
-        starts, ends, rows = words(data, offsets)
-        raw = data.tobytes()
-        _, first, which = np.unique(Hasher(data)(starts, ends), return_index=True, return_inverse=True)
-        units = [raw[a:b].decode("utf-8", "replace").replace("\n", "") for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        single = np.concatenate(([False], chars[ends] - chars[starts] == 1, [False]))
-        turn = np.flatnonzero(single[1:] != single[:-1])
-        more, more_rows = [], []
-        for a, b in zip(turn[::2].tolist(), turn[1::2].tolist()):
-            for r in np.unique(rows[a:b]):
-                at = np.arange(a, b)[rows[a:b] == r]
-                if len(at) >= 3:
-                    more.append(raw[starts[at[0]] : ends[at[-1]]].decode("utf-8", "replace").replace("\n", " "))
-                    more_rows.append(r)
-        yield lo, hi, units + more, np.concatenate([which, np.arange(len(units), len(units) + len(more))]).astype(np.int64), np.concatenate([rows, np.array(more_rows, dtype=np.int64)])
+    for at in range(0, len(column), SLICE_ROWS):
+        lower = pa.array([(t or "").lower() for t in column[at : at + SLICE_ROWS].to_pylist()], pa.large_string())
+        for lo, hi, data, offsets in chunks(lower):
+            starts, ends, rows = words(data, offsets)
+            raw = data.tobytes()
+            _, first, which = np.unique(Hasher(data)(starts, ends), return_index=True, return_inverse=True)
+            units = [raw[a:b].decode("utf-8", "replace").replace("\n", "") for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            single = np.concatenate(([False], chars[ends] - chars[starts] == 1, [False]))
+            turn = np.flatnonzero(single[1:] != single[:-1])
+            more, more_rows = [], []
+            for a, b in zip(turn[::2].tolist(), turn[1::2].tolist()):
+                for r in np.unique(rows[a:b]):
+                    run = np.arange(a, b)[rows[a:b] == r]
+                    if len(run) >= 3:
+                        more.append(raw[starts[run[0]] : ends[run[-1]]].decode("utf-8", "replace").replace("\n", " "))
+                        more_rows.append(r)
+            yield at + lo, at + hi, units + more, np.concatenate([which, np.arange(len(units), len(units) + len(more))]).astype(np.int64), np.concatenate([rows, np.array(more_rows, dtype=np.int64)])
 
 
 def text_features(column: pa.Array, scorer: WordScorer) -> Iterator[tuple[int, int, np.ndarray]]:
