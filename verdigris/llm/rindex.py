@@ -10,40 +10,54 @@ from __future__ import annotations
 
 import numpy as np
 
+from .arrays import Hasher
+
 #: Symbols packed in a comparison word, of 9 bits: 0 ends a string, bytes are 1 to 256.
 WORD = 7
 
 
-def _ranks(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    ranked = key[order]
-    rank = np.empty(len(key), dtype=np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], (ranked[1:] != ranked[:-1]).astype(np.int64))))
-    return rank
-
+def _suffix_array(symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order (equal ones by position) and the packed words, by doubling.
 
-def _suffix_array(symbols: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order (equal ones by position) and the packed words, by doubling until no string is longer."""
+    left: bytes to the end of the string. A suffix's rank is the place of the first that is like it so far; only
+    suffixes that are like another and not at their end yet are looked at again.
+    """
     n = len(symbols)
     padded = np.concatenate([symbols.astype(np.uint64), np.zeros(WORD, np.uint64)])
     packed = np.zeros(n, dtype=np.uint64)
-    open_ = np.ones(n, dtype=bool)
     for i in range(WORD):  # nothing counts beyond the end of a string
-        here = np.where(open_, padded[i : i + n], np.uint64(0))
-        open_ &= here > 0
-        packed = packed << np.uint64(9) | here
-    rank = _ranks(packed)
-    ends = np.flatnonzero(symbols == 0)
-    end_of = np.repeat(ends, np.diff(np.concatenate(([-1], ends))))
-    width = WORD
-    while width <= longest:
-        ahead = np.arange(n) + width
-        second = np.where(ahead <= end_of, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        rank = _ranks(rank * np.int64(n + 2) + second)
+        packed = packed << np.uint64(9) | np.where(left >= i, padded[i : i + n], np.uint64(0))
+    rank, open_, key, width = np.zeros(n, dtype=np.int64), np.arange(n), packed, WORD
+    while len(open_):
+        order = np.argsort(key)
+        key, open_ = key[order], open_[order]
+        before = rank[open_]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        group = np.concatenate(([True], before[1:] != before[:-1]))
+        first, lead = np.flatnonzero(new), np.flatnonzero(group)
+        rank[open_] = before + first[np.cumsum(new) - 1] - lead[np.cumsum(group) - 1]
+        alone = new & np.append(new[1:], True)
+        open_ = open_[~alone & (left[open_] >= width)]
+        key = rank[open_] * np.int64(n + 1) + rank[open_ + width]
         width *= 2
     return np.argsort(rank * np.int64(n) + np.arange(n)), packed
 
 
+class Places:
+    """Which of the ascending starts a row is at or after: a bitmap with counts by 64 bits."""
+
+    def __init__(self, starts: np.ndarray, n: int):
+        flags = np.zeros((n // 64 + 1) * 64, dtype=bool)
+        flags[starts] = True
+        self.bits = np.packbits(flags, bitorder="little").view("<u8")
+        counts = np.bitwise_count(self.bits).astype(np.int64)
+        self.before = np.cumsum(counts) - counts - 1
+
+    def __call__(self, row: np.ndarray) -> np.ndarray:
+        word = row >> 6
+        return self.before[word] + np.bitwise_count(self.bits[word] << (63 - (row & 63)).astype(np.uint64))
+
+
 class RunIndex:
     """strings: the bytes of all strings end to end; lengths: of each; owners: a number of each.
 
@@ -56,8 +70,9 @@ class RunIndex:
         inside = np.ones(len(symbols), dtype=bool)
         inside[ends] = False
         symbols[inside] = strings.astype(np.uint16) + 1
-        order, self.packed = _suffix_array(symbols, int(lengths.max()) + 1)
-        n = len(order)
+        n = len(symbols)
+        self.left = np.repeat(ends, lengths + 1) - np.arange(n)  # bytes to the end of the string
+        order, self.packed = _suffix_array(symbols, self.left)
         before = np.concatenate(([0], symbols[:-1]))[order]  # a string's first byte follows an end
         starts = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         self.starts, self.heads = starts, before[starts]
@@ -71,31 +86,30 @@ class RunIndex:
         self.lf[by_byte] = np.cumsum(sizes[by_byte]) - sizes[by_byte]
         self.byte_runs = self.heads[by_byte].astype(np.int64) * (len(starts) + 1) + by_byte
         self.by_byte = by_byte
+        self.run_of = Places(starts, n)
         # Rows whose suffixes share `long` bytes are neighbours; each such interval keeps its least owner.
-        opens = np.concatenate(([True], self._common(order[1:], order[:-1], long) < long))
-        self.intervals = np.flatnonzero(opens)
-        of = np.repeat(np.arange(len(lengths)), lengths + 1)
-        self.least_owner = np.minimum.reduceat(owners[of[order]], self.intervals)
+        whole = np.flatnonzero(self.left >= long)
+        prints = np.zeros(n, dtype=np.uint64)
+        flat = whole - np.repeat(np.arange(len(lengths)), lengths + 1)[whole]
+        prints[whole] = Hasher(strings)(flat, flat + long)
+        opens = np.concatenate(([True], (prints[order[1:]] != prints[order[:-1]]) | (self.left[order[1:]] < long)))
+        intervals = np.flatnonzero(opens)
+        self.interval_of = Places(intervals, n)
+        self.least_owner = np.minimum.reduceat(np.repeat(owners, lengths + 1)[order], intervals)
 
-    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Common prefix lengths of suffixes, as far as most, ends of strings excluded."""
         n, total = len(self.packed), np.zeros(len(a), dtype=np.int64)
-        most = np.broadcast_to(np.asarray(most), total.shape)
         go = np.flatnonzero(total < most)
         while len(go):
             x, y = a[go] + total[go], b[go] + total[go]
-            u, v = self.packed[np.minimum(x, n - 1)], self.packed[np.minimum(y, n - 1)]
-            differ = u ^ v
-            full = (u & np.uint64(0x1FF)) > 0
-            equal = (differ == 0) & full
-            # The first differing or ending symbol of a word.
-            stop = np.full(len(go), WORD, dtype=np.int64)
-            for i in range(WORD):
-                shift = np.uint64(9 * (WORD - 1 - i))
-                bad = (stop == WORD) & ((((differ >> shift) & np.uint64(0x1FF)) > 0) | (((u >> shift) & np.uint64(0x1FF)) == 0))
-                stop[bad] = i
-            total[go] += stop
-            go = go[equal & (total[go] < most[go])]
+            differ = self.packed[np.minimum(x, n - 1)] ^ self.packed[np.minimum(y, n - 1)]
+            left = self.left[np.minimum(x, n - 1)]
+            same = np.zeros(len(go), dtype=np.int64)
+            for i in range(WORD):  # leading symbols that agree
+                same += differ < np.uint64(1 << 9 * i)
+            total[go] += np.minimum(same, left)
+            go = go[(same == WORD) & (left >= WORD) & (total[go] < most[go])]
         return np.minimum(total, most)
 
     def _step(self, run: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -117,7 +131,7 @@ class RunIndex:
             live = int(np.searchsorted(-sizes, -i, side="left"))
             row, at, match = row[:live], at[:live], match[:live]
             byte = strings[tails[:live] - 1 - i].astype(np.int64) + 1
-            run = np.searchsorted(self.starts, row, side="right") - 1
+            run = self.run_of(row)
             jump = np.flatnonzero(self.heads[run] != byte)
             if len(jump):
                 key = byte[jump] * (len(self.starts) + 1) + run[jump]
@@ -144,5 +158,5 @@ class RunIndex:
             where = tails[:live] - 1 - i
             length_at[where] = match
             far = np.flatnonzero(match >= long)
-            owner_at[where[far]] = self.least_owner[np.searchsorted(self.intervals, row[far], side="right") - 1]
+            owner_at[where[far]] = self.least_owner[self.interval_of(row[far])]
         return length_at, owner_at

@@ -81,6 +81,12 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[np.arange(int(done[-1]) if len(done) else 0) + np.repeat(starts - done + lengths, lengths)]
 
 
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0 .. count - 1 for each count, and whose they are."""
+    own = np.repeat(np.arange(len(counts)), counts)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _packed(ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, anchors: np.ndarray, strings: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
     tags = (anchors & np.uint64(0xFFFFFFFF)).astype("<u4")
     return press.compress(b"".join([np.int64(len(ids)).tobytes(), ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), tags.tobytes(), windows.astype(np.uint8).tobytes(), strings.tobytes()]))
@@ -98,8 +104,8 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
 def removals(ids: np.ndarray, starts: np.ndarray, anchors: np.ndarray, windows: np.ndarray, strings: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, begin, end) of byte runs to remove, from all strings of some anchors.
 
-    Strings whose anchor is in one document only, and windows whose fingerprint is alone, can't repeat; the strings
-    are trimmed to what lies between the other windows, and only those go into the index.
+    Strings whose anchor is in one document only, and windows whose fingerprint is alone, can't repeat; equal strings
+    are taken once, trimmed to what lies between the other windows, and only those go into the index.
     """
     none = (np.zeros(0, np.int64),) * 3
     windows = windows.astype(np.int64)
@@ -114,34 +120,45 @@ def removals(ids: np.ndarray, starts: np.ndarray, anchors: np.ndarray, windows:
     ids, starts, windows, lengths, offsets = (x[use] for x in (ids, starts, windows, lengths, offsets))
     strings = gather(strings, offsets, lengths)
     offsets = np.cumsum(lengths) - lengths
-    own = np.repeat(np.arange(len(ids)), windows)
-    nth = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = offsets[own] + nth
-    prints = Hasher(strings)(at, at + long)
-    ranked = np.sort(prints)
-    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-    if not len(twice):
-        return none
-    open_ = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, prints), len(twice) - 1)] == prints)
+    hashed = Hasher(strings)
+    _, one, variant = np.unique(hashed(offsets, offsets + lengths), return_index=True, return_inverse=True)
+    owner, most = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+    np.minimum.at(owner, variant, ids)
+    np.maximum.at(most, variant, ids)
+    own, nth = _each(windows[one])
+    at = offsets[one][own] + nth
+    prints = hashed(at, at + long)
+    order = np.argsort(prints)
+    same = prints[order[1:]] == prints[order[:-1]]
+    open_ = (owner < most)[own]
+    open_[order[1:][same]] = open_[order[:-1][same]] = True
     own, nth = own[open_], nth[open_]
+    if not len(own):
+        return none
     lead = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     use, first, last = own[lead], nth[lead], nth[np.append(lead[1:], len(own)) - 1]
-    begins, sizes = offsets[use] + first, last - first + long
-    _, one, variant = np.unique(Hasher(strings)(begins, begins + sizes), return_index=True, return_inverse=True)
-    owner = np.full(len(one), np.iinfo(np.int64).max)
-    np.minimum.at(owner, variant, ids[use])
-    texts, sizes = gather(strings, begins[one], sizes[one]), sizes[one]
-    _, least = RunIndex(texts, sizes, owner, long).matching_statistics(texts, sizes, long)
-    place = np.cumsum(sizes) - sizes
-    # Each occurrence: the windows whose smallest document is smaller than its own.
-    string = np.repeat(np.arange(len(use)), np.diff(np.append(lead, len(own))))
-    gone = least[place[variant[string]] + nth - first[string]] < ids[own]
+    begins, sizes = offsets[one][use] + first, last - first + long
+    _, trimmed, as_trimmed = np.unique(hashed(begins, begins + sizes), return_index=True, return_inverse=True)
+    least_id = np.full(len(trimmed), np.iinfo(np.int64).max)
+    np.minimum.at(least_id, as_trimmed, owner[use])
+    texts = gather(strings, begins[trimmed], sizes[trimmed])
+    _, least = RunIndex(texts, sizes[trimmed], least_id, long).matching_statistics(texts, sizes[trimmed], long)
+    place = (np.cumsum(sizes[trimmed]) - sizes[trimmed])[as_trimmed]
+    # Each occurrence of a string: the trimmed windows whose smallest document is smaller than its own.
+    nth_use = np.full(len(one), -1)
+    nth_use[use] = np.arange(len(use))
+    hit = np.flatnonzero(nth_use[variant] >= 0)
+    kind = nth_use[variant[hit]]
+    own, nth = _each((sizes - long + 1)[kind])
+    gone = least[place[kind][own] + nth] < ids[hit][own]
     own, nth = own[gone], nth[gone]
     if not len(own):
         return none
     new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (nth[1:] != nth[:-1] + 1))))
-    last = np.append(new[1:], len(own)) - 1
-    return ids[own[new]], starts[own[new]] + nth[new], starts[own[new]] + nth[last] + long
+    end = nth[np.append(new[1:], len(own)) - 1] + long
+    own, nth = own[new], nth[new]
+    shift = starts[hit][own] + first[kind[own]]
+    return ids[hit][own], shift + nth, shift + end
 
 
 def _gone(spans: pa.ListScalar, size: int) -> np.ndarray:
