@@ -311,13 +311,13 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows whose text isn't predicted toxic, all columns as they were."""
-    text_at = docs.columns.index(text_col)
+    """The rows whose text isn't predicted toxic, all columns as they were. Only texts go to Python, and only flags back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def toxic(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = WordScorer(model.slots, model.checks, model.weights, model.bias)
-        for batch in batches:
-            for lo, hi, x in text_features(batch.column(text_at), scorer):
-                yield batch.slice(lo, hi - lo).filter(pa.array(model.probabilities(x) < 0.5))
+        for part in parts:
+            flags = [model.probabilities(x) >= 0.5 for _, _, x in text_features(part, scorer)]
+            yield pa.array(np.concatenate(flags) if flags else np.zeros(0, bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(~toxic(docs[text_col].cast("string")))
