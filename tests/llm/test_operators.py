@@ -243,6 +243,27 @@ def test_toxicity(spark):
     assert got[9000].predicted and got[9001].predicted and not got[9002].predicted and got[9002].score == got[9003].score
     assert toxicity.drop_toxic(docs, model).where("doc_id = 9000").count() == 0
     assert toxicity.score(docs.where("false"), model).collect() == []
+    again = toxicity.fit(spark, docs.repartition(7, "text"), spark.createDataFrame(labels[::-1], "doc_id long, toxic int"))
+    assert again.logistic.tolist() == model.logistic.tolist() and again.weights.tolist() == model.weights.tolist()
+    odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2)], "doc_id long, text string, toxic int")
+    assert sorted(toxicity.drop_toxic(odd, model).collect(), key=str) == sorted(odd.collect(), key=str)
+    assert toxicity.drop_toxic(odd.where("false"), model).count() == 0
+
+
+def test_run_index(spark):
+    """Matching statistics and least owners against substring searches."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        lengths = rng.integers(1, 60, int(rng.integers(1, 8)))
+        strings = rng.integers(97, 97 + int(rng.integers(1, 4)), int(lengths.sum())).astype(np.uint8)
+        edges = np.concatenate(([0], np.cumsum(lengths)))
+        texts, owners = [bytes(strings[a:b]) for a, b in zip(edges, edges[1:])], rng.permutation(len(lengths))
+        longest, least = rindex.RunIndex(strings, lengths, owners, 8).matching_statistics(strings, lengths, 8)
+        for t, a in zip(texts, edges):
+            for i in range(len(t)):
+                assert longest[a + i] == max(m for m in range(len(t) - i + 1) if any(t[i : i + m] in u for u in texts))
+                held = [owners[q] for q, u in enumerate(texts) if t[i : i + 8] in u] if len(t) - i >= 8 else []
+                assert least[a + i] == min(held, default=np.iinfo(np.int64).max)
 
 
 def test_pipeline(spark):

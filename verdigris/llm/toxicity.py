@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import SLICE_ROWS, Hasher, chunks, mix, shingle_hashes, words
+from .arrays import SLICE_ROWS, Hasher, chunks, shingle_hashes, words
 from .shared import written
 
 DECAY, PAIR_GAP, TRIPLE_SPAN = 0.6, 3, 5
@@ -243,18 +243,20 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
                 grams, of = shingle_hashes(Hasher(data)(starts, ends), rows, 3)
                 low = np.full(hi - lo, np.iinfo(np.uint64).max)
                 np.minimum.at(low, of, grams)
-                lone = low == np.iinfo(np.uint64).max
-                low[lone] = mix(np.flatnonzero(lone).astype(np.uint64) + np.uint64(len(data)))
-                families[lo:hi] = low.view(np.int64)
+                lone = low == np.iinfo(np.uint64).max  # fewer than three words: a family of equal texts
+                families[lo:hi] = np.where(lone, batch.column(3)[lo:hi].to_numpy(), low.view(np.int64))
             for lo, hi, units, which, rows in _units(batch.column(1)):
                 pairs = np.unique(np.column_stack([rows, which]), axis=0)
                 cut = np.searchsorted(pairs[:, 0], np.arange(hi - lo + 1))
                 held = [[units[i][:256] for i in pairs[a:b, 1]] for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(2)[lo:hi].cast(pa.int32()), pa.array(families[lo:hi]), pa.array(held, pa.list_(pa.string()))], names=["toxic", "family", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi].cast(pa.int32()), pa.array(families[lo:hi]), pa.array(held, pa.list_(pa.string()))], names=["id", "toxic", "family", "words"])
 
     texts = written(spark, texts.select("id", "text", "toxic"), "labelled")
-    # One text of each family of near copies (by its smallest shingle), so that copies don't make words look telling.
-    seen = written(spark, texts.mapInArrow(to_words, "toxic int, family long, words array<string>").dropDuplicates(["family"]), "families")
+    # One text of each family of near copies (by its smallest shingle), so that copies don't make words look telling:
+    # that with the smallest id, so that each run fits the same machine.
+    kind = texts.schema["id"].dataType.simpleString()
+    of = texts.withColumn("own", F.xxhash64("text")).mapInArrow(to_words, f"id {kind}, toxic int, family long, words array<string>")
+    seen = written(spark, of.groupBy("family").agg(F.min(F.struct("id", "toxic", "words")).alias("first")).select("first.toxic", "first.words"), "families")
     counted = written(spark, seen.select("toxic", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")), "words")
     share = seen.agg(F.avg("toxic")).first()[0] or 0.0
     by_chance = F.col("n") * max(share, 1e-6)
@@ -275,7 +277,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     # The clean words nearest to the bad ones go into a second fit.
     near = clean.select("word").mapInPandas(margins, "word string, margin double").orderBy(F.desc("margin"), "word").limit(params.negatives // 3)
     model = ToxicityModel(*train_words(list(dict.fromkeys(good + [r["word"] for r in near.collect()])), bad, params), np.zeros(3))
-    scored = _features(texts, model).toPandas()
+    scored = _features(texts, model).toPandas().sort_values(["top", "hits", "toxic"])
     model.logistic = _logistic(scored[["top", "hits"]].to_numpy(), scored["toxic"].to_numpy(dtype=float))
     return model
 
