@@ -219,3 +219,36 @@ def audit_summary_topaxes(spark, d):
     axis = F.when(text.contains("|"), "table").when(text.contains("@"), "contact").when(text.contains("#"), "markup").otherwise("plain")
     c = table(spark, d, "documents").groupBy("lang", axis.alias("axis")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 3).alias("mean_chars"))
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "axis")).cast("long")).where("rank <= 3")
+
+
+@query("""WITH b AS (SELECT doc_id, substr(md5(unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> ''))), 31, 2) AS bucket FROM documents),
+    c AS (SELECT doc_id, bucket, count(*) AS n FROM b GROUP BY ALL)
+    SELECT doc_id, count(*) AS n_buckets, round(sqrt(sum(n * n)), 6) AS norm FROM c GROUP BY doc_id""")
+def hash_embedding_norms(spark, d):
+    """Words hashed to 256 buckets: how many are used, and the length of the vector before it is normalised."""
+    tokens = table(spark, d, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
+    c = tokens.groupBy("doc_id", F.substring(F.md5(F.col("word").cast("binary")), 31, 2).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_buckets"), F.round(F.sqrt(F.sum(F.col("n") * F.col("n"))), 6).alias("norm"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: length(x) >= 8))) AS term FROM conversations),
+    f AS (SELECT conv_id, term, min(turn) AS said FROM t GROUP BY ALL),
+    a AS (SELECT conv_id, turn, count(*) AS n_terms, count(*) FILTER (said >= turn) AS n_orphans FROM t JOIN f USING (conv_id, term) WHERE role <> 'user' GROUP BY ALL)
+    SELECT *, round(1 - n_orphans::DOUBLE / n_terms, 6) AS faithfulness, CASE WHEN n_orphans = 0 THEN 'pass' WHEN n_orphans < n_terms THEN 'soft_fail' ELSE 'hard_fail' END AS verdict FROM a""")
+def grounding_gate(spark, d):
+    """Answers whose telling terms (eight letters or more) were said earlier in the conversation, and those that bring new ones."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.explode(F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 8))).alias("term"))
+    said = t.groupBy("conv_id", "term").agg(F.min("turn").alias("said"))
+    a = t.where("role <> 'user'").join(said, ["conv_id", "term"]).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_terms"), F.count_if(F.col("said") >= F.col("turn")).alias("n_orphans"))
+    verdict = F.when(F.col("n_orphans") == 0, "pass").when(F.col("n_orphans") < F.col("n_terms"), "soft_fail").otherwise("hard_fail")
+    return a.withColumns({"faithfulness": F.round(1 - F.col("n_orphans") / F.col("n_terms"), 6), "verdict": verdict})
+
+
+ACCOUNT = "[0-9][0-9-]{8,}[0-9]"
+
+
+@query(f"""SELECT source, count(*) AS n_docs, CAST(sum(len(list_filter(regexp_extract_all(text, '{ACCOUNT}'), lambda x: length(replace(x, '-', '')) >= 10))) AS BIGINT) AS n_accounts FROM documents GROUP BY source""")
+def account_numbers(spark, d):
+    """Runs of ten digits or more, dashes apart, by source."""
+    long_runs = F.filter(F.regexp_extract_all("text", F.lit(ACCOUNT), F.lit(0)), lambda x: F.length(F.regexp_replace(x, "-", "")) >= 10)
+    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size(long_runs)), F.lit(0)).alias("n_accounts"))
