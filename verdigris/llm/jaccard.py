@@ -6,8 +6,9 @@ elements, so at least 2 ** level - h parts hold the same elements; in a global o
 first h + 1 of each then share one. No link can be missed, no count of n-grams over the corpus is needed, and
 a signature covers several n-grams spread over the text, so a passage alone makes few candidates.
 Each set first meets the partner that shares most signatures with it. Signatures whose sets are then in one
-class are done; in the others, parity sketches (their differing bits never exceed the differing elements) leave
-few pairs, and those are verified too. Verification builds a path-compressed trie of the sets that meet one
+class are done; in the others, parity sketches (their differing bits never exceed the differing elements) tell
+which pairs can link. Each set first meets the closest of another class, which joins large groups of near copies
+by a row a set; then all pairs that remain between classes are verified. Verification builds a path-compressed trie of the sets that meet one
 probe and walks it, sharing partial overlaps and pruning subtrees by remaining length.
 """
 
@@ -29,6 +30,8 @@ from .shared import written
 TRIE_SETS, BLOCK_SETS = 256, 1024
 #: Sets, and members of signatures, that a task takes at once: many small groups, or one of the largest.
 TASK_SETS, TASK_ROWS = 1024, 16_384
+#: Times that each set of an open signature meets its closest set of another class, before all that remain are compared.
+CLOSEST_ROUNDS = 1
 #: Candidate ids are broadcast up to this many rows (8 bytes each); beyond it texts are shuffled to them.
 BROADCAST_ROWS = 1 << 20
 
@@ -123,8 +126,8 @@ def part_signatures(elements: np.ndarray, offsets: np.ndarray, t: Threshold) ->
 
 
 def parity_sketch(elements: np.ndarray, level: int) -> bytes:
-    """2 ** (level + 2) bits, 64 at least: the parity of elements by their low bits."""
-    bits = 1 << max(6, level + 2)
+    """2 ** (level + 2) bits, 512 at least: the parity of elements by their low bits."""
+    bits = 1 << max(9, level + 2)
     return np.packbits((np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
 
@@ -259,13 +262,26 @@ class NgramJaccard:
         met = shared.where("id <> lo").groupBy("id", "lo").agg(F.count(F.lit(1)).alias("votes"))
         met = met.groupBy("id").agg(F.max_by("lo", F.struct("votes", -F.col("lo"))).alias("a")).select("a", F.col("id").alias("b"))
         first = written(self.spark, self._verified(met), "links")
-        classes = components(self.spark, first.select("a", "b"))
-        # Signatures that still join several classes.
-        placed = shared.select("sig", "id").join(classes, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        placed = written(self.spark, placed, "placed")
-        open_ = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1")
-        open_ = open_.select("sig", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("cuts"), (F.col("size") * F.ceil(F.col("size") / BLOCK_SETS)).alias("rows"))
-        open_ = written(self.spark, open_, "open-signatures")
+        links = first
+        for closest in [True] * CLOSEST_ROUNDS + [False]:
+            # Signatures that still join several classes.
+            classes = components(self.spark, links.select("a", "b"))
+            placed = shared.select("sig", "id").join(classes, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+            placed = written(self.spark, placed, "placed")
+            open_ = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1")
+            open_ = open_.select("sig", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("cuts"), (F.col("size") * F.ceil(F.col("size") / BLOCK_SETS)).alias("rows"))
+            open_ = written(self.spark, open_, "open-signatures")
+            left = self._open_pairs(placed, open_, sketches, closest)
+            more = written(self.spark, self._verified(written(self.spark, left, "open-pairs")), "links")
+            links = links.unionByName(more)
+            shared = placed.join(open_.select("sig"), "sig", "left_semi")
+        return links, membership
+
+    def _open_pairs(self, placed: DataFrame, open_: DataFrame, sketches: DataFrame, closest: bool) -> DataFrame:
+        """Pairs (a, b) of different classes that share an open signature and whose sketches let them link: all of them,
+        or, with closest, of each set the one with the fewest differing bits (a row a set, however large its groups).
+        """
+        t = self.t
         rows = placed.join(open_.select("sig", "cuts"), "sig").join(sketches, "id")
         rows = rows.select("sig", "id", "component", "n", "sketch", F.pmod(F.xxhash64("id"), "cuts").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
         rows = rows.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component", "n", "sketch", "own")
@@ -275,7 +291,7 @@ class NgramJaccard:
             order = np.lexsort(keys.T)
             edges = np.flatnonzero(np.concatenate(([True], (keys[order][1:] != keys[order][:-1]).any(axis=1), [True])))
             ids, comps, n, own, sketches = (pdf[c].to_numpy()[order] for c in ("id", "component", "n", "own", "sketch"))
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            a, b, apart = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 x, y = keys[order[lo], 1:]
                 here = np.arange(lo, hi)
@@ -286,17 +302,27 @@ class NgramJaccard:
                     j = side[(comps[side] != comps[i]) & ((x != y) | (side > i))]
                     j = j[t.den * np.minimum(n[j], n[i]) >= t.num * np.maximum(n[j], n[i])]
                     if len(j):
-                        j = j[np.bitwise_count(bits[j - lo] ^ bits[i - lo]).sum(axis=1, dtype=np.int64) <= t.most_different(n[j] + n[i])]
-                        a.append(np.minimum(ids[i], ids[j]))
-                        b.append(np.maximum(ids[i], ids[j]))
-            return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+                        differ = np.bitwise_count(bits[j - lo] ^ bits[i - lo]).sum(axis=1, dtype=np.int64)
+                        allowed = t.most_different(n[j] + n[i])
+                        j, share = j[differ <= allowed], (differ / np.maximum(allowed, 1))[differ <= allowed]
+                        a.append(np.full(len(j), ids[i]))
+                        b.append(ids[j])
+                        apart.append(share)
+                if closest:  # what was found so far comes down to a row a set
+                    u, v, d = (np.concatenate(z) for z in (a, b, apart))
+                    u, v, d = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([d, d])
+                    best = np.lexsort((v, d, u))
+                    best = best[np.concatenate(([True], u[best][1:] != u[best][:-1]))] if len(best) else best
+                    a, b, apart = [u[best]], [v[best]], [d[best]]
+            out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "apart": np.concatenate(apart)})
+            return out if closest else out.drop_duplicates(["a", "b"])
 
         deal = max(1, -(-(open_.agg(F.sum("rows")).first()[0] or 0) // TASK_ROWS))
         rows = rows.withColumn("deal", F.pmod(F.xxhash64("sig", "x", "y"), F.lit(deal)))
-        left = rows.groupBy("deal").applyInPandas(compare, "a long, b long").distinct()
-        left = written(self.spark, left, "open-pairs")
-        more = written(self.spark, self._verified(left), "links")
-        return first.unionByName(more), membership
+        pairs = rows.groupBy("deal").applyInPandas(compare, "a long, b long, apart double")
+        if closest:
+            pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("first")).select("a", F.col("first.b").alias("b"))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def classes(self) -> DataFrame:
         """(id, n, component): one row per row of docs; component is the smallest id reachable by links."""
