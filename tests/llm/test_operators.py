@@ -279,3 +279,23 @@ def test_pipeline(spark):
     assert kept and set(kept) <= ids
     pieces = corpus_pipeline.packed(spark, docs, sf).collect()
     assert {r.doc_id for r in pieces} == set(kept)
+
+
+def test_pipeline_keeps_token_ids(spark, docs):
+    """The packed stage's rows hold the ids themselves, and op5 digests what its operator gives."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from verdigris.llm import queries
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    parts = collections.defaultdict(dict)
+    for r in corpus_pipeline.packed(spark, docs.where("doc_id IS NOT NULL"), "").collect():
+        parts[r.doc_id][r.start] = np.frombuffer(r.token_ids, "<u4").tolist()
+    assert set(parts) == set(range(len(TEXTS)))
+    for i, x in enumerate(TEXTS):
+        assert sum((parts[i][s] for s in sorted(parts[i])), []) == t.encode(x or "", add_special_tokens=False).ids + [1]
+    sf = "/root/testdata/sf0.001"
+    packed = {(r.doc_id, r.start): zlib.crc32(r.token_ids) for r in corpus_pipeline.packed(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()}
+    assert {(r.doc_id, r.start): r.ids_crc32 for r in queries.op5_packing(spark, sf).collect()} == packed
