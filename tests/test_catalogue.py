@@ -41,3 +41,12 @@ def test_same_as_sql(spark, con, name):
         assert sorted(names) == columns
         at = [names.index(c) for c in columns]
         assert got == sorted((tuple(plain(r[i]) for i in at) for r in cur.fetchall()), key=repr)
+
+
+def test_alike_parts_of_other_brands(spark, tmp_path):
+    """Partners of another brand and by letters are found; two that are equally near give none."""
+    rows = [(1, "A", "small widget"), (2, "B", "small widgets"), (3, "A", "copper bolt"), (4, "B", "copper bolt"), (5, "C", "tin ringa"), (6, "D", "tin ringb"), (7, "E", "tin ringc"), (8, "F", "q"), (9, "F", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.a: (r.b, r.jaccard, r.method) for r in catalogue.QUERIES["bigram_jaccard_resolved"](spark, str(tmp_path)).collect()}
+    none = (None, None, "none")
+    assert got == {1: (2, round(11 / 12, 6), "fuzzy"), 2: (1, round(11 / 12, 6), "fuzzy"), 3: (4, 1.0, "exact"), 4: (3, 1.0, "exact"), **dict.fromkeys((5, 6, 7, 8, 9), none)}

@@ -160,6 +160,48 @@ def bigram_jaccard_top1(spark, d):
     return matching.latest(j, ["a"], F.desc("s"), F.col("b")).select("a", "b", F.round("s", 6).alias("jaccard"))
 
 
+@query("""
+    WITH p AS (SELECT p_partkey AS a, lower(trim(p_name)) AS name FROM part),
+    names AS (SELECT name, min(a) AS first FROM p WHERE length(name) >= 2 GROUP BY name),
+    g AS (SELECT DISTINCT name, unnest(list_transform(range(1, length(name)), lambda i: substr(name, i, 2))) AS w FROM names),
+    n AS (SELECT name, count(*) AS n FROM g GROUP BY 1),
+    j AS (SELECT x.name, y.name AS other, count(*) AS c FROM g x JOIN g y ON x.w = y.w AND x.name <> y.name GROUP BY ALL),
+    s AS (SELECT j.name, other, c::DOUBLE / (x.n + y.n - c) AS s FROM j JOIN n x ON j.name = x.name JOIN n y ON other = y.name),
+    t AS (SELECT name, other, s, coalesce(lead(s) OVER (PARTITION BY name ORDER BY s DESC, other), 0) AS second FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY s DESC, other) = 1),
+    f AS (SELECT t.name, first AS b, s FROM t JOIN names ON names.name = other WHERE s >= 0.62 AND s - second >= 0.08),
+    q AS (SELECT a, name, CASE WHEN min(a) OVER w <> a THEN min(a) OVER w ELSE lead(a) OVER (PARTITION BY name ORDER BY a) END AS twin FROM p WHERE length(name) >= 2 WINDOW w AS (PARTITION BY name))
+    SELECT p.a, coalesce(twin, b) AS b, round(CASE WHEN twin IS NOT NULL THEN 1.0::DOUBLE ELSE s END, 6) AS jaccard,
+           CASE WHEN twin IS NOT NULL THEN 'exact' WHEN b IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS method
+    FROM p LEFT JOIN q ON q.a = p.a LEFT JOIN f ON f.name = p.name""")
+def bigram_jaccard_resolved(spark, d):
+    """For each part the part most like it by character bigrams, of any brand: one of the same name, else one at 0.62
+    or more and 0.08 ahead of the second.
+
+    Equal names are taken once. Pairs are looked for down to 0.54, as only these can be the second; such a pair shares
+    one of the rarest bigrams of both.
+    """
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("a"), F.lower(F.trim("p_name")).alias("name"))
+    names = p.where(F.length("name") >= 2).groupBy("name").agg(F.min("a").alias("first"))
+    twins = p.join(names, "name").where("a <> first").groupBy("name").agg(F.min("first").alias("first"), F.min("a").alias("next"))
+    g = names.select("first", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.col("name").substr(i, F.lit(2))))).alias("w"))
+    rare = g.join(g.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w").groupBy("first").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("ws"))
+    n = F.size("ws")
+    heads = rare.select("first", n.alias("n"), F.explode(F.slice("ws", F.lit(1), n - F.ceil(n * 54 / F.lit(100)).cast("int") + 1)).alias("w"))
+    others = heads.select(F.col("first").alias("other"), F.col("n").alias("m"), "w")
+    pairs = heads.join(others, "w").where("first < other AND 100 * least(n, m) >= 54 * greatest(n, m)").select("first", "other").distinct()
+    c = F.size(F.array_intersect("ws", "vs"))
+    met = pairs.join(rare, "first").join(rare.select(F.col("first").alias("other"), F.col("ws").alias("vs")), "other").select("first", "other", c.alias("c"), (F.size("ws") + F.size("vs") - c).alias("u"))
+    met = met.where("100 * c >= 54 * u").select("first", "other", (F.col("c") / F.col("u")).alias("s"))
+    met = met.unionByName(met.select(F.col("other").alias("first"), F.col("first").alias("other"), "s"))
+    best = met.groupBy("first").agg(F.max(F.struct("s", -F.col("other"))).alias("x"), F.slice(F.reverse(F.array_sort(F.collect_list("s"))), 2, 1).alias("second"))
+    best = best.select("first", (-F.col("x.col2")).alias("b"), F.col("x.s").alias("s"), F.coalesce(F.get("second", F.lit(0)), F.lit(0.0)).alias("second"))
+    found = best.where("s >= 0.62 AND s - second >= 0.08").join(names, "first").select("name", "b", "s")
+    rows = p.join(twins, "name", "left").join(found, "name", "left").withColumn("twin", F.when(F.col("a") == F.col("first"), F.col("next")).otherwise(F.col("first")))
+    twin = F.col("twin").isNotNull()
+    method = F.when(twin, "exact").when(F.col("b").isNotNull(), "fuzzy").otherwise("none")
+    return rows.select("a", F.coalesce("twin", "b").alias("b"), F.round(F.when(twin, 1.0).otherwise(F.col("s")), 6).alias("jaccard"), method.alias("method"))
+
+
 BILL, REPORT = ["invoice", "amount", "total", "due", "|"], ["Licensed", "the ", "report", "page", "copyright"]
 
 
