@@ -32,7 +32,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         name, n, tokens, out = f"{path}/{uuid.uuid4().hex}.u16", 0, 0, None
         try:
             for batch in batches:
-                for lo, hi, ids, _ in encoded(batch.column(1), vocabulary, end_id):
+                for lo, hi, ids, _ in encoded(batch.column(1), vocabulary, end_id, plain=True):
                     out = out or system.open_output_stream(name, compression=None)
                     out.write(ids.astype("<u2").tobytes())
                     tokens += len(ids)
@@ -88,7 +88,8 @@ def scan_token_files(spark: SparkSession, folder: str, files: DataFrame, end_id:
 def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(id, n_tokens) of each row, counted by a scan of token files written to the shared folder.
 
-    Null and empty texts count 0; repeated rows are counted each; an empty table gives none.
+    Null and empty texts count 0; repeated rows are counted each; an empty table gives none. Strings of special tokens
+    in a text are counted as the text they are: as tokens they would pass for separators.
     """
     folder = scratch_path(spark, "tokens")
     manifest = written(spark, write_token_files(docs, vocabulary, end_id, folder, id_col, text_col), "token-manifest")

@@ -32,16 +32,30 @@ class WordTokens:
     """Texts are cut at ASCII blanks: the tokenizer drops white space and never merges across it.
 
     A run is known by its 64-bit hash. Hashes are kept sorted, with the place of each run's ids in one pool.
+    With plain, the strings of special tokens are text like any other; else they become those tokens.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.empty()
 
+    def _lowered(self, data: np.ndarray) -> np.ndarray:
+        """In lower case, but for special tokens and what would turn into one: those are told by their case."""
+        low = LOWER[data]
+        if self.special:
+            raw = low.tobytes()
+            for token in self.special:
+                at = raw.find(token)
+                while at >= 0:
+                    low[at : at + len(token)] = data[at : at + len(token)]
+                    at = raw.find(token, at + 1)
+        return low
+
     def empty(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.place = np.zeros(0, dtype=np.int64)
@@ -71,7 +85,7 @@ class WordTokens:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each text has."""
-        data = LOWER[data]
+        data = self._lowered(data)
         starts, ends, rows = _split_marks(data, *words(data, offsets))
         keys, first, where = np.unique(Hasher(data)(starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > TABLE_ENTRIES:
@@ -89,19 +103,19 @@ class WordTokens:
         return ids, np.bincount(rows, weights=count, minlength=len(offsets) - 1).astype(np.int64)
 
 
-_made: dict[str, WordTokens] = {}
+_made: dict[tuple[str, bool], WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
-    """One per worker process, kept for later tasks."""
-    if path not in _made:
-        _made[path] = WordTokens(path)
-    return _made[path]
+def word_tokens(path: str, plain: bool) -> WordTokens:
+    """One per worker process and kind, kept for later tasks."""
+    if (path, plain) not in _made:
+        _made[path, plain] = WordTokens(path, plain)
+    return _made[path, plain]
 
 
-def encoded(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, path: str, end_id: int, plain: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, offsets of rows in ids) over chunks; each text's ids end in end_id."""
-    tokens = word_tokens(path)
+    tokens = word_tokens(path, plain)
     for lo, hi, data, offsets in chunks(column, TEXT_BYTES):
         ids, count = tokens.encode(data, offsets)
         bounds = np.concatenate(([0], np.cumsum(count)))
