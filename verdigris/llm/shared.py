@@ -6,12 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests, notebooks), a fresh one is set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a fresh local one serves a local session, whose
+    executors are this machine; on a cluster that is an error, as nobody else could read it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='verdigris-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -26,3 +32,20 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Keys that each hold more than this part of all rows are met by broadcast: fewer keys than this.
+HOT_KEYS = 1024
+
+
+def with_key_columns(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, total: int, how: str = "left") -> DataFrame:
+    """rows with the columns of per_key, a row a key, whose column `count` says how many of the total rows have it.
+
+    Rows of a hot key stay where they are, as hot keys are fewer than HOT_KEYS and broadcast; the others are
+    shuffled, and no key of theirs is large. Both tables are read twice and should be written ones.
+    """
+    per_key = per_key.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    hot = per_key.where(F.col(count) * HOT_KEYS > F.lit(total))
+    met = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return met.unionByName(others.join(per_key.where(F.col(count) * HOT_KEYS <= F.lit(total)), keys, how))

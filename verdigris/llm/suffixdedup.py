@@ -9,6 +9,7 @@ strings, streamed through it, tell the smallest document that holds each window.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Hasher, chunks, mix
 from .rindex import RunIndex
-from .shared import written
+from .shared import with_key_columns, written
 
 GRAM = 12
 #: Windows of a dealt string at most; text bytes for each bucket; bytes of text cut at once.
@@ -187,8 +188,9 @@ class SuffixDedup:
         sized = written(self.spark, sized, "digests")
         total = sized.agg(F.sum("n")).first()[0] or 0
         buckets = max(1, -(-total // BUCKET_BYTES))
-        lead = sized.where(F.col("n") >= long).groupBy("digest").agg(F.min("id").alias("lead"), F.max("id").alias("most")).where("lead < most")
-        self.copies = written(self.spark, sized.join(lead, "digest").where("id > lead").select("id").distinct(), "copies")
+        lead = sized.where(F.col("n") >= long).groupBy("digest").agg(F.min("id").alias("lead"), F.max("id").alias("most"), F.count(F.lit(1)).alias("rows"))
+        lead = written(self.spark, lead.where("lead < most").select("digest", "lead", "rows"), "equal-texts")
+        self.copies = written(self.spark, with_key_columns(sized, lead, ["digest"], "rows", sized.count(), "inner").where("id > lead").select("id").distinct(), "copies")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             press = zstandard.ZstdCompressor(level=3)
@@ -221,8 +223,11 @@ class SuffixDedup:
         return written(self.spark, spans.unionByName(copies).groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "repeats-by-document")
 
     def rewritten(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """docs, all columns kept, with the repeats cut from the texts; parts of cut characters go too."""
-        by_doc = self._by_document().select(F.col("id").alias("__repeat_id"), F.col("spans").alias("__repeat_spans"))
+        """docs, all columns kept whatever they are called, with the repeats cut from the texts; parts of cut characters
+        go too. Null texts and rows without an id stay as they are.
+        """
+        own_id, own_spans = (f"{name}_{uuid.uuid4().hex}" for name in ("id", "spans"))
+        by_doc = self._by_document().select(F.col("id").alias(own_id), F.col("spans").alias(own_spans))
         text_at, columns = docs.columns.index(text_col), len(docs.columns)
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,11 +239,11 @@ class SuffixDedup:
                     arrays[text_at] = pa.array(left, pa.string())
                     yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names[:columns])
 
-        ids = by_doc.select("__repeat_id")
+        ids = by_doc.select(own_id)
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        same = docs[id_col].cast("long") == F.col("__repeat_id")
+        same = docs[id_col].cast("long") == F.col(own_id)
         hit = docs.join(ids, same, "left_semi").join(by_doc, same)
-        hit = hit.select(*[docs[c] for c in docs.columns], "__repeat_spans").mapInArrow(rewrite, docs.schema)
+        hit = hit.select(*[docs[c] for c in docs.columns], own_spans).mapInArrow(rewrite, docs.schema)
         return hit.unionByName(docs.join(ids, same, "left_anti"))
 
     def kept(self) -> DataFrame:

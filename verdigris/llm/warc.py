@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import open_folder
-from .shared import scratch_path, written
+from .shared import scratch_path, with_key_columns, written
 
 #: A new archive begins once one has this many bytes.
 ARCHIVE_BYTES = 256 << 20
@@ -21,6 +21,8 @@ ARCHIVE_BYTES = 256 << 20
 GAP_BYTES, READ_BYTES = 64 << 10, 4 << 20
 #: Records of so many archive bytes make a unit of reading.
 STRIDE_BYTES = 16 << 20
+#: Digests that repeat are broadcast up to this many rows (64 bytes each).
+BROADCAST_ROWS = 1 << 17
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -29,16 +31,21 @@ def classify(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
 
     Of equal payloads of at least least_bytes, the row with the largest id is the response and the
     others revisit it; all others are responses. Rows that repeat the response's id are responses too,
-    and so are rows without an id (nothing can tell them apart). Null payloads are empty.
+    and so are rows without an id (nothing can tell them apart). Null payloads are empty. Other columns than
+    the id, url and payload are left out, whatever they are called.
+
+    Only keys are grouped. What is found for digests that repeat is broadcast up to BROADCAST_ROWS rows, so payloads
+    stay where they are; beyond it only those of digests that hold few rows are shuffled.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), *([F.col("url").cast("string").alias("url")] if "url" in pages.columns else [F.lit(None).cast("string").alias("url")]), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    largest = (
-        rows.where(F.col("payload_bytes") >= least_bytes).select("page_id", "payload_digest", "payload_bytes")
-        .groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1 AND target IS NOT NULL").drop("copies")
-    )
-    joined = rows.join(largest, ["payload_digest", "payload_bytes"], "left")
+    keys = ["payload_digest", "payload_bytes"]
+    largest = rows.where(F.col("payload_bytes") >= least_bytes).select("page_id", *keys).groupBy(*keys).agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("copies"))
+    largest = written(pages.sparkSession, largest.where("copies > 1 AND target IS NOT NULL"), "repeated-payloads")
+    if largest.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(largest), keys, "left")
+    else:
+        joined = with_key_columns(rows, largest, keys, "copies", rows.count())
     revisit = F.col("target").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("target"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("target")).alias("refers_to"))
 
@@ -112,12 +119,13 @@ def write_archives(spark: SparkSession, classified: DataFrame, folder: str) -> D
     return written(spark, index, "warc-index")
 
 
-def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
+def read_records(index: DataFrame, folder: str, with_payload: bool = False, strict: bool = False) -> DataFrame:
     """The records at the index's rows, read in few, sorted, coalesced ranges and held against their digests.
 
-    Returns page_id and refers_to of the index and what the record says: payload_bytes, payload_digest (hex),
-    record_type, matches (index and record agree, and a response's payload has its digest), and the payload
-    where wanted (null for revisits).
+    Returns page_id and refers_to of the index, payload_bytes and payload_digest (hex), made anew from the payload
+    of a response and as the record says for a revisit, its record_type, and the payload where wanted (null for
+    revisits). With strict, a record that differs from its own header or from the index is an error; else the
+    column matches tells.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +146,14 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
                 sizes, digests, kinds, good, bodies = [], [], [], [], []
                 for _, at, n, digest, kind in rows[lo:hi]:
                     fields, body = parse(zlib.decompress(raw[at - begin : at - begin + n], 31))
-                    found = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                    said = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     response = fields["WARC-Type"] == "response"
                     sizes.append(len(body) if response else int(fields["X-Payload-Length"]))
-                    digests.append(found)
+                    digests.append(hashlib.sha1(body).hexdigest() if response else said)
                     kinds.append(fields["WARC-Type"])
-                    good.append(found == digest and kind == kinds[-1] and (not response or hashlib.sha1(body).hexdigest() == found))
+                    good.append(digests[-1] == said == digest and kind == kinds[-1] and sizes[-1] == int(fields["X-Payload-Length"]))
+                    if strict and not good[-1]:
+                        raise ValueError(f"the record at {at} of {archive} is not what the index has")
                     bodies.append(body if response and with_payload else None)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
@@ -158,7 +168,11 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 1000) -> DataFrame:
-    """Writes every page to archives in the shared folder, then reads each record back through the index."""
+    """Writes every page to archives in the shared folder, then reads each record back through the index.
+
+    One row a row of pages (repeated rows too, an empty table gives none), as classify() and read_records() say;
+    a damaged record is an error.
+    """
     folder = scratch_path(spark, "warc")
     index = write_archives(spark, classify(pages, id_col, payload_col, least_bytes), folder)
-    return read_records(index, folder).withColumnRenamed("page_id", id_col)
+    return read_records(index, folder, strict=True).withColumnRenamed("page_id", id_col)
