@@ -10,6 +10,7 @@ score is a logistic function of its largest margin and of how many words have a
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import SLICE_ROWS, Hasher, chunks, shingle_hashes, words
+from .arrays import SLICE_ROWS, Hasher, chunks, mix, shingle_hashes, words
 from .shared import written
 
 DECAY, PAIR_GAP, TRIPLE_SPAN = 0.6, 3, 5
 SLOTS = 1 << 20
+#: Texts whose smallest three-word shingle is the same under so many hashes are near copies of one another.
+FAMILY_MINIMA = 4
 #: Letters in a cell; longer words are scored by windows of two cells.
 CELL = 12
 
@@ -228,7 +231,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Fits on at most params.train_rows labelled rows outside the held-out fold (crc32 of the id's text modulo 5 is 0).
 
-    Labels other than 0 and 1 are left out. Without a toxic text that shares marked words, the model scores 0.
+    Labels other than 0 and 1 are left out. Of near copies (FAMILY_MINIMA) only the text with the smallest id is learnt
+    from: copies repeat one label, they don't confirm it. Where no word marks toxic texts enough (least_texts,
+    least_share, least_evidence), there is nothing to fit: the model scores every text near 0, with a warning.
     """
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where("toxic IN (0, 1) AND id IS NOT NULL").where(~held_out(F.col("id")))
     ids = ids.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(params.train_rows)
@@ -236,24 +241,26 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
 
     def to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.num_rows
-            families = np.zeros(at, dtype=np.int64)
+            families = np.zeros(batch.num_rows, dtype=np.int64)
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 starts, ends, rows = words(data, offsets)
                 grams, of = shingle_hashes(Hasher(data)(starts, ends), rows, 3)
-                low = np.full(hi - lo, np.iinfo(np.uint64).max)
-                np.minimum.at(low, of, grams)
-                lone = low == np.iinfo(np.uint64).max  # fewer than three words: a family of equal texts
-                families[lo:hi] = np.where(lone, batch.column(3)[lo:hi].to_numpy(), low.view(np.int64))
+                lone = np.bincount(of, minlength=hi - lo) == 0  # fewer than three words: a family of equal texts
+                family = np.zeros(hi - lo, dtype=np.uint64)
+                for seed in range(FAMILY_MINIMA):
+                    low = np.full(hi - lo, np.iinfo(np.uint64).max)
+                    np.minimum.at(low, of, mix(grams ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+                    family = mix(family * np.uint64(31) + low)
+                families[lo:hi] = np.where(lone, batch.column(3)[lo:hi].to_numpy(), family.view(np.int64))
             for lo, hi, units, which, rows in _units(batch.column(1)):
                 pairs = np.unique(np.column_stack([rows, which]), axis=0)
                 cut = np.searchsorted(pairs[:, 0], np.arange(hi - lo + 1))
-                held = [[units[i][:256] for i in pairs[a:b, 1]] for a, b in zip(cut[:-1], cut[1:])]
+                held = [[units[i] for i in pairs[a:b, 1]] for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi].cast(pa.int32()), pa.array(families[lo:hi]), pa.array(held, pa.list_(pa.string()))], names=["id", "toxic", "family", "words"])
 
     texts = written(spark, texts.select("id", "text", "toxic"), "labelled")
-    # One text of each family of near copies (by its smallest shingle), so that copies don't make words look telling:
-    # that with the smallest id, so that each run fits the same machine.
+    # One text of each family of near copies, so that copies don't make words look telling: that with the smallest
+    # id, so that each run fits the same machine.
     kind = texts.schema["id"].dataType.simpleString()
     of = texts.withColumn("own", F.xxhash64("text")).mapInArrow(to_words, f"id {kind}, toxic int, family long, words array<string>")
     seen = written(spark, of.groupBy("family").agg(F.min(F.struct("id", "toxic", "words")).alias("first")).select("first.toxic", "first.words"), "families")
@@ -266,6 +273,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     clean = counted.where("4 * t <= n")
     good = [r["word"] for r in clean.orderBy(F.desc("n"), "word").limit(params.negatives // 3).collect()] + [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(params.negatives // 3).collect()]
     if not bad or not good:
+        warnings.warn("no word marks the toxic texts enough to fit a machine: every text will score near 0", stacklevel=2)
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.float32), 0.0, np.array([0.0, 0.0, -30.0]))
     model = ToxicityModel(*train_words(good, bad, params), np.zeros(3))
 
