@@ -5,11 +5,12 @@ Sets of word n-grams are kept as ascending 64-bit hashes, one global order. Thei
 elements, so at least 2 ** level - h parts hold the same elements; in a global order of part signatures, the
 first h + 1 of each then share one. No link can be missed, no count of n-grams over the corpus is needed, and
 a signature covers several n-grams spread over the text, so a passage alone makes few candidates.
-Each set first meets the partner that shares most signatures with it. Signatures whose sets are then in one
+Each set first goes to the partner that shares most signatures with it. Signatures whose sets are then in one
 class are done; in the others, parity sketches (their differing bits never exceed the differing elements) tell
 which pairs can link. Each set first meets the closest of another class, which joins large groups of near copies
-by a row a set; then all pairs that remain between classes are verified. Verification builds a path-compressed trie of the sets that meet one
-probe and walks it, sharing partial overlaps and pruning subtrees by remaining length.
+by a row a set; then all pairs that remain between classes are verified. Sets that go to one partner are stored in
+a path-compressed trie, and the trie is joined with the partner and with itself: a walk shares partial overlaps,
+prunes subtrees by remaining length, and leaves out sets that earlier walks have joined.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, Hasher, chunks, mix, shingle_hashes, words
 from .components import components
-from .shared import written
+from .shared import with_key_columns, written
 
-#: Sets that meet one probe in a task, and members of a signature compared in a task (squared).
-TRIE_SETS, BLOCK_SETS = 256, 1024
-#: Sets, and members of signatures, that a task takes at once: many small groups, or one of the largest.
-TASK_SETS, TASK_ROWS = 1024, 16_384
+#: Bytes of sets in one trie (or one larger set), and of all tries that are made together.
+TRIE_BYTES, TASK_BYTES = 1 << 20, 4 << 20
+#: Members of a signature compared together (squared), rows of signatures in one deal, and pairs returned at once.
+BLOCK_SETS, TASK_ROWS, PAIRS = 1024, 16_384, 65_536
 #: Times that each set of an open signature meets its closest set of another class, before all that remain are compared.
 CLOSEST_ROUNDS = 1
 #: Candidate ids are broadcast up to this many rows (8 bytes each); beyond it texts are shuffled to them.
@@ -138,40 +139,72 @@ def _folded(sketch: bytes, size: int) -> np.ndarray:
     return x
 
 
-def trie_matches(probe: np.ndarray, sets: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]:
-    """(position, overlap) of the sets that reach the threshold with the probe."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    ranked = [sets[i] for i in order]
-    shared = [0] * len(ranked)  # elements in common with the set before
-    for i in range(1, len(ranked)):
-        n = min(len(ranked[i - 1]), len(ranked[i]))
-        differ = np.flatnonzero(ranked[i - 1][:n] != ranked[i][:n])
-        shared[i] = int(differ[0]) if len(differ) else n
-    found = []
-    stack = [(0, len(ranked), 0, 0)] if ranked else []
-    while stack:
-        lo, hi, depth, overlap = stack.pop()
-        down = len(ranked[lo]) if hi - lo == 1 else min(shared[lo + 1 : hi])
-        edge = ranked[lo][depth:down]
-        rest = len(probe)
-        if len(edge):
-            at = np.searchsorted(probe, edge)
-            overlap += int((probe[np.minimum(at, len(probe) - 1)] == edge).sum()) if len(probe) else 0
-        if down:
-            rest = len(probe) - int(np.searchsorted(probe, ranked[lo][down - 1], side="right"))
-        lengths = [len(s) for s in ranked[lo:hi]]
-        if overlap + min(rest, max(lengths) - down) < t.least_overlap(len(probe) + min(lengths)):
-            continue
-        if hi - lo == 1:
-            if overlap and t.den * overlap >= t.num * (len(probe) + lengths[0] - overlap):
-                found.append((order[lo], overlap))
-            continue
-        cut = lo
-        for i in range(lo + 1, hi + 1):
-            if i == hi or shared[i] == down:
-                stack.append((cut, i, down, overlap))
-                cut = i
-    return found
+class PrefixTree:
+    """A path-compressed trie of ascending sets, kept as their sorted order and what neighbours share."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        self.ranked = [sets[i] for i in self.order]
+        self.lengths = [len(x) for x in self.ranked]
+        self.shared = [0] * len(sets)  # elements in common with the set before
+        for i in range(1, len(sets)):
+            n = min(self.lengths[i - 1], self.lengths[i])
+            differ = np.flatnonzero(self.ranked[i - 1][:n] != self.ranked[i][:n])
+            self.shared[i] = int(differ[0]) if len(differ) else n
+
+    def matches(self, probe: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+        """(position, overlap) of the sets that reach the threshold with the probe."""
+        ranked, shared = self.ranked, self.shared
+        found = []
+        stack = [(0, len(ranked), 0, 0)] if ranked else []
+        while stack:
+            lo, hi, depth, overlap = stack.pop()
+            down = self.lengths[lo] if hi - lo == 1 else min(shared[lo + 1 : hi])
+            edge = ranked[lo][depth:down]
+            rest = len(probe)
+            if len(edge) and len(probe):
+                at = np.searchsorted(probe, edge)
+                overlap += int((probe[np.minimum(at, len(probe) - 1)] == edge).sum())
+            if down:
+                rest = len(probe) - int(np.searchsorted(probe, ranked[lo][down - 1], side="right"))
+            lengths = self.lengths[lo:hi]
+            if overlap + min(rest, max(lengths) - down) < t.least_overlap(len(probe) + min(lengths)):
+                continue
+            if hi - lo == 1:
+                if overlap and t.den * overlap >= t.num * (len(probe) + lengths[0] - overlap):
+                    found.append((self.order[lo], overlap))
+                continue
+            cut = lo
+            for i in range(lo + 1, hi + 1):
+                if i == hi or shared[i] == down:
+                    stack.append((cut, i, down, overlap))
+                    cut = i
+        return found
+
+    def spanning(self, first: list[int], t: Threshold) -> list[tuple[int, int, int]]:
+        """(position, position, overlap) of links that join all the first ones link with, and every other set with
+        what it links with; a set that a walk has joined is not walked for again.
+        """
+        parent = list(range(len(self.ranked)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        sets = dict(zip(self.order, self.ranked))
+        joined, links = set(), []
+        for i in [*first, *self.order]:
+            if i in joined and i not in first:
+                continue
+            joined.add(i)
+            for j, overlap in self.matches(sets[i], t):
+                a, b = root(i), root(j)
+                joined.add(j)
+                if a != b:
+                    parent[a] = b
+                    links.append((i, j, overlap))
+        return links
 
 
 class NgramJaccard:
@@ -211,14 +244,16 @@ class NgramJaccard:
         docs = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti")
         return docs.mapInArrow(run, "sig long, id long")
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that link, with their overlap."""
+    def _verified(self, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Links (a, b, overlap) that join every two sets of a pair that link: pairs (a, b) are dealt out by a."""
         k, t = self.k, self.t
-        cuts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TRIE_SETS).cast("int").alias("cuts"))
-        members = pairs.join(cuts, "a").select(F.col("b").alias("id"), F.col("a").alias("probe"), F.pmod(F.xxhash64("b"), "cuts").cast("int").alias("cut"), F.lit(False).alias("asks"))
-        probes = cuts.select(F.col("a").alias("id"), F.col("a").alias("probe"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(True).alias("asks"))
-        wanted = members.unionByName(probes)
-        wanted = written(self.spark, wanted, "wanted")
+        pairs = written(self.spark, pairs.join(sizes.select(F.col("id").alias("b"), (8 * F.col("n")).alias("bytes")), "b").select("a", "b", "bytes"), "pairs")
+        cuts = pairs.groupBy("a").agg(F.ceil(F.sum("bytes") / TRIE_BYTES).cast("int").alias("cuts"), F.count(F.lit(1)).alias("rows"))
+        cuts = written(self.spark, cuts.join(sizes.select(F.col("id").alias("a"), (8 * F.col("n")).alias("bytes")), "a"), "cuts")
+        members = with_key_columns(pairs, cuts.select("a", "cuts", "rows"), ["a"], "rows", pairs.count(), "inner")
+        members = members.select(F.col("b").alias("id"), F.col("a").alias("probe"), F.pmod(F.xxhash64("b"), "cuts").cast("int").alias("cut"), F.lit(False).alias("asks"), "bytes")
+        probes = cuts.select(F.col("a").alias("id"), F.col("a").alias("probe"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(True).alias("asks"), "bytes")
+        wanted = written(self.spark, members.unionByName(probes), "wanted")
         needed = wanted.select("id").distinct()
         few = needed.count() <= BROADCAST_ROWS
         texts = self.docs.join(F.broadcast(needed) if few else needed, "id", "left_semi")
@@ -233,65 +268,70 @@ class NgramJaccard:
             out = []
             for _, group in pdf.groupby(["probe", "cut"], sort=False).indices.items():
                 asks = pdf["asks"].to_numpy(dtype=bool)[group]
-                ids, raw = pdf["id"].to_numpy()[group], pdf["elements"].to_numpy()[group]
-                members = dict(zip(zip(ids[~asks].tolist(), raw[~asks]), raw[~asks]))
-                names, sets = [i for i, _ in members], [np.frombuffer(x, dtype=np.uint64) for x in members.values()]
-                for p, x in dict(zip(zip(ids[asks].tolist(), raw[asks]), raw[asks])).items():
-                    out += [(p[0], names[i], n) for i, n in trie_matches(np.frombuffer(x, dtype=np.uint64), sets, t)]
+                ids, raw = pdf["id"].to_numpy()[group].tolist(), pdf["elements"].to_numpy()[group].tolist()
+                names = list(dict.fromkeys(sorted(zip(ids, raw, ~asks), key=lambda x: x[2])))  # the partner comes first
+                tree = PrefixTree([np.frombuffer(x, dtype=np.uint64) for _, x, _ in names])
+                out += [(names[i][0], names[j][0], n) for i, j, n in tree.spanning([i for i, x in enumerate(names) if not x[2]], t)]
             return pd.DataFrame(out, columns=["a", "b", "overlap"])
 
-        held = texts.mapInArrow(to_sets, "id long, elements binary").join(wanted, "id")
-        deal = max(1, -(-wanted.count() // TASK_SETS))
-        return held.groupBy(F.pmod(F.xxhash64("probe", "cut"), F.lit(deal)).alias("deal")).applyInPandas(walk, "a long, b long, overlap long")
+        held = texts.mapInArrow(to_sets, "id long, elements binary").join(wanted.drop("bytes"), "id")
+        deal = max(1, -(-(wanted.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
+        return held.groupBy(F.pmod(F.xxhash64("probe", "cut"), F.lit(deal)).alias("deal")).applyInPandas(walk, "a long, b long, overlap long").where("a <> b")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(links, membership): verified links (a, b) between class representatives, enough to connect every class,
         and (id, n, representative): the smallest id with the same set.
         """
-        t = self.t
-        reps = self.summary.where("id IS NOT NULL AND n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
-        membership = self.summary.select("id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
-        membership = written(self.spark, membership, "membership")
-        sigs = self._signatures(membership.where("id <> rep").select("id").distinct())
-        sketches = self.summary.join(reps.select(F.col("rep").alias("id"), "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])
-        sketches = written(self.spark, sketches, "sketches")
-        ends = sigs.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-        shared = sigs.join(ends.drop("hi"), "sig")
-        shared = written(self.spark, shared, "shared-signatures")
+        spark, keys = self.spark, ["n", "d1", "d2"]
+        alike = self.summary.where("id IS NOT NULL AND n > 0").groupBy(*keys).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        membership = with_key_columns(self.summary, written(spark, alike, "equal-sets"), keys, "rows", self.summary.count())
+        membership = membership.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("rep"), "sketch")
+        membership = written(spark, membership.withColumn("sketch", F.when(F.col("id") == F.col("rep"), F.col("sketch"))), "membership")
+        sketches = written(spark, membership.where("id = rep AND n > 0").select("id", "n", "sketch").dropDuplicates(["id"]), "sketches")
+        sigs = written(spark, self._signatures(membership.where("id <> rep").select("id").distinct()), "signatures")
+        ends = written(spark, sigs.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi"), "shared-signatures")
+        shared = written(spark, with_key_columns(sigs, ends.drop("hi"), ["sig"], "rows", sigs.count(), "inner").drop("rows"), "shared")
         # The first partner of each set: of the smallest ids at its signatures, the one that most of them have.
         met = shared.where("id <> lo").groupBy("id", "lo").agg(F.count(F.lit(1)).alias("votes"))
         met = met.groupBy("id").agg(F.max_by("lo", F.struct("votes", -F.col("lo"))).alias("a")).select("a", F.col("id").alias("b"))
-        first = written(self.spark, self._verified(met), "links")
-        links = first
+        links = written(spark, self._verified(met, sketches), "links").select("a", "b")
         for closest in [True] * CLOSEST_ROUNDS + [False]:
             # Signatures that still join several classes.
-            classes = components(self.spark, links.select("a", "b"))
+            classes = written(spark, components(spark, links), "classes")
             placed = shared.select("sig", "id").join(classes, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-            placed = written(self.spark, placed, "placed")
+            placed = written(spark, placed, "placed")
             open_ = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1")
-            open_ = open_.select("sig", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("cuts"), (F.col("size") * F.ceil(F.col("size") / BLOCK_SETS)).alias("rows"))
-            open_ = written(self.spark, open_, "open-signatures")
-            left = self._open_pairs(placed, open_, sketches, closest)
-            more = written(self.spark, self._verified(written(self.spark, left, "open-pairs")), "links")
-            links = links.unionByName(more)
-            shared = placed.join(open_.select("sig"), "sig", "left_semi")
-        return links, membership
+            open_ = open_.select("sig", "size", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("cuts"), (F.col("size") * F.ceil(F.col("size") / BLOCK_SETS)).alias("rows"))
+            open_ = written(spark, open_, "open-signatures")
+            shared = written(spark, with_key_columns(placed, open_.select("sig", "size", "cuts"), ["sig"], "size", placed.count(), "inner").drop("size"), "open")
+            left = written(spark, self._open_pairs(shared, open_, sketches, closest), "open-pairs")
+            more = written(spark, self._verified(left, sketches), "links")
+            links = classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
+        return links, membership.select("id", "n", "rep")
 
     def _open_pairs(self, placed: DataFrame, open_: DataFrame, sketches: DataFrame, closest: bool) -> DataFrame:
         """Pairs (a, b) of different classes that share an open signature and whose sketches let them link: all of them,
         or, with closest, of each set the one with the fewest differing bits (a row a set, however large its groups).
         """
         t = self.t
-        rows = placed.join(open_.select("sig", "cuts"), "sig").join(sketches, "id")
+        rows = placed.join(sketches, "id")
         rows = rows.select("sig", "id", "component", "n", "sketch", F.pmod(F.xxhash64("id"), "cuts").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
         rows = rows.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component", "n", "sketch", "own")
 
-        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        def closest_of(a: list[np.ndarray], b: list[np.ndarray], apart: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+            u, v, d = (np.concatenate(z) for z in (a, b, apart))
+            u, v, d = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([d, d])
+            best = np.lexsort((v, d, u))
+            best = best[np.concatenate(([True], u[best][1:] != u[best][:-1]))]
+            return u[best], v[best], d[best]
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(list(batches), ignore_index=True)
             keys = pdf[["sig", "x", "y"]].to_numpy()
             order = np.lexsort(keys.T)
             edges = np.flatnonzero(np.concatenate(([True], (keys[order][1:] != keys[order][:-1]).any(axis=1), [True])))
             ids, comps, n, own, sketches = (pdf[c].to_numpy()[order] for c in ("id", "component", "n", "own", "sketch"))
-            a, b, apart = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            a, b, apart, held = [], [], [], 0
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 x, y = keys[order[lo], 1:]
                 here = np.arange(lo, hi)
@@ -305,29 +345,33 @@ class NgramJaccard:
                         differ = np.bitwise_count(bits[j - lo] ^ bits[i - lo]).sum(axis=1, dtype=np.int64)
                         allowed = t.most_different(n[j] + n[i])
                         j, share = j[differ <= allowed], (differ / np.maximum(allowed, 1))[differ <= allowed]
+                    if len(j):
                         a.append(np.full(len(j), ids[i]))
                         b.append(ids[j])
                         apart.append(share)
-                if closest:  # what was found so far comes down to a row a set
-                    u, v, d = (np.concatenate(z) for z in (a, b, apart))
-                    u, v, d = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([d, d])
-                    best = np.lexsort((v, d, u))
-                    best = best[np.concatenate(([True], u[best][1:] != u[best][:-1]))] if len(best) else best
-                    a, b, apart = [u[best]], [v[best]], [d[best]]
-            out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "apart": np.concatenate(apart)})
-            return out if closest else out.drop_duplicates(["a", "b"])
+                        held += len(j)
+                    if held >= PAIRS:  # what is held at once is bounded
+                        if closest:
+                            a, b, apart = ([z] for z in closest_of(a, b, apart))
+                            held = len(a[0])
+                        if held >= PAIRS // 2:
+                            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "apart": np.concatenate(apart)})
+                            a, b, apart, held = [], [], [], 0
+            if held:
+                a, b, apart = closest_of(a, b, apart) if closest else (np.concatenate(z) for z in (a, b, apart))
+                yield pd.DataFrame({"a": a, "b": b, "apart": apart})
 
         deal = max(1, -(-(open_.agg(F.sum("rows")).first()[0] or 0) // TASK_ROWS))
         rows = rows.withColumn("deal", F.pmod(F.xxhash64("sig", "x", "y"), F.lit(deal)))
         pairs = rows.groupBy("deal").applyInPandas(compare, "a long, b long, apart double")
         if closest:
-            pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("first")).select("a", F.col("first.b").alias("b"))
+            pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart")).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("first")).select("a", F.col("first.b").alias("b"))
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def classes(self) -> DataFrame:
         """(id, n, component): one row per row of docs; component is the smallest id reachable by links."""
         links, membership = self.links()
-        found = components(self.spark, links.select("a", "b")).withColumnRenamed("id", "rep")
+        found = components(self.spark, links).withColumnRenamed("id", "rep")
         return membership.join(found, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
 
 
