@@ -81,8 +81,19 @@ def test_trie():
     for _ in range(50):
         probe = np.unique(rng.integers(0, 60, 40)).astype(np.uint64)
         sets = [np.unique(np.concatenate([rng.choice(probe, len(probe) - rng.integers(0, 8), replace=False), rng.integers(0, 60, rng.integers(0, 4)).astype(np.uint64)])) for _ in range(12)]
+        linked = {(i, j) for i, j in itertools.permutations(range(12), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
         expected = {(i, len(np.intersect1d(probe, s))) for i, s in enumerate(sets) if 100 * len(np.intersect1d(probe, s)) >= 80 * len(np.union1d(probe, s))}
-        assert set(jaccard.trie_matches(probe, sets, t)) == expected
+        tree = jaccard.PrefixTree(sets)
+        assert set(tree.matches(probe, t)) == expected
+        # The join of the trie with itself: only true links, all of the first set's, one at least of every set that has any.
+        found = tree.spanning([0], t)
+        assert {(i, j) for i, j, _ in found} <= linked
+        classes = {i: {i} for i in range(12)}
+        for i, j, overlap in found:
+            assert overlap == len(np.intersect1d(sets[i], sets[j]))
+            both = classes[i] | classes[j]
+            classes |= {x: both for x in both}
+        assert all(j in classes[0] for i, j in linked if i == 0) and all(len(classes[i]) > 1 for i, _ in linked)
 
 
 def secrets(text):
@@ -148,8 +159,6 @@ def test_packing_and_token_counts(spark, docs, nothing):
         seen[r.doc_id][r.start] = np.frombuffer(r.token_ids, "<u4").tolist()
     for i, parts in seen.items():
         assert sum((parts[s] for s in sorted(parts)), []) == ids[i] + [1]
-    digests = {(r.doc_id, r.start): r.ids_crc32 for r in packing.pack_documents(docs, path, longest=64, digests=True).collect()}
-    assert all(digests[r.doc_id, r.start] == zlib.crc32(r.token_ids) for r in pieces)
     for block in (7, 1 << 20):
         for r in tokencounts.count_tokens(spark, docs, path, 49407, block_tokens=block).collect():
             assert r.n_tokens == len(ids[5 if r.doc_id is None else r.doc_id])
