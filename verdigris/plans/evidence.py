@@ -23,7 +23,7 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     WITH c AS ({EVIDENCE_SQL}), s AS (SELECT o_orderpriority, least(1.0, abs(o_totalprice - evidence) / evidence / 0.15) AS score FROM c WHERE evidence > 0)
     SELECT o_orderpriority, CASE WHEN score < 0.25 THEN 'low' WHEN score < 0.5 THEN 'medium' ELSE 'high' END AS level, count(*) AS n_claims, round(avg(score), 6) AS mean_score
     FROM s GROUP BY ALL""")
-def claim_vs_evidence_asof(spark, d):
+def order_delta_levels(spark, d):
     score = saturating(relative_delta(F.col("o_totalprice"), F.col("evidence")), 0.15)
     rows = claims(spark, d).where("evidence > 0").select("o_orderpriority", score.alias("score"))
     return rows.groupBy("o_orderpriority", risk_level(F.col("score")).alias("level")).agg(F.count(F.lit(1)).alias("n_claims"), F.round(F.avg("score"), 6).alias("mean_score"))
