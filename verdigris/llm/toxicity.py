@@ -135,6 +135,11 @@ def dense(units: list[str], columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def windows(word: str) -> list[str]:
+    """The word, or a long one's windows of two cells, a cell apart: words are learnt from as they are scored."""
+    return [word] if len(word) <= 2 * CELL else [word[i : i + 2 * CELL] for i in range(0, len(word) - CELL, CELL)]
+
+
 def train_words(good: list[str], bad: list[str], params: ToxicityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Subsequence slots, checks and weights, and the bias, of the machine that tells bad words from good ones."""
     rng = np.random.default_rng(11)
@@ -255,7 +260,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
             for lo, hi, units, which, rows in _units(batch.column(1)):
                 pairs = np.unique(np.column_stack([rows, which]), axis=0)
                 cut = np.searchsorted(pairs[:, 0], np.arange(hi - lo + 1))
-                held = [[units[i] for i in pairs[a:b, 1]] for a, b in zip(cut[:-1], cut[1:])]
+                held = [[w for i in pairs[a:b, 1] for w in windows(units[i])] for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi].cast(pa.int32()), pa.array(families[lo:hi]), pa.array(held, pa.list_(pa.string()))], names=["id", "toxic", "family", "words"])
 
     texts = written(spark, texts.select("id", "text", "toxic"), "labelled")
