@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# What is masked, in this order, and by what.
-MASKS = [
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
-    (r"(?<![0-9])[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}(?![0-9])", "[CARD]"),
-    (r"(?<![0-9])[0-9](?:-?[0-9]){9,}(?![0-9])", "[ACCOUNT]"),
-]
-
-
-def masked(text: Column) -> Column:
-    for pattern, label in MASKS:
-        text = F.regexp_replace(text, pattern, label)
-    return text
-
+from ..functions.pii import masked_deep
 
 def write_audit(df: DataFrame, path: str, masking: bool = True) -> None:
-    """One JSON record a row; with masking, personal data in strings (however deep) is masked before it is written."""
-    record = F.to_json(F.struct(*[df[c] for c in df.columns]))
-    df.select((masked(record) if masking else record).alias("value")).write.mode("overwrite").text(path)
+    """One JSON record a row; with masking, personal data in strings (however deep) is masked before they become JSON, so
+    numbers and keys stay as they are.
+    """
+    columns = [masked_deep(df[f.name], f.dataType).alias(f.name) if masking else df[f.name] for f in df.schema.fields]
+    df.select(F.to_json(F.struct(*columns)).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
