@@ -1,35 +1,83 @@
-"""Keyword retrieval with BM25, overlap retrieval, and fusion of ranked lists."""
+"""Retrieval by keywords (BM25) and by hashed vectors in one pass, fusion of ranked lists, and gates on what is found."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import words
 
+# Parameters of BM25, buckets of a hashed vector, weights and limits of fusion and gates.
+K1, B, BUCKETS = 1.5, 0.75, 256
+KEYWORDS, VECTORS, RRF, LATER = 0.55, 0.45, 60, 0.7
+LEAST_SCORE, LEAST_MARGIN, LEAST_OVERLAP, STRONG = 0.54, 0.12, 0.2, 0.95
+STOP_TERMS = ["수치", "실적", "성과", "지표", "기준", "관련", "현황", "데이터", "운영"]
+TOKEN = "[0-9A-Za-z가-힣]+"
+#: Query terms are broadcast up to this many rows; beyond it they are shuffled.
+BROADCAST_ROWS = 1 << 20
+
+
+def word_pairs(text: Column) -> Column:
+    """Words between blanks, and pairs of neighbouring characters that aren't both blank."""
+    chars = F.split(text, "")
+    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), F.concat)
+    return F.concat(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.filter(pairs, lambda p: ~p.rlike(r"^\s*$")))
+
+
+def bucket(term: Column) -> Column:
+    """md5 of the term modulo 256."""
+    return F.conv(F.substring(F.md5(term.cast("binary")), 31, 2), 16, 10).cast("int")
+
+
+def norm(terms: Column) -> Column:
+    """Length of the vector of bucket counts: sorted buckets stand in runs, and a run of n adds 1 + 3 + ... = n squared."""
+    first = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("sum"))
 
-def query_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Term counts of documents for query terms only: (query_id, doc_id, term, tf, n_terms, n_query_terms).
+    def step(a: Column, b: Column) -> Column:
+        run = F.when(a["last"] == b, a["run"] + 1).otherwise(F.lit(1))
+        return F.struct(b.alias("last"), run.alias("run"), (a["sum"] + 2 * run - 1).cast("long").alias("sum"))
 
-    docs has doc_id and text, queries query_id and text. Counts are made per document before the shuffle to
-    terms, and terms no query has are dropped by a semi join first.
+    return F.sqrt(F.aggregate(F.array_sort(F.transform(terms, bucket)), first, step, lambda a: a["sum"]))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def scores(docs: DataFrame, queries: DataFrame, tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """(query_id, doc_id, bm25, cosine) of every document that shares a term or a bucket with a query.
+
+    docs has doc_id and text, queries query_id and text; a term that a query repeats counts each time. A document's
+    terms are counted once. The inner product of bucket counts is a sum over terms, so both scores come from one
+    aggregation, and what is shuffled is a row a document and query. Null and empty texts match nothing.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    terms = terms.withColumn("n_query_terms", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-    tf = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n_terms"), F.explode("w").alias("term"))
-    tf = tf.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.join(terms, "term")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, bm25, overlap): the score, and the share of query terms found."""
-    found = query_hits(docs, queries)
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(words(F.col("text"))).cast("double")).alias("avg_terms"))
-    df = found.select("doc_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = found.join(df, "term").crossJoin(F.broadcast(stats))
+    made = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    # What is said of a whole text is worked out before its terms become rows.
+    tf = made.select("doc_id", "w", F.size("w").alias("n_terms"), norm(F.col("w")).alias("norm")).select("doc_id", "n_terms", "norm", F.explode("w").alias("term")).groupBy("doc_id", "n_terms", "norm", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = queries.select("query_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    terms = asked.select("query_id", "w", norm(F.col("w")).alias("length")).select("query_id", "length", F.explode("w").alias("term")).groupBy("query_id", "length", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    vocabulary = _small(terms.select("term").distinct())
+    df = tf.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = made.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w").cast("double")).alias("avg_terms"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("avg_terms")))
-    return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("bm25"), F.round(F.count(F.lit(1)) / F.max("n_query_terms"), 6).alias("overlap"))
+    weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * idf).alias("weight"), "avg_terms")
+    buckets = _small(terms.groupBy("query_id", "length", bucket(F.col("term")).alias("bucket")).agg(F.sum("qtf").alias("q")))
+    dl = F.greatest(F.col("n_terms"), F.lit(1)) / F.greatest(F.col("avg_terms"), F.lit(1.0))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * dl))
+    by_term = tf.join(F.broadcast(weights) if terms.count() <= BROADCAST_ROWS else weights, "term").select("query_id", "doc_id", part.alias("bm25"), F.lit(0.0).alias("cosine"))
+    by_bucket = tf.withColumn("bucket", bucket(F.col("term"))).join(buckets, "bucket").select("query_id", "doc_id", F.lit(0.0).alias("bm25"), (F.col("tf") * F.col("q") / F.col("norm") / F.col("length")).alias("cosine"))
+    summed = by_term.unionByName(by_bucket).groupBy("query_id", "doc_id").agg(F.sum("bm25").alias("bm25"), F.sum("cosine").alias("cosine"))
+    return summed.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("cosine", 6).alias("cosine"))
+
+
+def ranked(scored: DataFrame, k: int) -> DataFrame:
+    """(query_id, kind, doc_id, score, rank): the k best of each query by keywords (above 0) and by vectors, in one frame."""
+    kinds = F.array(F.struct(F.lit("bm25").alias("kind"), F.col("bm25").alias("score")), F.struct(F.lit("vector").alias("kind"), F.col("cosine").alias("score")))
+    rows = scored.select("query_id", "doc_id", F.explode(kinds).alias("x")).select("query_id", "x.kind", "doc_id", "x.score").where("score > 0")
+    order = Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top(scored: DataFrame, score: str, k: int, rank: str = "rank") -> DataFrame:
@@ -37,25 +85,128 @@ def top(scored: DataFrame, score: str, k: int, rank: str = "rank") -> DataFrame:
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def min_max(score: str) -> Column:
-    """Scaled to 0..1 within a query's list; 1 where all are equal."""
-    w = Window.partitionBy("query_id")
+def min_max(score: str, *keys: str) -> Column:
+    """Scaled to 0..1 within a list; 1 where all are equal."""
+    w = Window.partitionBy(*keys)
     low, high = F.min(score).over(w), F.max(score).over(w)
     return F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low))
 
 
-def fuse(a: DataFrame, b: DataFrame, k: int, wa: float = 0.55, wb: float = 0.45) -> DataFrame:
-    """Weighted sum of two min-max scaled lists (query_id, doc_id, score), best k of each query."""
-    parts = a.select("query_id", "doc_id", (min_max("score") * wa).alias("s")).unionByName(b.select("query_id", "doc_id", (min_max("score") * wb).alias("s")))
-    return top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 4).alias("score")), "score", k)
+def fuse(lists: DataFrame, k: int, bonus: DataFrame | None = None) -> DataFrame:
+    """The k best of each query by the weighted sum of its scaled lists; bonus (query_id, doc_id, bonus) is added to what was found."""
+    weight = F.when(F.col("kind") == "bm25", KEYWORDS).otherwise(VECTORS)
+    summed = lists.withColumn("s", min_max("score", "query_id", "kind") * weight).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
+    if bonus is not None:
+        summed = summed.join(bonus, ["query_id", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
+    return top(summed.withColumn("score", F.round("score", 4)), "score", k)
 
 
-def rrf(lists: list[tuple[DataFrame, float]], k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of weighted lists (query_id, doc_id, rank), scaled so that the best has 1."""
-    parts = None
-    for ranked, weight in lists:
-        part = ranked.select("query_id", "doc_id", (F.lit(weight) / (constant + F.col("rank"))).alias("s"))
-        parts = part if parts is None else parts.unionByName(part)
-    summed = parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("s"))
+def rrf(lists: DataFrame, weight: Column, k: int) -> DataFrame:
+    """Reciprocal rank fusion of (query_id, doc_id, rank), each row by its weight, scaled so that the best has 1."""
+    summed = lists.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight / (RRF + F.col("rank"))), 9).alias("s"))
     best = F.max("s").over(Window.partitionBy("query_id"))
     return top(summed.withColumn("score", F.round(F.col("s") / best, 6)).drop("s"), "score", k)
+
+
+def query_bonus(code: Column, source: Column, query: Column) -> Column:
+    """0.35 where the query names the chunk's code, 0.05 for structured sources."""
+    named = F.coalesce((code != "") & F.contains(query, code), F.lit(False))
+    return F.when(F.trim(query) == "", 0.0).otherwise(F.when(named, 0.35).otherwise(0.0) + F.when(source == "dart_struct", 0.05).otherwise(0.0))
+
+
+def query_variants(query: Column) -> Column:
+    """The query, each of its parts between commas, and each part asking for figures; at most eight, no repeats."""
+    clean = lambda s: F.trim(F.regexp_replace(F.replace(s, F.lit(","), F.lit(" ")), r"\s+", " "))
+    parts = F.filter(F.transform(F.split(query, ","), F.trim), lambda p: F.length(p) >= 2)
+    found = F.concat(F.array(clean(query)), F.flatten(F.transform(parts, lambda p: F.array(clean(p), clean(F.concat(p, F.lit(" 수치")))))))
+    return F.slice(F.array_distinct(F.filter(found, lambda v: v != "")), 1, 8)
+
+
+def covers_query(query: Column, text: Column) -> Column:
+    """Whether a text holds a query's terms: one, or two of three and more. The first term is let go if it isn't there and
+    others are; short terms and those that say nothing don't count. A query without terms is covered.
+    """
+    flat = F.array_join(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), "")
+    terms = F.array_distinct(F.regexp_extract_all(query, F.lit(f"({TOKEN})"), F.lit(1)))
+    rest = F.when((F.size(terms) >= 2) & ~F.contains(flat, F.get(terms, F.lit(0))), F.slice(terms, F.lit(2), F.size(terms))).otherwise(terms)
+    kept = F.filter(rest, lambda t: (F.length(t) >= 2) & ~t.isin(STOP_TERMS))
+    hit = F.size(F.filter(kept, lambda t: F.contains(flat, t)))
+    return (F.size(kept) == 0) | (hit >= F.when(F.size(kept) >= 3, 2).otherwise(1))
+
+
+def has_figure(text: Column) -> Column:
+    """A digit in the text, a tag in brackets at its start apart, after "수치:" where that stands."""
+    bare = F.trim(F.regexp_replace(text, r"^\[[^\]]+\]\s*", ""))
+    return F.when(F.contains(bare, F.lit("수치:")), F.regexp_replace(bare, r"(?s)^.*?수치:", "")).otherwise(bare).rlike(r"\d")
+
+
+def gate(found: DataFrame, tier: int = 1, max_tier: int = 2) -> DataFrame:
+    """found with decision, hard_fails and soft_flags of the retrieval gate, a row a query.
+
+    found has query, area_terms, top_text (null: nothing found), source, report_year, top1, tail, n (results) and overlap
+    of the two methods (null where only one was asked). No result, a low first score, no area term, no query term or no
+    figure are hard; a small margin, no period, no source, a small overlap are soft. Hard fails, or two soft flags,
+    escalate while tiers are left and then go to a person, but for a strong hit of a structured source.
+    """
+    text, none = F.coalesce("top_text", F.lit("")), F.col("top_text").isNull()
+    margin = F.greatest(F.lit(0.0), F.col("top1") - F.when(F.col("n") > 1, F.col("tail")).otherwise(0.0))
+    area = F.exists("area_terms", lambda t: F.contains(F.lower(text), F.lower(t)))
+    period = text.rlike(r"(19|20)\d{2}") | (F.coalesce(F.trim("report_year"), F.lit("")) != "")
+    asked = F.col("query") != ""
+    covered = covers_query(F.col("query"), text)
+    hard = F.when(none, F.array(F.lit("R0_no_corp_hits"))).otherwise(F.array_compact(F.array(
+        F.when(F.col("top1") < LEAST_SCORE, "R1_low_top1_score"), F.when(~area, "R3_area_keyword_missing"), F.when(asked & ~covered, "R3_query_keyword_missing"), F.when(~has_figure(text), "R3_numeric_evidence_missing"),
+    )))
+    soft = F.when(none, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(
+        F.when(margin < LEAST_MARGIN, "R2_low_margin"), F.when(~period, "R3_period_missing"), F.when(F.coalesce("source", F.lit("")) == "", "R3_source_missing"), F.when(F.coalesce(F.col("overlap") < LEAST_OVERLAP, F.lit(False)), "R4_low_method_overlap"),
+    )))
+    rows = found.withColumns({"hard_fails": hard, "soft_flags": soft})
+    strong = (F.size("hard_fails") == 0) & (F.col("source") == "dart_struct") & (F.col("top1") >= STRONG) & ~F.array_contains("soft_flags", F.lit("R3_source_missing"))
+    failed = (F.size("hard_fails") > 0) | ((F.size("soft_flags") > 1) & ~F.coalesce(strong, F.lit(False)))
+    return rows.withColumn("decision", F.when(~failed, "ACCEPT").otherwise("ESCALATE" if tier < max_tier else "HUMAN"))
+
+
+def method_overlap(lists: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, overlap): Jaccard of the two methods' k best."""
+    ids = lambda kind: F.collect_set(F.when((F.col("kind") == kind) & (F.col("rank") <= k), F.col("doc_id")))
+    both = lists.groupBy("query_id").agg(ids("bm25").alias("x"), ids("vector").alias("y"))
+    return both.select("query_id", F.coalesce(F.try_divide(F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))), F.lit(0.0)).alias("overlap"))
+
+
+def cascade(docs: DataFrame, queries: DataFrame, k: int = 5, max_tier: int = 2, tokens: Callable[[Column], Column] = word_pairs) -> DataFrame:
+    """(query_id, tier, decision, hard_fails, soft_flags, ids): keywords alone, then both methods, then variants of the
+    query fused by rank; the first tier that is accepted, else the last.
+
+    docs has doc_id, text, code, source and report_year, queries query_id, text and area_terms. All tiers are computed
+    together, as stopping early would only save work for single queries. Queries that find nothing fail in every tier.
+    """
+    deep = max(k, 8)
+    variants = queries.select("query_id", F.posexplode(query_variants(F.coalesce("text", F.lit("")))).alias("v", "text"))
+    keyed = variants.select(F.struct("query_id", "v").alias("query_id"), "text")
+    facts = docs.select("doc_id", "code", F.col("source").alias("_source"))
+    lists = ranked(scores(docs.select("doc_id", "text"), keyed, tokens), deep)
+    named = lists.select("query_id", "doc_id").distinct().join(facts, "doc_id").join(keyed, "query_id")
+    bonus = named.select("query_id", "doc_id", query_bonus(F.col("code"), F.col("_source"), F.col("text")).alias("bonus"))
+    plain = lambda rows: rows.withColumn("query_id", F.col("query_id.query_id"))
+    own = F.col("query_id.v") == 0
+    tier0 = plain(top(lists.where(own & (F.col("kind") == "bm25")).withColumn("score", F.round(min_max("score", "query_id", "kind"), 4)), "score", k)).select("query_id", "doc_id", "score", "rank", F.lit(0).alias("tier"))
+    hybrid = fuse(lists, deep, bonus)
+    tier1 = plain(hybrid.where(own & (F.col("rank") <= k))).select("query_id", "doc_id", "score", "rank", F.lit(1).alias("tier"))
+    first = plain(bonus.where(own)).withColumn("bonus", F.col("bonus") / 10)
+    parts = hybrid.select(F.col("query_id.query_id").alias("query_id"), "doc_id", (F.when(own, 1.0).otherwise(LATER) / (RRF + F.col("rank"))).alias("s"))
+    summed = parts.groupBy("query_id", "doc_id").agg(F.sum("s").alias("s")).join(first, ["query_id", "doc_id"], "left").withColumn("s", F.round(F.col("s") + F.coalesce("bonus", F.lit(0.0)), 9)).drop("bonus")
+    tier2 = top(summed.withColumn("score", F.round(F.col("s") / F.max("s").over(Window.partitionBy("query_id")), 4)), "score", k).select("query_id", "doc_id", "score", "rank", F.lit(2).alias("tier"))
+    hits = tier0.unionByName(tier1).unionByName(tier2).where(F.col("tier") <= max_tier).join(docs, "doc_id")
+    at = hits.groupBy("query_id", "tier").agg(
+        F.min_by(F.struct("text", "source", "report_year", "score"), "rank").alias("first"), F.max_by("score", "rank").alias("tail"), F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"),
+    )
+    overlap = plain(method_overlap(lists.where(own)))
+    every = queries.select("query_id", F.coalesce("text", F.lit("")).alias("query"), "area_terms", F.explode(F.array(*[F.lit(t) for t in range(max_tier + 1)])).alias("tier"))
+    found = every.join(at, ["query_id", "tier"], "left").join(overlap, "query_id", "left")
+    found = found.select("query_id", "tier", "query", "area_terms", F.col("first.text").alias("top_text"), "first.source", F.col("first.report_year").cast("string").alias("report_year"), F.col("first.score").alias("top1"), "tail", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("tier") == 0, 0.0).otherwise(F.coalesce("overlap", F.lit(0.0))).alias("overlap"), F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
+    judged = None
+    for t in range(max_tier + 1):
+        part = gate(found.where(F.col("tier") == t), t, max_tier)
+        judged = part if judged is None else judged.unionByName(part)
+    best = F.min_by(F.struct("tier", "decision", "hard_fails", "soft_flags", "ids"), F.struct((F.col("decision") != "ACCEPT").alias("late"), F.when(F.col("decision") == "ACCEPT", F.col("tier")).otherwise(-F.col("tier"))))
+    return judged.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import pct_diff, ratio, relative_delta, risk_level, saturating
+from ..functions.measures import ratio, relative_delta, risk_level, saturating
 from ..operators import matching
 from .registry import query, table
 
@@ -30,7 +30,7 @@ def order_delta_levels(spark, d):
 
 
 @query(f"WITH c AS ({EVIDENCE_SQL}) SELECT o_orderkey, o_totalprice, evidence, round(abs(o_totalprice - evidence) / evidence * 100, 6) AS diff_pct FROM c WHERE evidence > 0 AND abs(o_totalprice - evidence) / evidence * 100 <= 2")
-def claim_band_match_2pct(spark, d):
+def order_delta_within_2pct(spark, d):
     diff = relative_delta(F.col("o_totalprice"), F.col("evidence")) * 100
     return claims(spark, d).where("evidence > 0").where(diff <= 2).select("o_orderkey", "o_totalprice", "evidence", F.round(diff, 6).alias("diff_pct"))
 
@@ -103,7 +103,7 @@ def derived_metric_union(spark, d):
     p AS (SELECT l_partkey, period, l_quantity, l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_partkey) AS total,
           row_number() OVER (PARTITION BY l_partkey ORDER BY (l_returnflag = 'N') DESC, l_quantity DESC, l_orderkey, l_linenumber) AS rn FROM r WHERE period = latest)
     SELECT l_partkey, CAST(period AS INT) AS period, l_quantity AS confirmed, l_orderkey AS source_order, total FROM p WHERE rn = 1""")
-def datapoint_selection(spark, d):
+def latest_line_of_part(spark, d):
     rows = table(spark, d, "lineitem").select("l_partkey", F.year("l_shipdate").alias("period"), "l_quantity", "l_orderkey", "l_linenumber", "l_returnflag")
     newest = rows.groupBy("l_partkey").agg(F.max("period").alias("period"))
     at = rows.join(newest, ["l_partkey", "period"])
@@ -229,19 +229,19 @@ def order_tables(spark, d):
 
 
 @query(f"WITH t AS ({TABLE_SQL}) SELECT n_rows, count(*) AS n_tables, count(*) FILTER (abs(last_row - above) <= 0.05 * abs(above)) AS total_row_ok, round(avg(total), 2) AS mean_total FROM t WHERE n_rows > 1 GROUP BY n_rows")
-def table_gate_totals(spark, d):
+def order_totals_check(spark, d):
     ok = F.abs(F.col("last_row") - F.col("above")) <= 0.05 * F.abs(F.col("above"))
     return order_tables(spark, d).where("n_rows > 1").groupBy("n_rows").agg(F.count(F.lit(1)).alias("n_tables"), F.count_if(ok).alias("total_row_ok"), F.round(F.avg("total"), 2).alias("mean_total"))
 
 
 @query(f"WITH t AS ({TABLE_SQL}) SELECT l_orderkey, mid, top, top > 3 * mid AS out_of_scale FROM t WHERE n_rows >= 3")
-def table_gate_magnitude(spark, d):
+def order_magnitude_check(spark, d):
     return order_tables(spark, d).where("n_rows >= 3").select("l_orderkey", "mid", "top", (F.col("top") > 3 * F.col("mid")).alias("out_of_scale"))
 
 
 @query(f"""WITH t AS ({TABLE_SQL}), f AS (SELECT *, (n_rows < 2)::INT AS few, (top > 3 * mid)::INT AS scale, (low < 0.05 * mid)::INT AS tiny FROM t)
     SELECT CASE WHEN few = 1 THEN 'HUMAN' WHEN scale + tiny >= 2 THEN 'HUMAN' WHEN scale + tiny = 1 THEN 'ESCALATE' ELSE 'ACCEPT' END AS decision, count(*) AS n, CAST(sum(few) AS BIGINT) AS n_few, CAST(sum(scale) AS BIGINT) AS n_scale, CAST(sum(tiny) AS BIGINT) AS n_tiny FROM f GROUP BY 1""")
-def table_gate_decision(spark, d):
+def order_table_decision(spark, d):
     flags = {"few": F.col("n_rows") < 2, "scale": F.col("top") > 3 * F.col("mid"), "tiny": F.col("low") < 0.05 * F.col("mid")}
     rows = order_tables(spark, d).withColumns({k: v.cast("int") for k, v in flags.items()})
     soft = F.col("scale") + F.col("tiny")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import FALLS, OVERCLAIMS, PERFECT, RISES, TOPICS, VAGUE
+from ..functions.measures import risk_level
 from ..functions.numbers import NUMBER, NUMBER_UNIT, UNIT_FAMILIES, UNIT_NAMES
-from ..operators import claims, grounding
+from ..operators import claims, grounding, retrieval
 from .registry import query, table
 
 # Each supplier's quantities by year are its figures; what it says of them is off by a twentieth for every step of its id modulo 5.
@@ -49,8 +51,6 @@ def evidence(f):
         name = F.concat_ws(":", F.lit("n"), "corp", F.lit(code), "period")
         return f.select("corp", F.lit(code).alias("code"), name.alias("node_id"), F.col(value).cast("double").alias("value"), unit.alias("unit"), "period", F.lit(order).alias("ord"))
 
-    from pyspark.sql import Window
-
     before = F.lag("q").over(Window.partitionBy("corp").orderBy("period"))
     edges = f.select("corp", F.lit("E-4-2").alias("code"), F.round((F.col("q") - before) / F.abs(before) * 100, 3).alias("yoy")).where("yoy IS NOT NULL")
     waste = F.when(F.col("corp") % 3 == 1, "톤").when(F.col("corp") % 3 == 2, "kg")
@@ -72,8 +72,6 @@ D1_SQL = f"""{CLAIMS_SQL},
 @query(f"WITH {D1_SQL} SELECT id, sentence, d1, array_to_string(nodes, ',') AS nodes, CASE WHEN d1 < 0.25 THEN 'low' WHEN d1 < 0.5 THEN 'medium' ELSE 'high' END AS level FROM d1")
 def claim_vs_evidence_asof(spark, d):
     """Each sentence's figures against the latest evidence of their code in units that compare."""
-    from ..functions.measures import risk_level
-
     f = figures(spark, d)
     texts, (nodes, _) = statements(f), evidence(f)
     made = claims.numeric_claims(texts).join(texts.select("id", "corp"), "id")
@@ -186,3 +184,20 @@ def answer_grounding(spark, d):
     """The grounding gate over answers that cite records: missing citations, orphan numbers, units, strong words."""
     g = grounding.grounding(*answers(spark, d))
     return g.select("answer_id", "decision", "uncited", F.array_join(F.array_sort("orphan_numbers"), ",").alias("orphan_numbers"), F.array_join(F.array_sort("unit_mismatches"), ",").alias("unit_mismatches"), (F.size("soft_flags") > 0).alias("overclaim"), "faithfulness")
+
+
+AREAS = {"E": ["온실가스", "배출", "재생에너지", "폐기물", "용수", "환경", "에너지", "scope", "scope1", "scope2"], "S": ["정규직", "이직률", "여성", "산업재해", "재해율", "정보보호", "안전"]}
+ASKED = [(1, "E", "재생에너지 사용량, 폐기물"), (2, "E", "감소 5 톤"), (3, "S", "이직률 현황"), (4, "E", "보고서 2001년, 선도적 친환경"), (5, "E", ""), (6, "E", "E-4-2 재생에너지 수치")]
+
+
+@query()
+def retrieval_cascade(spark, d):
+    """Questions over all statements: keywords, then both methods, then variants of the question, until one is accepted.
+
+    No SQL stands beside it; a test holds it against plain Python.
+    """
+    f = figures(spark, d)
+    docs = statements(f).select(F.col("id").alias("doc_id"), "text", F.when(F.col("corp") % 2 == 0, "E-4-2").alias("code"), F.when(F.col("corp") % 3 == 0, "dart_struct").otherwise("snippet").alias("source"), (F.col("id") % 10000).cast("int").alias("report_year"))
+    rows = [(i, text, AREAS[area]) for i, area, text in ASKED]
+    found = retrieval.cascade(docs, spark.createDataFrame(rows, "query_id long, text string, area_terms array<string>"))
+    return found.select("query_id", "tier", "decision", F.array_join("hard_fails", ",").alias("hard_fails"), F.array_join("soft_flags", ",").alias("soft_flags"), F.array_join("ids", ",").alias("ids"))

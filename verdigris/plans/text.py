@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import hits, words
+from ..functions.numbers import NUMBER, NUMBER_UNIT, UNIT_NAMES, number_tokens, number_unit_pairs
 from ..operators import matching, retrieval
 from .registry import query, table
 
@@ -34,12 +35,22 @@ def sentence_explode(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(s).alias("s")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.max(F.length("s")).cast("long").alias("longest"))
 
 
-@query("""SELECT doc_id, i, hit, CASE WHEN len(replace(hit, ',', '')) < 15 THEN TRY_CAST(regexp_extract(replace(hit, ',', ''), '[0-9]+') AS DOUBLE) END AS value FROM (SELECT doc_id, unnest(h) AS hit, generate_subscripts(h, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{1,3}(?:,[0-9]{3})*') AS h FROM documents))""")
+@query(rf"""WITH units(raw, name) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in UNIT_NAMES.items())}),
+    m AS (SELECT doc_id, unnest(n) AS num, unnest(u) AS raw, generate_subscripts(n, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '{NUMBER_UNIT}', 1) AS n, regexp_extract_all(text, '{NUMBER_UNIT}', 2) AS u FROM documents)),
+    k AS (SELECT doc_id, i, replace(num, ',', '')::DOUBLE AS value, name AS unit FROM m JOIN units ON units.raw = lower(m.raw) WHERE regexp_full_match(num, '\d{{1,3}}(,\d{{3}})*(\.\d+)?|\d+(\.\d+)?([eE][+-]?\d+)?'))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, value, unit FROM k""")
 def number_unit_extract(spark, d):
-    found = F.regexp_extract_all("text", F.lit("[0-9]{1,3}(?:,[0-9]{3})*"), F.lit(0))
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(found).alias("i", "hit"))
-    plain = F.regexp_replace("hit", ",", "")
-    return rows.select("doc_id", F.col("i").cast("long").alias("i"), "hit", F.when(F.length(plain) < 15, F.expr("try_cast(regexp_extract(regexp_replace(hit, ',', ''), '[0-9]+', 0) AS DOUBLE)")).alias("value"))
+    """Numbers with a unit in documents: whole ones of any length, grouped, with decimals or in scientific notation."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(number_unit_pairs(F.coalesce("text", F.lit("")))).alias("i", "x"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("i"), "x.value", "x.unit")
+
+
+@query(rf"""WITH m AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '{NUMBER}'), lambda x: replace(x, ',', '')), lambda x: NOT (regexp_full_match(x, '\d{{4}}') AND x BETWEEN '1900' AND '2100')) AS n, len(regexp_extract_all(text, '{NUMBER}')) AS c FROM documents) SELECT doc_id, len(n) AS n_numbers, c - len(n) AS n_years, n[1] AS first FROM m WHERE c > 0""")
+def numbers_without_years(spark, d):
+    """Numbers of documents as written, years of reports apart."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "documents").select("doc_id", number_tokens(text).alias("n"), F.size(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1))).alias("c")).where("c > 0")
+    return rows.select("doc_id", F.size("n").cast("long").alias("n_numbers"), (F.col("c") - F.size("n")).cast("long").alias("n_years"), F.get("n", F.lit(0)).alias("first"))
 
 
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
@@ -50,30 +61,39 @@ def pii_mask_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).cast("long").alias("n_mails"), F.length(F.regexp_replace("text", EMAIL, "[mail]")).cast("long").alias("n_masked"))
 
 
-BM25_SQL = """
-    q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> ''))) AS term FROM benchmark),
-    qn AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS nq FROM q),
-    dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents),
+WORDS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '')"
+BM25_SQL = f"""
+    q AS (SELECT item_id AS query_id, unnest({WORDS_SQL}) AS term FROM benchmark),
+    qt AS (SELECT query_id, term, ('0x' || substr(md5(term), 31, 2))::INT AS bucket, count(*) AS qtf FROM q GROUP BY ALL),
+    qb AS (SELECT query_id, bucket, sum(qtf) AS qn FROM qt GROUP BY ALL),
+    qn AS (SELECT query_id, sqrt(sum(qn * qn)) AS length FROM qb GROUP BY 1),
+    dw AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
     st AS (SELECT count(*) AS n_docs, avg(len(w)::DOUBLE) AS avg_terms FROM dw),
-    tf AS (SELECT doc_id, n_terms, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n_terms, unnest(w) AS term FROM dw) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_terms / avg_terms))), 6) AS bm25, round(count(*)::DOUBLE / max(nq), 6) AS overlap
-           FROM tf JOIN qn USING (term) JOIN df USING (term), st GROUP BY ALL),
-    a AS (SELECT query_id, doc_id, bm25 AS score, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM sc QUALIFY rank <= 10),
-    b AS (SELECT query_id, doc_id, overlap AS score, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id) AS rank FROM sc QUALIFY rank <= 10)"""
+    tf AS (SELECT doc_id, n_terms, term, ('0x' || substr(md5(term), 31, 2))::INT AS bucket, count(*) AS tf FROM (SELECT doc_id, len(w) AS n_terms, unnest(w) AS term FROM dw) GROUP BY ALL),
+    db AS (SELECT doc_id, bucket, sum(tf) AS dn FROM tf GROUP BY ALL),
+    dn AS (SELECT doc_id, sqrt(sum(dn * dn)) AS norm FROM db GROUP BY 1),
+    df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM qt) GROUP BY term),
+    sc AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_terms / avg_terms))), 6) AS bm25 FROM tf JOIN qt USING (term) JOIN df USING (term), st GROUP BY ALL),
+    cs AS (SELECT query_id, doc_id, round(sum(dn.dn * qn.qn) / any_value(norm) / any_value(length), 6) AS cosine FROM db dn JOIN qb qn USING (bucket) JOIN dn n USING (doc_id) JOIN qn l USING (query_id) GROUP BY ALL),
+    a AS (SELECT query_id, doc_id, bm25 AS score, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM sc WHERE bm25 > 0 QUALIFY rank <= 10),
+    b AS (SELECT query_id, doc_id, cosine AS score, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM cs WHERE cosine > 0 QUALIFY rank <= 10)"""
 
 
 def lists(spark, d):
-    """The ten best documents of each benchmark passage, by BM25 and by share of its words."""
-    scored = retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    a = retrieval.top(scored.select("query_id", "doc_id", F.col("bm25").alias("score")), "score", 10)
-    b = retrieval.top(scored.select("query_id", "doc_id", F.col("overlap").alias("score")), "score", 10)
-    return a, b
+    """The ten best documents of each benchmark passage, by BM25 and by hashed vectors."""
+    scored = retrieval.scores(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return retrieval.ranked(scored, 10)
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM a")
 def bm25_topk(spark, d):
-    return lists(spark, d)[0].withColumn("rank", F.col("rank").cast("long"))
+    return lists(spark, d).where("kind = 'bm25'").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM b")
+def hash_vector_topk(spark, d):
+    """The ten documents whose hashed word vectors are nearest to each passage's."""
+    return lists(spark, d).where("kind = 'vector'").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 FUSED_SQL = f"""{BM25_SQL},
@@ -84,48 +104,64 @@ FUSED_SQL = f"""{BM25_SQL},
 
 @query(f"WITH {FUSED_SQL} SELECT * FROM f")
 def hybrid_fusion_topk(spark, d):
-    return retrieval.fuse(*lists(spark, d), k=5).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.fuse(lists(spark, d), k=5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {BM25_SQL}, s AS (SELECT query_id, doc_id, round(sum(x), 9) AS s FROM (SELECT query_id, doc_id, 1.0 / (60 + rank) AS x FROM a UNION ALL SELECT query_id, doc_id, 0.7 / (60 + rank) FROM b) GROUP BY ALL),
     r AS (SELECT query_id, doc_id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM s)
     SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 5""")
 def rrf_fusion_topk(spark, d):
-    a, b = lists(spark, d)
-    return retrieval.rrf([(a, 1.0), (b, 0.7)], k=5).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.rrf(lists(spark, d), F.when(F.col("kind") == "bm25", 1.0).otherwise(retrieval.LATER), k=5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {BM25_SQL}, x AS (SELECT query_id, list(doc_id) AS l, max(score) - min(score) AS margin FROM a WHERE rank <= 5 GROUP BY 1), y AS (SELECT query_id, list(doc_id) AS l FROM b WHERE rank <= 5 GROUP BY 1)
     SELECT query_id, round(len(list_intersect(x.l, y.l))::DOUBLE / len(list_distinct(list_concat(x.l, y.l))), 6) AS overlap, round(margin, 6) AS margin FROM x JOIN y USING (query_id)""")
 def method_overlap(spark, d):
-    a, b = lists(spark, d)
-    x = a.where("rank <= 5").groupBy("query_id").agg(F.collect_list("doc_id").alias("x"), (F.max("score") - F.min("score")).alias("margin"))
-    y = b.where("rank <= 5").groupBy("query_id").agg(F.collect_list("doc_id").alias("y"))
-    return x.join(y, "query_id").select("query_id", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("overlap"), F.round("margin", 6).alias("margin"))
-
-
-GATE_SQL = f"""{FUSED_SQL}, j AS (SELECT f.query_id, f.rank, f.score, contains(d.text, q.text) AS relevant FROM f JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = f.query_id),
-    g AS (SELECT query_id, max(score) FILTER (rank = 1) AS top1, max(score) - min(score) AS margin, min(rank) FILTER (relevant) AS hit_rank FROM j GROUP BY query_id),
-    v AS (SELECT query_id, top1, round(margin, 4) AS margin, hit_rank, CASE WHEN top1 < 0.54 THEN 'HUMAN' WHEN margin < 0.5 THEN 'ESCALATE' ELSE 'ACCEPT' END AS decision FROM g)"""
+    both = lists(spark, d).where("rank <= 5")
+    own = F.when(F.col("kind") == "bm25", F.col("score"))
+    ids = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("doc_id")))
+    g = both.groupBy("query_id").agg(ids("bm25").alias("x"), ids("vector").alias("y"), (F.max(own) - F.min(own)).alias("margin"))
+    return g.select("query_id", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("overlap"), F.round("margin", 6).alias("margin"))
+
+
+# Common words of the four languages stand for the terms of an area.
+AREA = ["the ", " der ", " les ", " los "]
+GATE_SQL = f"""{FUSED_SQL}, ov AS (SELECT query_id, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS overlap FROM (SELECT query_id, list(doc_id) AS x FROM a WHERE rank <= 5 GROUP BY 1) JOIN (SELECT query_id, list(doc_id) AS y FROM b WHERE rank <= 5 GROUP BY 1) USING (query_id)),
+    j AS (SELECT f.query_id, f.rank, f.score, contains(d.text, q.text) AS relevant, d.text AS t, q.text AS query FROM f JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = f.query_id),
+    g AS (SELECT query_id, any_value(query) AS query, arg_min(t, rank) AS t, arg_min(score, rank) AS top1, arg_max(score, rank) AS tail, count(*) AS n, min(rank) FILTER (relevant) AS hit_rank FROM j GROUP BY query_id),
+    h AS (SELECT *, array_to_string(regexp_extract_all(t, '{retrieval.TOKEN}'), '') AS flat, list_transform(range(1, len(e) + 1), lambda i: e[i]) AS terms FROM (SELECT *, regexp_extract_all(query, '{retrieval.TOKEN}') AS e FROM g)),
+    u AS (SELECT * REPLACE (list_filter(terms, lambda x, i: list_position(terms, x) = i) AS terms) FROM h),
+    k AS (SELECT *, list_filter(CASE WHEN len(terms) >= 2 AND NOT contains(flat, terms[1]) THEN terms[2:] ELSE terms END, lambda x: length(x) >= 2) AS kept FROM u),
+    v AS (SELECT query_id, top1, hit_rank, list_filter([CASE WHEN top1 < 0.54 THEN 'R1_low_top1_score' END, CASE WHEN NOT ({' OR '.join(f"contains(lower(t), '{a}')" for a in AREA)}) THEN 'R3_area_keyword_missing' END,
+        CASE WHEN len(kept) > 0 AND len(list_filter(kept, lambda x: contains(flat, x))) < CASE WHEN len(kept) >= 3 THEN 2 ELSE 1 END THEN 'R3_query_keyword_missing' END,
+        CASE WHEN NOT regexp_matches(CASE WHEN contains(t, '수치:') THEN t ELSE trim(regexp_replace(t, '^\[[^\]]+\]\s*', '')) END, '\d') THEN 'R3_numeric_evidence_missing' END], lambda x: x IS NOT NULL) AS hard,
+        list_filter([CASE WHEN greatest(0, top1 - CASE WHEN n > 1 THEN tail ELSE 0 END) < 0.12 THEN 'R2_low_margin' END, CASE WHEN NOT regexp_matches(t, '(19|20)\d{{2}}') THEN 'R3_period_missing' END, CASE WHEN overlap < 0.2 THEN 'R4_low_method_overlap' END], lambda x: x IS NOT NULL) AS soft FROM k JOIN ov USING (query_id)),
+    w AS (SELECT query_id, top1, hit_rank, array_to_string(hard, ',') AS hard_fails, array_to_string(soft, ',') AS soft_flags, CASE WHEN len(hard) > 0 OR len(soft) > 1 THEN 'ESCALATE' ELSE 'ACCEPT' END AS decision FROM v)"""
 
 
 def gated(spark, d):
-    found = retrieval.fuse(*lists(spark, d), k=5)
-    rows = found.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
-    rows = rows.select("query_id", "rank", "score", F.col("text").contains(F.col("q")).alias("relevant"))
-    g = rows.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top1"), (F.max("score") - F.min("score")).alias("margin"), F.min(F.when(F.col("relevant"), F.col("rank"))).cast("long").alias("hit_rank"))
-    decision = F.when(F.col("top1") < 0.54, "HUMAN").when(F.col("margin") < 0.5, "ESCALATE").otherwise("ACCEPT")
-    return g.select("query_id", "top1", F.round("margin", 4).alias("margin"), "hit_rank", decision.alias("decision"))
+    both = lists(spark, d)
+    found = retrieval.fuse(both, k=5)
+    rows = found.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    g = rows.groupBy("query_id", "query").agg(F.min_by("text", "rank").alias("top_text"), F.min_by("score", "rank").alias("top1"), F.max_by("score", "rank").alias("tail"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.contains("text", F.col("query")), F.col("rank"))).cast("long").alias("hit_rank"))
+    g = g.join(retrieval.method_overlap(both), "query_id").withColumns({"area_terms": F.array(*map(F.lit, AREA)), "source": F.lit("documents"), "report_year": F.lit(None).cast("string")})
+    return retrieval.gate(g, tier=1).select("query_id", "top1", "hit_rank", F.array_join("hard_fails", ",").alias("hard_fails"), F.array_join("soft_flags", ",").alias("soft_flags"), "decision")
 
 
-@query(f"WITH {GATE_SQL} SELECT * FROM v")
+@query(f"WITH {GATE_SQL} SELECT * FROM w")
 def retrieval_gate(spark, d):
+    """All signals R0 to R4 over the fused results of each passage."""
     return gated(spark, d)
 
 
-@query(f"WITH {GATE_SQL} SELECT decision, count(*) AS n, round(avg((hit_rank IS NOT NULL)::INT), 6) AS recall_at_5, round(avg(coalesce(1.0 / hit_rank, 0)), 6) AS mrr FROM v GROUP BY decision")
+@query(f"WITH {GATE_SQL} SELECT count(*) AS n, round(avg((hit_rank IS NOT NULL)::INT), 6) AS recall_at_5, round(avg(coalesce(1.0 / hit_rank, 0)), 6) AS mrr, count(*) FILTER (decision = 'ACCEPT' AND hit_rank IS NOT NULL) AS tp, count(*) FILTER (decision = 'ACCEPT' AND hit_rank IS NULL) AS fp, count(*) FILTER (decision <> 'ACCEPT' AND hit_rank IS NOT NULL) AS fn, round(avg(((decision = 'ACCEPT') = (hit_rank IS NOT NULL))::INT), 6) AS accuracy FROM w")
 def retrieval_metrics(spark, d):
-    return gated(spark, d).groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("hit_rank").isNotNull().cast("int")), 6).alias("recall_at_5"), F.round(F.avg(F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0))), 6).alias("mrr"))
+    """Recall, reciprocal rank, and how well the gate tells passages that are there."""
+    ok, hit = F.col("decision") == "ACCEPT", F.col("hit_rank").isNotNull()
+    return gated(spark, d).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(hit.cast("int")), 6).alias("recall_at_5"), F.round(F.avg(F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0))), 6).alias("mrr"),
+        F.count_if(ok & hit).alias("tp"), F.count_if(ok & ~hit).alias("fp"), F.count_if(~ok & hit).alias("fn"), F.round(F.avg((ok == hit).cast("int")), 6).alias("accuracy"),
+    )
 
 
 @query("""
@@ -133,13 +169,14 @@ def retrieval_metrics(spark, d):
     c2 AS (SELECT label, list(x ORDER BY i) AS c FROM c GROUP BY label),
     s AS (SELECT c2.label AS query_label, vec_id, round(list_inner_product(embedding::DOUBLE[], c), 6) AS score FROM embeddings, c2)
     SELECT query_label, vec_id, score, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""")
-def vector_topk_cosine(spark, d):
-    """The ten vectors nearest to each label's centroid; there are as many centroids as labels."""
+def centroid_topk(spark, d):
+    """The ten vectors of largest inner product with each label's centroid; centroids are broadcast up to 4,096 labels."""
     e = table(spark, d, "embeddings")
     c = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("x"))
     c = c.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
     c = c.groupBy().agg(F.collect_list(F.struct("label", "c")).alias("all"))
-    rows = e.crossJoin(F.broadcast(c)).select("vec_id", "embedding", F.explode("all").alias("q"))
+    few = e.select("label").distinct().count() <= 4096
+    rows = e.crossJoin(F.broadcast(c) if few else c).select("vec_id", "embedding", F.explode("all").alias("q"))
     dot = F.aggregate(F.zip_with("embedding", "q.c", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
     scored = rows.select(F.col("q.label").alias("query_label"), "vec_id", F.round(dot, 6).alias("score"))
     w = Window.partitionBy("query_label").orderBy(F.desc("score"), "vec_id")
@@ -151,7 +188,7 @@ def vector_topk_cosine(spark, d):
     n AS (SELECT p_partkey, count(*) AS n FROM g GROUP BY 1),
     j AS (SELECT x.p_partkey AS a, y.p_partkey AS b, count(*) AS c FROM g x JOIN g y ON x.w = y.w AND x.p_brand = y.p_brand AND x.p_partkey <> y.p_partkey GROUP BY ALL)
     SELECT a, b, round(c::DOUBLE / (x.n + y.n - c), 6) AS jaccard FROM j JOIN n x ON a = x.p_partkey JOIN n y ON b = y.p_partkey QUALIFY row_number() OVER (PARTITION BY a ORDER BY c::DOUBLE / (x.n + y.n - c) DESC, b) = 1""")
-def bigram_jaccard_top1(spark, d):
+def word_jaccard_within_brand(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", F.array_distinct(words(F.col("p_name"))).alias("ws"))
     g = p.select("p_partkey", "p_brand", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     y = g.select(F.col("p_partkey").alias("b"), "p_brand", F.col("n").alias("nb"), "w")
@@ -277,7 +314,7 @@ def hash_embedding_norms(spark, d):
     f AS (SELECT conv_id, term, min(turn) AS said FROM t GROUP BY ALL),
     a AS (SELECT conv_id, turn, count(*) AS n_terms, count(*) FILTER (said >= turn) AS n_orphans FROM t JOIN f USING (conv_id, term) WHERE role <> 'user' GROUP BY ALL)
     SELECT *, round(1 - n_orphans::DOUBLE / n_terms, 6) AS faithfulness, CASE WHEN n_orphans = 0 THEN 'pass' WHEN n_orphans < n_terms THEN 'soft_fail' ELSE 'hard_fail' END AS verdict FROM a""")
-def grounding_gate(spark, d):
+def new_terms_in_answers(spark, d):
     """Answers whose telling terms (eight letters or more) were said earlier in the conversation, and those that bring new ones."""
     t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.explode(F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 8))).alias("term"))
     said = t.groupBy("conv_id", "term").agg(F.min("turn").alias("said"))
