@@ -22,7 +22,7 @@ BROADCAST_ROWS = 1 << 20
 def word_pairs(text: Column) -> Column:
     """Words between blanks, and pairs of neighbouring characters that aren't both blank."""
     chars = F.split(text, "")
-    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), F.concat)
+    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
     return F.concat(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.filter(pairs, lambda p: ~p.rlike(r"^\s*$")))
 
 
