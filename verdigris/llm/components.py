@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop, written
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        now = written(spark, small.distinct(), "edges")
+        last, now = now, written(spark, small.distinct(), "edges")
+        drop(last)
         after = _sum(now)
         if after == before:
             break

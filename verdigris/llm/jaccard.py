@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, Hasher, chunks, mix, shingle_hashes, words
 from .components import components
-from .shared import with_key_columns, written
+from .shared import drop, with_key_columns, written
 
 #: Bytes of sets in one trie (or one larger set), and of all tries that are made together.
 TRIE_BYTES, TASK_BYTES = 1 << 20, 4 << 20
@@ -245,7 +245,7 @@ class NgramJaccard:
         return docs.mapInArrow(run, "sig long, id long")
 
     def _verified(self, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-        """Links (a, b, overlap) that join every two sets of a pair that link: pairs (a, b) are dealt out by a."""
+        """Links (a, b, overlap), written, that join every two sets of a pair that link: pairs (a, b) are dealt out by a."""
         k, t = self.k, self.t
         pairs = written(self.spark, pairs.join(sizes.select(F.col("id").alias("b"), (8 * F.col("n")).alias("bytes")), "b").select("a", "b", "bytes"), "pairs")
         cuts = pairs.groupBy("a").agg(F.ceil(F.sum("bytes") / TRIE_BYTES).cast("int").alias("cuts"), F.count(F.lit(1)).alias("rows"))
@@ -276,7 +276,10 @@ class NgramJaccard:
 
         held = texts.mapInArrow(to_sets, "id long, elements binary").join(wanted.drop("bytes"), "id")
         deal = max(1, -(-(wanted.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
-        return held.groupBy(F.pmod(F.xxhash64("probe", "cut"), F.lit(deal)).alias("deal")).applyInPandas(walk, "a long, b long, overlap long").where("a <> b")
+        links = held.groupBy(F.pmod(F.xxhash64("probe", "cut"), F.lit(deal)).alias("deal")).applyInPandas(walk, "a long, b long, overlap long").where("a <> b")
+        links = written(self.spark, links, "links")
+        drop(pairs, cuts, wanted)
+        return links
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(links, membership): verified links (a, b) between class representatives, enough to connect every class,
@@ -284,17 +287,20 @@ class NgramJaccard:
         """
         spark, keys = self.spark, ["n", "d1", "d2"]
         alike = self.summary.where("id IS NOT NULL AND n > 0").groupBy(*keys).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        membership = with_key_columns(self.summary, written(spark, alike, "equal-sets"), keys, "rows", self.summary.count())
+        alike = written(spark, alike, "equal-sets")
+        membership = with_key_columns(self.summary, alike, keys, "rows", self.summary.count())
         membership = membership.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("rep"), "sketch")
         membership = written(spark, membership.withColumn("sketch", F.when(F.col("id") == F.col("rep"), F.col("sketch"))), "membership")
+        drop(self.summary, alike)
         sketches = written(spark, membership.where("id = rep AND n > 0").select("id", "n", "sketch").dropDuplicates(["id"]), "sketches")
         sigs = written(spark, self._signatures(membership.where("id <> rep").select("id").distinct()), "signatures")
         ends = written(spark, sigs.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi"), "shared-signatures")
         shared = written(spark, with_key_columns(sigs, ends.drop("hi"), ["sig"], "rows", sigs.count(), "inner").drop("rows"), "shared")
+        drop(sigs, ends)
         # The first partner of each set: of the smallest ids at its signatures, the one that most of them have.
         met = shared.where("id <> lo").groupBy("id", "lo").agg(F.count(F.lit(1)).alias("votes"))
         met = met.groupBy("id").agg(F.max_by("lo", F.struct("votes", -F.col("lo"))).alias("a")).select("a", F.col("id").alias("b"))
-        links = written(spark, self._verified(met, sketches), "links").select("a", "b")
+        links = self._verified(met, sketches).select("a", "b")
         for closest in [True] * CLOSEST_ROUNDS + [False]:
             # Signatures that still join several classes.
             classes = written(spark, components(spark, links), "classes")
@@ -303,10 +309,13 @@ class NgramJaccard:
             open_ = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1")
             open_ = open_.select("sig", "size", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("cuts"), (F.col("size") * F.ceil(F.col("size") / BLOCK_SETS)).alias("rows"))
             open_ = written(spark, open_, "open-signatures")
-            shared = written(spark, with_key_columns(placed, open_.select("sig", "size", "cuts"), ["sig"], "size", placed.count(), "inner").drop("size"), "open")
+            before, shared = shared, written(spark, with_key_columns(placed, open_.select("sig", "size", "cuts"), ["sig"], "size", placed.count(), "inner").drop("size"), "open")
+            drop(before, placed)
             left = written(spark, self._open_pairs(shared, open_, sketches, closest), "open-pairs")
-            more = written(spark, self._verified(left, sketches), "links")
+            more = self._verified(left, sketches)
+            drop(left, open_)
             links = classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
+        drop(shared, sketches)
         return links, membership.select("id", "n", "rep")
 
     def _open_pairs(self, placed: DataFrame, open_: DataFrame, sketches: DataFrame, closest: bool) -> DataFrame:

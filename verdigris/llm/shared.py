@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,14 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: what was made of them is written itself."""
+    for df in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            system, path = fs.FileSystem.from_uri(folder)
+            system.delete_dir(path)
+
+
 #: Keys that each hold more than this part of all rows are met by broadcast: fewer keys than this.
 HOT_KEYS = 1024
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Hasher, chunks, mix
 from .rindex import RunIndex
-from .shared import with_key_columns, written
+from .shared import drop, with_key_columns, written
 
 GRAM = 12
 #: Windows of a dealt string at most; text bytes for each bucket; bytes of text cut at once.
@@ -191,6 +191,7 @@ class SuffixDedup:
         lead = sized.where(F.col("n") >= long).groupBy("digest").agg(F.min("id").alias("lead"), F.max("id").alias("most"), F.count(F.lit(1)).alias("rows"))
         lead = written(self.spark, lead.where("lead < most").select("digest", "lead", "rows"), "equal-texts")
         self.copies = written(self.spark, with_key_columns(sized, lead, ["digest"], "rows", sized.count(), "inner").where("id > lead").select("id").distinct(), "copies")
+        drop(sized, lead)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             press = zstandard.ZstdCompressor(level=3)
@@ -220,7 +221,9 @@ class SuffixDedup:
     def _by_document(self) -> DataFrame:
         spans = written(self.spark, self.spans(), "repeats")
         copies = self.copies.select("id", F.lit(0).cast("long").alias("begin"), F.lit(1 << 62).cast("long").alias("end"))
-        return written(self.spark, spans.unionByName(copies).groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "repeats-by-document")
+        by_doc = written(self.spark, spans.unionByName(copies).groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "repeats-by-document")
+        drop(spans, self.copies)
+        return by_doc
 
     def rewritten(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """docs, all columns kept whatever they are called, with the repeats cut from the texts; parts of cut characters

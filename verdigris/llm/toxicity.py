@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import SLICE_ROWS, Hasher, chunks, mix, shingle_hashes, words
-from .shared import written
+from .shared import drop, written
 
 DECAY, PAIR_GAP, TRIPLE_SPAN = 0.6, 3, 5
 SLOTS = 1 << 20
@@ -292,6 +292,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     model = ToxicityModel(*train_words(list(dict.fromkeys(good + [r["word"] for r in near.collect()])), bad, params), np.zeros(3))
     scored = _features(texts, model).toPandas().sort_values(["top", "hits", "toxic"])
     model.logistic = _logistic(scored[["top", "hits"]].to_numpy(), scored["toxic"].to_numpy(dtype=float))
+    drop(texts, seen, counted)
     return model
 
 
