@@ -259,7 +259,7 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(odd.where("false"), model).count() == 0
 
 
-def test_run_index(spark):
+def test_run_index_of_windows():
     """Matching statistics and least owners against substring searches."""
     rng = np.random.default_rng(1)
     for _ in range(40):
