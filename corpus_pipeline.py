@@ -29,14 +29,18 @@ def _by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; the machine is fitted on labelled documents among docs."""
+    """Documents predicted toxic go; the machine is fitted on labelled documents among docs.
+
+    Null and empty texts are scored like texts without telling words and stay; each of repeated rows is judged alike; an
+    empty table stays empty. Other columns stay as they are.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates (five words, 0.8) the document with the smallest id stays, once.
 
-    Documents without words and without an id stay.
+    Documents without words and without an id stay; of rows that repeat an id one stays. An empty table stays empty.
     """
     classes = written(spark, jaccard_classes(spark, docs, k=5, num=80, den=100), "near-duplicates")
     gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
@@ -49,17 +53,23 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def repeated_passages_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 50-byte strings that a document with a smaller id has too are cut; no document is dropped."""
+    """Bytes of 50-byte strings that a document with a smaller id has too are cut; no document is dropped.
+
+    Null and empty texts and rows without an id stay as they are; rows that repeat an id are one document and don't cut
+    each other. Parts of characters at a cut go too. An empty table stays empty.
+    """
     return _counted(suffixdedup.SuffixDedup(spark, docs, 50).rewritten(docs, "doc_id", "text"))
 
 
 def secrets_are_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each secret becomes <secret>."""
+    """Each run of overlapping secrets becomes <secret>; null, empty and other texts stay, row by row."""
     return _counted(secretscan.mask_secrets(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their token ids: the corpus itself."""
+    """Pieces with their token ids: the corpus itself. Null and empty texts are one piece with the end's id; repeated rows
+    are packed again; an empty table gives no pieces. The first stages' other columns end here.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
