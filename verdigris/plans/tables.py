@@ -28,11 +28,16 @@ CELLS_SQL = """
         UNION ALL SELECT o, r, 0, '합계', 1, 1, 0.95 FROM t UNION ALL SELECT o, r, 1, q::BIGINT::VARCHAR, 1, 1, 0.95 FROM t UNION ALL SELECT o, r, 2, format('{:,}', m::BIGINT), 1, 1, 0.95 FROM t)"""
 
 
-def cells(spark, d):
+def numbered_lines(spark, d):
+    """(o, p, q, m, k): order, part, quantity, price, and the line's number within the order."""
     w = Window.partitionBy("o").orderBy("l_linenumber", "p", "l_suppkey", "l_extendedprice")
     lines = table(spark, d, "lineitem").withColumns({"o": F.col("l_orderkey"), "p": F.col("l_partkey"), "q": F.col("l_quantity").cast("long"), "m": F.floor("l_extendedprice")})
+    return lines.withColumn("k", F.row_number().over(w)).select("o", "p", "q", "m", "k")
+
+
+def cells(spark, d):
     o = F.col("o")
-    b = lines.withColumn("k", F.row_number().over(w)).select("o", "p", "q", "m", (F.col("k") + (o % 3 == 0).cast("int") + (o % 5 == 0).cast("int")).alias("r"), F.when(F.col("p") % 13 == 0, 0.5).otherwise(0.9).alias("f"))
+    b = numbered_lines(spark, d).select("o", "p", "q", "m", (F.col("k") + (o % 3 == 0).cast("int") + (o % 5 == 0).cast("int")).alias("r"), F.when(F.col("p") % 13 == 0, 0.5).otherwise(0.9).alias("f"))
     t = b.groupBy("o").agg((F.max("r") + 1).alias("r"), F.sum("q").alias("q"), F.sum("m").alias("m")).withColumn("m", F.col("m") + F.when(o % 7 == 0, 5000).otherwise(0))
 
     def cell(r, c, content, row_span=1, col_span=1, f=0.95):
