@@ -80,7 +80,7 @@ def table_gate(cells: DataFrame) -> DataFrame:
     )
     number_columns = by_column.select("table_id", "c", F.lit(2.0).alias("weight"))
     sure = cells.where("confidence IS NOT NULL").join(number_columns, ["table_id", "c"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).groupBy("table_id").agg(
-        F.avg("confidence").alias("mean"), (F.sum(F.when(F.col("confidence") < 0.6, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("low")
+        F.round(F.avg("confidence"), 9).alias("mean"), F.round(F.sum(F.when(F.col("confidence") < 0.6, F.col("weight")).otherwise(0.0)) / F.sum("weight"), 9).alias("low")
     )
     met = found.join(columns, "table_id", "left").join(sure, "table_id", "left")
     ordered = (F.size("years") < 3) | (F.array_sort("years") == F.col("years")) | (F.reverse(F.array_sort("years")) == F.col("years"))

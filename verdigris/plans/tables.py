@@ -85,7 +85,7 @@ def gate_sql(n: str, rel: str) -> str:
     {n}_k AS (SELECT table_id, bool_or(n >= 3 AND greatest(most - mid, mid - least) >= 3) AS wild, max(1 - share) AS mixed FROM (SELECT table_id, c, count(digits) AS n, median(digits) AS mid, max(digits) AS most, min(digits) AS least, any_value(share) AS share FROM {n}_y WHERE number_column GROUP BY ALL) GROUP BY 1),
     {n}_f AS (SELECT table_id, count(*) FILTER (c = 0 AND per_row <> columns)::DOUBLE / count(*) FILTER (c = 0) AS ragged, avg((text = '')::INT) AS blank, count(*) FILTER (NOT body AND text <> '' AND {IS_NUM})::DOUBLE / nullif(count(*) FILTER (NOT body AND text <> ''), 0) AS head_numbers,
         coalesce(bool_or(total AND number_column AND abs(above - value) > greatest(1.0, abs(above) * 0.005)), false) AS off, bool_or(r <= depth AND regexp_matches(text, '{UNIT}')) AS unit, bool_or(number_column) AS numbers FROM {n}_y GROUP BY 1),
-    {n}_s AS (SELECT z.table_id, avg(z.confidence) AS mean, sum(CASE WHEN z.confidence < 0.6 THEN w ELSE 0 END)::DOUBLE / sum(w) AS low FROM (SELECT a.*, CASE WHEN share >= 0.8 THEN 2.0 ELSE 1.0 END AS w FROM {rel} a LEFT JOIN {n}_c USING (table_id, c) WHERE a.confidence IS NOT NULL) z GROUP BY 1),
+    {n}_s AS (SELECT z.table_id, round(avg(z.confidence), 9) AS mean, round(sum(CASE WHEN z.confidence < 0.6 THEN w ELSE 0 END)::DOUBLE / sum(w), 9) AS low FROM (SELECT a.*, CASE WHEN share >= 0.8 THEN 2.0 ELSE 1.0 END AS w FROM {rel} a LEFT JOIN {n}_c USING (table_id, c) WHERE a.confidence IS NOT NULL) z GROUP BY 1),
     {n}_g AS (SELECT table_id, list_filter([CASE WHEN ragged > 0.05 THEN 'A1_rectangularity' END, CASE WHEN blank > 0.2 THEN 'A2_blank_ratio' END, CASE WHEN coalesce(head_numbers >= 0.5, true) THEN 'A3_header_presence' END,
         CASE WHEN coalesce(mixed, 0) > 0.1 THEN 'A4_column_type_consistency' END, CASE WHEN off THEN 'B1_total_consistency' END, CASE WHEN numbers AND NOT unit THEN 'B2_unit_presence' END, CASE WHEN coalesce(wild, false) THEN 'B3_magnitude_outlier' END,
         CASE WHEN mean < 0.85 THEN 'C1_confidence_average' END, CASE WHEN low > 0.1 THEN 'C2_low_confidence_ratio' END], lambda x: x IS NOT NULL) AS failed FROM {n}_f LEFT JOIN {n}_k USING (table_id) LEFT JOIN {n}_s USING (table_id)),
