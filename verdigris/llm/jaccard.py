@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, Hasher, chunks, mix, shingle_hashes, words
 from .components import components
-from .shared import drop, with_key_columns, written
+from .shared import drop, modest_batches, with_key_columns, written
 
 #: Bytes of sets in one trie (or one larger set), and of all tries that are made together.
 TRIE_BYTES, TASK_BYTES = 1 << 20, 4 << 20
@@ -211,6 +211,7 @@ class NgramJaccard:
     """The join over one table. docs' ids are whole numbers; rows without an id or with an empty set link with nothing."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"):
+        modest_batches(spark)
         self.spark, self.k, self.t = spark, k, Threshold(num, den)
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         self.summary = written(spark, self.docs.mapInArrow(self._summarise(), "id long, n long, d1 long, d2 long, sketch binary"), "sets")

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import modest_batches
 from .wordbpe import encoded
 
 
@@ -53,5 +54,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, longest: i
                 )
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start long, length long, token_ids binary, doc_tokens long"
+    modest_batches(docs.sparkSession)
     pieces = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, schema)
     return pieces.withColumns({"bucket": F.log2("length").cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

@@ -47,6 +47,18 @@ def drop(*tables: DataFrame) -> None:
             system.delete_dir(path)
 
 
+#: Rows in an Arrow batch between Spark and Python: a batch of texts is held whole on both sides.
+BATCH_ROWS = 1024
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches have BATCH_ROWS rows at most, as long texts make large ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 #: Keys that each hold more than this part of all rows are met by broadcast: fewer keys than this.
 HOT_KEYS = 1024
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Hasher, chunks, mix
 from .rindex import RunIndex
-from .shared import drop, with_key_columns, written
+from .shared import drop, modest_batches, with_key_columns, written
 
 GRAM = 12
 #: Windows of a dealt string at most; text bytes for each bucket; bytes of text cut at once.
@@ -175,6 +175,7 @@ class SuffixDedup:
     def __init__(self, spark: SparkSession, docs: DataFrame, long: int = 50, id_col: str = "doc_id", text_col: str = "text"):
         if long < GRAM + 8:
             raise ValueError(f"long must be {GRAM + 8} or more")
+        modest_batches(spark)
         self.spark, self.long = spark, long
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import SLICE_ROWS, Hasher, chunks, mix, shingle_hashes, words
-from .shared import drop, written
+from .shared import drop, modest_batches, written
 
 DECAY, PAIR_GAP, TRIPLE_SPAN = 0.6, 3, 5
 SLOTS = 1 << 20
@@ -240,6 +240,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     from: copies repeat one label, they don't confirm it. Where no word marks toxic texts enough (least_texts,
     least_share, least_evidence), there is nothing to fit: the model scores every text near 0, with a warning.
     """
+    modest_batches(spark)
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where("toxic IN (0, 1) AND id IS NOT NULL").where(~held_out(F.col("id")))
     ids = ids.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(params.train_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id")
