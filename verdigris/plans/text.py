@@ -126,7 +126,7 @@ def method_overlap(spark, d):
 
 # Common words of the four languages stand for the terms of an area.
 AREA = ["the ", " der ", " les ", " los "]
-GATE_SQL = f"""{FUSED_SQL}, ov AS (SELECT query_id, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS overlap FROM (SELECT query_id, list(doc_id) AS x FROM a WHERE rank <= 5 GROUP BY 1) JOIN (SELECT query_id, list(doc_id) AS y FROM b WHERE rank <= 5 GROUP BY 1) USING (query_id)),
+GATE_SQL = rf"""{FUSED_SQL}, ov AS (SELECT query_id, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS overlap FROM (SELECT query_id, list(doc_id) AS x FROM a WHERE rank <= 5 GROUP BY 1) JOIN (SELECT query_id, list(doc_id) AS y FROM b WHERE rank <= 5 GROUP BY 1) USING (query_id)),
     j AS (SELECT f.query_id, f.rank, f.score, contains(d.text, q.text) AS relevant, d.text AS t, q.text AS query FROM f JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = f.query_id),
     g AS (SELECT query_id, any_value(query) AS query, arg_min(t, rank) AS t, arg_min(score, rank) AS top1, arg_max(score, rank) AS tail, count(*) AS n, min(rank) FILTER (relevant) AS hit_rank FROM j GROUP BY query_id),
     h AS (SELECT *, array_to_string(regexp_extract_all(t, '{retrieval.TOKEN}'), '') AS flat, list_transform(range(1, len(e) + 1), lambda i: e[i]) AS terms FROM (SELECT *, regexp_extract_all(query, '{retrieval.TOKEN}') AS e FROM g)),
