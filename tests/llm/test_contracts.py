@@ -97,6 +97,20 @@ def test_secrets_and_entropy(spark):
     assert {r.doc_id: r.n for r in secretscan.mask_secrets(long).select("doc_id", F.length("text").alias("n")).collect()} == {1: 8, 2: 40_000 * 9 - 1}
 
 
+LONG_RUNS = {  # a million characters that reach each pattern, and how many spans they hold
+    "a" + "-b1" * 333_333: 0, "a" + "-b1" * 333_333 + "-": 0, "k=v1" + "_Zz9" * 250_000: 0, "q" * 40 + "1" + "0" * 1_000_000: 1, "1Example" + "b7" * 500_000: 1, "1" + "/abc" * 250_000: 0, "9qwertyui" * 110_000: 0,
+    "AKIA" + "A1" * 500_000: 1, "0123456789abcdef" * 62_500: 1, "token: " + "-b1" * 333_333: 1, "secret" + "=" * 1_000_000 + " ": 1, "password" + " " * 1_000_000: 0,
+}
+
+
+def test_long_runs(spark):
+    """A run of a million characters is scanned and masked without recursion, whichever pattern it meets."""
+    docs = spark.createDataFrame(list(enumerate(LONG_RUNS)), "doc_id long, text string")
+    assert {r.doc_id: len(r.spans) for r in secretscan.scan_secrets(docs).collect()} == dict(enumerate(LONG_RUNS.values()))
+    masked_ids = {r.doc_id for r in secretscan.mask_secrets(docs).where("text LIKE '%<secret>%'").select("doc_id").collect()}
+    assert masked_ids == {i for i, n in enumerate(LONG_RUNS.values()) if n}
+
+
 def test_masking_keeps_other_columns(spark):
     odd = spark.createDataFrame([(1, None, "a", 1), (None, "token: abcdefghijklmnop", "b", 2), (1, "", "c", 3)], "doc_id long, text string, __secrets string, spans int")
     got = secretscan.mask_secrets(odd)

@@ -34,7 +34,7 @@ class EntropyRules:
         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
         r"(?i)abcdefgh|0123456789|qwertyui",
         r"/[A-Za-z]{3,}/",
-        r"^[A-Za-z]+(?:[-_=][A-Za-z0-9]{1,12})+$",
+        r"^[A-Za-z]+(?:[-_=][A-Za-z0-9]{1,12})++$",  # possessive: a repeated group is else matched by recursion, too deep for long runs
     )
 
 
