@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAME_COLUMN, AHEAD = 0.06, 5
-NUMBERS = r"\d+(?:[,\s]+\d{3})*(?:\.\d+)?"
+NUMBERS = r"\d++(?:[,\s]++\d{3})*+(?:\.\d+)?"
 
 
 def number_tokens(text: Column) -> Column:
