@@ -79,10 +79,10 @@ class Hasher:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row numbers of the words: runs of bytes other than space and \\t to \\r."""
+def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the words: runs of bytes that aren't outside (space and \\t to \\r, if not told)."""
     inside = np.zeros(len(data) + 1, dtype=bool)
-    inside[:-1] = ~IS_SPACE[data]
+    inside[:-1] = ~outside[data]
     starts_here = inside.copy()
     starts_here[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]

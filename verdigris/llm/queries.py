@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytebpe, jaccard, packing, quality, secretscan, suffixdedup, tokencounts, toxicity, warc
+from . import ann, bytebpe, divergence, jaccard, packing, quality, resample, secretscan, simhash, suffixdedup, tokencounts, toxicity, warc
 
 WORD_BPE_END = 49407
 
@@ -64,7 +64,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), WORD_BPE_END).select("doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_warc, op4_byte_bpe, op5_packing, op6_suffix_dedup, op7_quality_rules, op8_toxicity, op9_cross_polytope, op10_token_counts)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(spark, _table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard, op2_secret_scan, op3_warc, op4_byte_bpe, op5_packing, op6_suffix_dedup, op7_quality_rules, op8_toxicity, op9_cross_polytope, op10_token_counts,
+    op11_importance_resampling, op12_simhash, op13_source_divergence,
+)}
 ORACLE_SQL = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -91,4 +106,24 @@ ORACLE_SQL = {
         walk AS (SELECT doc_id AS id, doc_id AS reach FROM s UNION SELECT walk.id, edges.v FROM walk JOIN edges ON walk.reach = edges.u)
         SELECT s.doc_id, any_value(len(sh))::BIGINT AS n_shingles, min(reach) AS component_id FROM s JOIN walk ON walk.id = s.doc_id GROUP BY s.doc_id
     """.replace("\\\\", "\\"),
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+') AS ts FROM documents),
+        o AS (SELECT lang, source, r, unnest(ts) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+        gr AS (SELECT DISTINCT lang, source FROM d),
+        l AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+        c AS (SELECT g.lang, g.source, k.term, k.n AS nl, coalesce(x.n, 0) AS n
+              FROM gr g JOIN kept k USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL) x USING (lang, source, term)),
+        s AS (SELECT c.*, l.v, l.total, sum(n) OVER (PARTITION BY lang, source)::HUGEINT AS mine FROM c JOIN l USING (lang)),
+        p AS (SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 5)) // (mine + 5 * v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (nl + 5)) // (total + 5 * v))::BIGINT AS q FROM s),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+                 FROM gr a JOIN gr b ON a.lang = b.lang AND a.source <> b.source
+                 LEFT JOIN (SELECT u.lang, u.source AS s1, w.source AS s2, sum(abs(u.p - w.p)) AS value FROM p u JOIN p w ON u.lang = w.lang AND u.term = w.term AND u.source <> w.source GROUP BY ALL) x
+                 ON x.lang = a.lang AND x.s1 = a.source AND x.s2 = b.source),
+        term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+        b AS (SELECT * FROM pair UNION ALL SELECT * FROM term)
+        SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+        FROM b QUALIFY part = 'pair' OR rank <= 50
+    """,
 }
