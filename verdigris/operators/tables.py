@@ -1,7 +1,8 @@
 """Tables read from documents: gates on their structure, sums and confidence, and a deterministic restoration.
 
 cells: one row a cell with table_id, r, c (from 0), content, row_span, col_span, confidence (null where unknown) and
-ord, the order they were read in. All steps are keyed by table_id, so one shuffle serves them.
+ord, the order they were read in. A table known to have no cell has one row without r. Cells are dealt out by table_id once:
+windows, groups and joins by (table_id, ...) all stand on that exchange, and the plans that use it several times share it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ UNIT = r"(?i)(%|kwh|mwh|gwh|mj|gj|tco2e?q?|ton|톤|kg|m3|㎥|l\b|ℓ|원|krw|usd
 NUMERIC = r"^\s*[-(]?\d[\d,\s]*(?:\.\d+)?\)?\s*%?\s*$"
 YEAR = r"\b(?:19|20)\d{2}\b"
 CONFUSED, MEANT = "OoIl|", "00111"
+LOW_CONFIDENCE = 0.6
 HARD = {"A1_rectangularity", "B1_total_consistency", "C2_low_confidence_ratio"}
 
 
@@ -27,15 +29,32 @@ def to_float(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[%,\s]", ""), r"^[()]+|[()]+$", "").try_cast("double")
 
 
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.select("table_id", "r", "c", "content", "row_span", "col_span", "confidence", "ord").repartition("table_id")
+
+
 def slots(cells: DataFrame) -> DataFrame:
-    """(table_id, r, c, text, confidence, occupied): every slot of a table's grid, spans spread out; the first cell read wins a slot."""
-    spread = cells.select("table_id", F.explode(F.sequence("r", F.col("r") + F.greatest("row_span", F.lit(1)) - 1)).alias("r"), "c", "col_span", "content", "confidence", "ord")
-    spread = spread.select("table_id", "r", F.explode(F.sequence("c", F.col("c") + F.greatest("col_span", F.lit(1)) - 1)).alias("c"), "content", "confidence", "ord")
-    held = spread.groupBy("table_id", "r", "c").agg(F.min_by(F.struct("content", "confidence"), "ord").alias("x"))
-    size = spread.groupBy("table_id").agg(F.max("r").alias("_r"), F.max("c").alias("_c"))
-    grid = size.select("table_id", F.explode(F.sequence(F.lit(0), "_r")).alias("r"), "_c").select("table_id", "r", F.explode(F.sequence(F.lit(0), "_c")).alias("c"))
-    met = grid.join(held, ["table_id", "r", "c"], "left")
-    return met.select("table_id", "r", "c", F.trim(F.coalesce("x.content", F.lit(""))).alias("text"), "x.confidence", F.col("x").isNotNull().alias("occupied"))
+    """(table_id, r, c, text, confidence, occupied, n_sure, sum_sure, n_low): every slot of a table's grid, spans spread out; the first cell
+    read wins a slot. The last three are of the cells that begin there: how many have a confidence, its sum, and how many a low one.
+    """
+    at = cells.where("r IS NOT NULL").select("table_id", F.struct("r", "c").alias("_at"), F.explode(F.sequence("r", F.col("r") + F.greatest("row_span", F.lit(1)) - 1)).alias("r"), "c", "col_span", "content", "confidence", "ord")
+    spread = at.select("table_id", "_at", "r", F.explode(F.sequence("c", F.col("c") + F.greatest("col_span", F.lit(1)) - 1)).alias("c"), "content", "confidence", "ord")
+    sure = F.when(F.struct("r", "c") == F.col("_at"), F.col("confidence"))
+    held = spread.groupBy("table_id", "r", "c").agg(F.min_by(F.struct("content", "confidence"), "ord").alias("x"), F.count(sure).alias("n_sure"), F.sum(sure).alias("sum_sure"), F.count_if(sure < LOW_CONFIDENCE).alias("n_low"))
+    # A row of a table is made whole from the slots it holds: the grid needs no join.
+    by_row = held.groupBy("table_id", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("x", "n_sure", "sum_sure", "n_low")))).alias("row"), F.max("c").alias("_c"))
+    whole = Window.partitionBy("table_id")
+    by_row = by_row.withColumns({"_c": F.max("_c").over(whole), "_next": F.lead("r", 1).over(whole.orderBy("r")), "_first": F.min("r").over(whole)})
+    # Rows that no cell reaches lie before the first or between two: each row brings the empty ones that follow it.
+    low = F.when(F.col("r") == F.col("_first"), 0).otherwise(F.col("r"))
+    rows = by_row.select("table_id", F.explode(F.sequence(low, F.coalesce(F.col("_next") - 1, F.col("r")))).alias("_row"), F.col("r").alias("_own"), "row", "_c")
+    grid = rows.select("table_id", F.col("_row").alias("r"), F.explode(F.sequence(F.lit(0), "_c")).alias("c"), "_own", "row")
+    grid = grid.select("table_id", "r", "c", F.when(F.col("r") == F.col("_own"), F.try_element_at("row", F.col("c"))).alias("s"))
+    zero = F.lit(0).cast("long")
+    return grid.select(
+        "table_id", "r", "c", F.trim(F.coalesce("s.x.content", F.lit(""))).alias("text"), F.col("s.x.confidence").alias("confidence"), F.col("s").isNotNull().alias("occupied"),
+        F.coalesce("s.n_sure", zero).alias("n_sure"), F.coalesce("s.sum_sure", F.lit(0.0)).alias("sum_sure"), F.coalesce("s.n_low", zero).alias("n_low"),
+    )
 
 
 def described(grid: DataFrame) -> DataFrame:
@@ -60,29 +79,31 @@ def table_gate(cells: DataFrame) -> DataFrame:
     """(table_id, decision, hard, soft, semantic, failed): failed lists the signals that did not pass, in their order.
 
     A hard signal escalates; up to one soft one is accepted, two or three ask for a semantic check, more escalate.
-    Tables without a single cell have no row here: nothing can be said of them without a reader.
+    A table without a single cell (one row without r) goes to a person: HUMAN, with the one hard signal TABLE_EMPTY.
     """
+    cells = _dealt(cells)
     rows = described(slots(cells))
     below = Window.partitionBy("table_id", "c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     part = F.when(F.col("body") & ~F.col("total"), F.col("value"))
     rows = rows.withColumns({"above": F.sum(part).over(below), "per_row": F.sum(F.col("occupied").cast("int")).over(Window.partitionBy("table_id", "r")), "columns": F.max("c").over(Window.partitionBy("table_id")) + 1})
     off = F.col("total") & F.col("number_column") & (F.abs(F.col("above") - F.col("value")) > F.greatest(F.lit(1.0), F.abs("above") * 0.005))
     digits = F.when(F.col("body") & F.col("value").isNotNull(), F.when(F.abs("value") >= 1, F.length(F.floor(F.abs("value")).cast("string"))).otherwise(1))
-    by_column = rows.where("number_column").groupBy("table_id", "c").agg(F.count(digits).alias("n"), F.median(digits).alias("mid"), F.max(digits).alias("most"), F.min(digits).alias("least"), F.first("column_share").alias("share"))
-    wild = (F.col("n") >= 3) & (F.greatest(F.col("most") - F.col("mid"), F.col("mid") - F.col("least")) >= 3)
-    columns = by_column.groupBy("table_id").agg(F.bool_or(wild).alias("wild"), F.max(1 - F.col("share")).alias("mixed"))
-    head = ~F.col("body")
-    years = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(head, F.struct("r", "c", F.regexp_extract_all("text", F.lit(f"({YEAR})"), F.lit(1)).alias("y"))))), lambda s: s["y"]))
-    found = rows.groupBy("table_id").agg(
-        (F.count_if((F.col("c") == 0) & (F.col("per_row") != F.col("columns"))) / F.count_if(F.col("c") == 0)).alias("ragged"), F.avg((~F.col("full")).cast("int")).alias("blank"),
-        (F.count_if(head & F.col("num")) / F.count_if(head & F.col("full"))).alias("head_numbers"), F.coalesce(F.bool_or(off), F.lit(False)).alias("off"),
-        F.coalesce(F.bool_or((F.col("r") <= F.col("depth")) & F.col("text").rlike(UNIT)), F.lit(False)).alias("unit"), F.bool_or("number_column").alias("numbers"), years.alias("years"),
+    head, lead = ~F.col("body"), F.col("c") == 0
+    # All signals come from one pass: sums by column, and of those by table.
+    by_column = rows.groupBy("table_id", "c").agg(
+        F.count_if(lead & (F.col("per_row") != F.col("columns"))).alias("ragged"), F.count_if(lead).alias("lines"), F.count_if(~F.col("full")).alias("blank"), F.count(F.lit(1)).alias("slots"),
+        F.count_if(head & F.col("num")).alias("head_numbers"), F.count_if(head & F.col("full")).alias("heads"), F.coalesce(F.bool_or(off), F.lit(False)).alias("off"),
+        F.coalesce(F.bool_or((F.col("r") <= F.col("depth")) & F.col("text").rlike(UNIT)), F.lit(False)).alias("unit"), F.bool_or("number_column").alias("number"), F.first("column_share").alias("share"),
+        F.count(digits).alias("n"), F.median(digits).alias("mid"), F.max(digits).alias("most"), F.min(digits).alias("least"),
+        F.collect_list(F.when(head, F.struct("r", "c", F.regexp_extract_all("text", F.lit(f"({YEAR})"), F.lit(1)).alias("y")))).alias("years"), F.sum("n_sure").alias("n_sure"), F.sum("sum_sure").alias("sum_sure"), F.sum("n_low").alias("n_low"),
+    )
+    wild = F.col("number") & (F.col("n") >= 3) & (F.greatest(F.col("most") - F.col("mid"), F.col("mid") - F.col("least")) >= 3)
+    weight = F.when(F.col("number"), 2.0).otherwise(1.0)
+    met = by_column.groupBy("table_id").agg(
+        (F.sum("ragged") / F.sum("lines")).alias("ragged"), (F.sum("blank") / F.sum("slots")).alias("blank"), F.try_divide(F.sum("head_numbers"), F.sum("heads")).alias("head_numbers"), F.bool_or("off").alias("off"), F.bool_or("unit").alias("unit"),
+        F.bool_or("number").alias("numbers"), F.bool_or(wild).alias("wild"), F.max(F.when(F.col("number"), 1 - F.col("share"))).alias("mixed"), F.flatten(F.transform(F.array_sort(F.flatten(F.collect_list("years"))), lambda x: x["y"])).alias("years"),
+        F.round(F.try_divide(F.sum("sum_sure"), F.sum("n_sure")), 9).alias("mean"), F.round(F.try_divide(F.sum(weight * F.col("n_low")), F.sum(weight * F.col("n_sure"))), 9).alias("low"),
     )
-    number_columns = by_column.select("table_id", "c", F.lit(2.0).alias("weight"))
-    sure = cells.where("confidence IS NOT NULL").join(number_columns, ["table_id", "c"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).groupBy("table_id").agg(
-        F.round(F.avg("confidence"), 9).alias("mean"), F.round(F.sum(F.when(F.col("confidence") < 0.6, F.col("weight")).otherwise(0.0)) / F.sum("weight"), 9).alias("low")
-    )
-    met = found.join(columns, "table_id", "left").join(sure, "table_id", "left")
     ordered = (F.size("years") < 3) | (F.array_sort("years") == F.col("years")) | (F.reverse(F.array_sort("years")) == F.col("years"))
     passed = {
         "A1_rectangularity": F.col("ragged") <= 0.05, "A2_blank_ratio": F.col("blank") <= 0.20, "A3_header_presence": F.coalesce(F.col("head_numbers") < 0.5, F.lit(False)),
@@ -93,7 +114,9 @@ def table_gate(cells: DataFrame) -> DataFrame:
     hard = F.size(F.array_intersect(failed, F.array(*map(F.lit, sorted(HARD)))))
     out = met.select("table_id", failed.alias("failed"), hard.alias("hard"), (F.size(failed) - hard).alias("soft"))
     decision = F.when(F.col("hard") > 0, "ESCALATE").when(F.col("soft") <= 1, "ACCEPT").otherwise("ESCALATE")
-    return out.select("table_id", decision.alias("decision"), "hard", "soft", ((F.col("hard") == 0) & F.col("soft").between(2, 3)).alias("semantic"), "failed")
+    out = out.select("table_id", decision.alias("decision"), "hard", "soft", ((F.col("hard") == 0) & F.col("soft").between(2, 3)).alias("semantic"), "failed")
+    empty = cells.groupBy("table_id").agg(F.count("r").alias("n")).where("n = 0")
+    return out.unionByName(empty.select("table_id", F.lit("HUMAN").alias("decision"), F.lit(1).alias("hard"), F.lit(0).alias("soft"), F.lit(False).alias("semantic"), F.array(F.lit("TABLE_EMPTY")).alias("failed")))
 
 
 def _without_empty(grid: DataFrame) -> DataFrame:
@@ -108,7 +131,7 @@ def restored(cells: DataFrame) -> DataFrame:
     """cells of the tables as rules repair them: empty rows and columns dropped, merged headers filled from above, else
     from the left, misread digits in numeric columns put right, a header of two rows flattened with "_".
     """
-    rows = described(_without_empty(slots(cells).drop("occupied")))
+    rows = described(_without_empty(slots(_dealt(cells)).select("table_id", "r", "c", "text", "confidence")))
     left = Window.partitionBy("table_id", "r").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
     up = Window.partitionBy("table_id", "c").orderBy("r")
     blank = lambda x: F.when(x != "", x)
@@ -130,9 +153,11 @@ def restored(cells: DataFrame) -> DataFrame:
 
 def table_cascade(cells: DataFrame) -> DataFrame:
     """(table_id, tier0, tier1, resolved_tier, failed): the gate on the table as read and as restored. resolved_tier is
-    the first to be accepted, null where a person has to look (the tiers of models are still ahead of that).
+    the first to be accepted, null where a person has to look (the tiers of models are still ahead of that). A table that has
+    no cell, or none left once restored, is for a person.
     """
+    cells = _dealt(cells)
     first = table_gate(cells).select("table_id", F.col("decision").alias("tier0"), F.col("failed").alias("failed0"))
     second = table_gate(restored(cells)).select("table_id", F.col("decision").alias("tier1"), F.col("failed").alias("failed1"))
     tier = F.when(F.col("tier0") == "ACCEPT", 0).when(F.col("tier1") == "ACCEPT", 1)
-    return first.join(second, "table_id", "left").select("table_id", "tier0", "tier1", tier.alias("resolved_tier"), F.when(F.col("tier0") == "ACCEPT", F.col("failed0")).otherwise(F.coalesce("failed1", "failed0")).alias("failed"))
+    return first.join(second, "table_id", "left").select("table_id", "tier0", F.coalesce("tier1", F.lit("HUMAN")).alias("tier1"), tier.alias("resolved_tier"), F.when(F.col("tier0") == "ACCEPT", F.col("failed0")).otherwise(F.coalesce("failed1", F.array(F.lit("TABLE_EMPTY")))).alias("failed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tables
 from ..operators.tables import NUMERIC, TOTAL, UNIT, YEAR
+from ..sources.htmltables import LISTS, html_tables
 from .registry import query, table
 
 # Each order as a table: a header of one row, or of two with spans; its lines; a total that is wrong for every seventh
@@ -61,7 +62,7 @@ IS_NUM = f"regexp_matches(text, '{NUMERIC}')"
 
 def slots_sql(n: str, rel: str) -> str:
     return f"""
-    {n}_sp AS (SELECT table_id, r + i AS r, c + j AS c, content, confidence FROM {rel}, range(0, 3) a(i), range(0, 3) b(j) WHERE i < row_span AND j < col_span),
+    {n}_sp AS (SELECT table_id, r + i AS r, c + j AS c, content, confidence FROM {rel}, range(0, 3) a(i), range(0, 9) b(j) WHERE i < row_span AND j < col_span),
     {n}_slot AS (SELECT g.table_id, g.r, g.c, trim(coalesce(content, '')) AS text, confidence, s.table_id IS NOT NULL AS occupied
         FROM (SELECT table_id, unnest(range(0, mr + 1)) AS r, c FROM (SELECT table_id, mr, unnest(range(0, mc + 1)) AS c FROM (SELECT table_id, max(r) AS mr, max(c) AS mc FROM {n}_sp GROUP BY 1))) g LEFT JOIN {n}_sp s USING (table_id, r, c))"""
 
@@ -84,10 +85,10 @@ def gate_sql(n: str, rel: str) -> str:
         CASE WHEN body AND value IS NOT NULL THEN CASE WHEN abs(value) >= 1 THEN length(CAST(floor(abs(value)) AS BIGINT)::VARCHAR) ELSE 1 END END AS digits FROM {n}_x),
     {n}_k AS (SELECT table_id, bool_or(n >= 3 AND greatest(most - mid, mid - least) >= 3) AS wild, max(1 - share) AS mixed FROM (SELECT table_id, c, count(digits) AS n, median(digits) AS mid, max(digits) AS most, min(digits) AS least, any_value(share) AS share FROM {n}_y WHERE number_column GROUP BY ALL) GROUP BY 1),
     {n}_f AS (SELECT table_id, count(*) FILTER (c = 0 AND per_row <> columns)::DOUBLE / count(*) FILTER (c = 0) AS ragged, avg((text = '')::INT) AS blank, count(*) FILTER (NOT body AND text <> '' AND {IS_NUM})::DOUBLE / nullif(count(*) FILTER (NOT body AND text <> ''), 0) AS head_numbers,
-        coalesce(bool_or(total AND number_column AND abs(above - value) > greatest(1.0, abs(above) * 0.005)), false) AS off, bool_or(r <= depth AND regexp_matches(text, '{UNIT}')) AS unit, bool_or(number_column) AS numbers FROM {n}_y GROUP BY 1),
+        coalesce(bool_or(total AND number_column AND abs(above - value) > greatest(1.0, abs(above) * 0.005)), false) AS off, bool_or(r <= depth AND regexp_matches(text, '{UNIT}')) AS unit, bool_or(number_column) AS numbers, flatten(list(regexp_extract_all(text, '{YEAR}') ORDER BY r, c) FILTER (NOT body)) AS years FROM {n}_y GROUP BY 1),
     {n}_s AS (SELECT z.table_id, round(avg(z.confidence), 9) AS mean, round(sum(CASE WHEN z.confidence < 0.6 THEN w ELSE 0 END)::DOUBLE / sum(w), 9) AS low FROM (SELECT a.*, CASE WHEN share >= 0.8 THEN 2.0 ELSE 1.0 END AS w FROM {rel} a LEFT JOIN {n}_c USING (table_id, c) WHERE a.confidence IS NOT NULL) z GROUP BY 1),
     {n}_g AS (SELECT table_id, list_filter([CASE WHEN ragged > 0.05 THEN 'A1_rectangularity' END, CASE WHEN blank > 0.2 THEN 'A2_blank_ratio' END, CASE WHEN coalesce(head_numbers >= 0.5, true) THEN 'A3_header_presence' END,
-        CASE WHEN coalesce(mixed, 0) > 0.1 THEN 'A4_column_type_consistency' END, CASE WHEN off THEN 'B1_total_consistency' END, CASE WHEN numbers AND NOT unit THEN 'B2_unit_presence' END, CASE WHEN coalesce(wild, false) THEN 'B3_magnitude_outlier' END,
+        CASE WHEN coalesce(mixed, 0) > 0.1 THEN 'A4_column_type_consistency' END, CASE WHEN off THEN 'B1_total_consistency' END, CASE WHEN numbers AND NOT unit THEN 'B2_unit_presence' END, CASE WHEN coalesce(wild, false) THEN 'B3_magnitude_outlier' END, CASE WHEN len(years) >= 3 AND years <> list_sort(years) AND years <> list_reverse_sort(years) THEN 'B4_year_order' END,
         CASE WHEN mean < 0.85 THEN 'C1_confidence_average' END, CASE WHEN low > 0.1 THEN 'C2_low_confidence_ratio' END], lambda x: x IS NOT NULL) AS failed FROM {n}_f LEFT JOIN {n}_k USING (table_id) LEFT JOIN {n}_s USING (table_id)),
     {n}_gate AS (SELECT *, CASE WHEN hard > 0 OR soft > 1 THEN 'ESCALATE' ELSE 'ACCEPT' END AS decision FROM (SELECT table_id, failed, len(list_filter(failed, lambda x: x IN ('A1_rectangularity', 'B1_total_consistency', 'C2_low_confidence_ratio'))) AS hard, len(failed) - hard AS soft FROM {n}_g))"""
 
@@ -126,3 +127,67 @@ def tables_restored(spark, d):
 def table_gate_cascade(spark, d):
     """How many tables each tier accepts, and what the others fail by."""
     return tables.table_cascade(cells(spark, d)).groupBy("tier0", "tier1", "resolved_tier", F.array_join("failed", ",").alias("failed")).agg(F.count(F.lit(1)).alias("n"))
+
+# Each supplier's page: quantities by year and return flag in a table with a header of two rows. Years go back on every fifth page, totals
+# are wrong on every third, a row is short on every fourth, every seventh page has a second table without a cell.
+PAGES_SQL = """
+    f AS (SELECT l_suppkey AS s, l_returnflag AS fl, year(l_shipdate) AS y, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL),
+    y0 AS (SELECT s, list_sort(list(DISTINCT y)) AS ys FROM f GROUP BY s),
+    yr AS (SELECT s, len(ys) AS n, unnest(ys) AS y, unnest(range(0, len(ys))) AS i FROM (SELECT s, CASE WHEN s % 5 = 0 THEN ys[2:] || ys[1:1] ELSE ys END AS ys FROM y0)),
+    fr AS (SELECT s, fl, row_number() OVER (PARTITION BY s ORDER BY fl) + 1 AS r FROM (SELECT DISTINCT s, fl FROM f)),
+    t AS (SELECT s, y, sum(q) + CASE WHEN s % 3 = 0 THEN 5000 ELSE 0 END AS q FROM f GROUP BY s, y),
+    e AS (SELECT s, max(r) + 1 AS r FROM fr GROUP BY s),
+    cells AS (
+        SELECT s || ':0' AS table_id, 0 AS r, 0 AS c, '구분' AS content, 2 AS row_span, 1 AS col_span, true AS header, NULL::DOUBLE AS confidence FROM y0
+        UNION ALL SELECT s || ':0', 0, 1, '연도별 수량 (kg)', 1, len(ys), true, NULL FROM y0
+        UNION ALL SELECT s || ':0', 1, 1 + i, y::VARCHAR, 1, 1, false, NULL FROM yr
+        UNION ALL SELECT s || ':0', r, 0, '반품 & ' || fl, 1, 1, false, NULL FROM fr
+        UNION ALL SELECT s || ':0', r, 1 + i, coalesce(format('{:,}', q), ''), 1, 1, false, NULL FROM fr JOIN yr USING (s) LEFT JOIN f USING (s, fl, y)
+        UNION ALL SELECT s || ':0', r, 0, '합계', 1, 1, false, NULL FROM e
+        UNION ALL SELECT s || ':0', r, 1 + i, format('{:,}', q::BIGINT), 1, 1, false, NULL FROM e JOIN yr USING (s) JOIN t USING (s, y) WHERE s % 4 <> 0 OR i < n - 1)"""
+
+
+def supplier_pages(spark, d):
+    """(page_id, html) of each supplier."""
+    f = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("fl"), F.year("l_shipdate").alias("y")).agg(F.sum("l_quantity").cast("long").alias("q"))
+    by = f.groupBy("s").agg(F.sort_array(F.collect_set("y")).alias("ys"), F.sort_array(F.collect_set("fl")).alias("fls"), F.map_from_entries(F.collect_list(F.struct(F.struct("fl", "y"), "q"))).alias("q"))
+    by = by.withColumn("ys", F.when(F.col("s") % 5 == 0, F.concat(F.slice("ys", F.lit(2), F.size("ys")), F.slice("ys", 1, 1))).otherwise(F.col("ys")))
+
+    def row(head, values):
+        cells = F.transform(values, lambda v: F.concat(F.lit("<td>"), F.coalesce(F.format_number(v, 0), F.lit("")), F.lit("</td>")))
+        return F.concat(F.lit("<tr><td>"), head, F.lit("</td>"), F.array_join(cells, "\n"), F.lit("</tr>"))
+
+    held = lambda fl, y: F.try_element_at("q", F.struct(fl.alias("fl"), y.alias("y")))
+    extra = F.when(F.col("s") % 3 == 0, 5000).otherwise(0).cast("long")
+    sums = F.transform("ys", lambda y: F.aggregate("fls", extra, lambda a, fl: a + F.coalesce(held(fl, y), F.lit(0).cast("long"))))
+    sums = F.when(F.col("s") % 4 == 0, F.slice(sums, F.lit(1), F.size("ys") - 1)).otherwise(sums)
+    years = F.array_join(F.transform("ys", lambda y: F.concat(F.lit("<th> "), y.cast("string"), F.lit("</th>"))), "")
+    head = F.concat(F.lit('<table border="1"><tr><th rowspan="2">구분</th><th colspan='), F.size("ys").cast("string"), F.lit("><b>연도별</b> 수량 (kg)</th></tr><!-- <tr><td>x</td></tr> --><tr>"), years, F.lit("</tr>"))
+    body = F.array_join(F.transform("fls", lambda fl: row(F.concat(F.lit("반품 &amp; "), fl), F.transform("ys", lambda y: held(fl, y)))), "")
+    tail = F.when(F.col("s") % 7 == 0, "<table><tr></tr></table>").otherwise("<table></table>")
+    return by.select(F.col("s").alias("page_id"), F.concat(F.lit("<html><script>var t = '<td>';</script><p>"), head, body, row(F.lit("합계"), sums), F.lit("</table>"), tail).alias("html"))
+
+
+def supplier_cells(spark, d):
+    return html_tables(supplier_pages(spark, d), "page_id").withColumn("table_id", F.concat_ws(":", "page_id", "table"))
+
+
+@query(f"WITH {PAGES_SQL} SELECT table_id, r, c, content, row_span, col_span::INT AS col_span, header FROM cells UNION ALL SELECT s || ':1', NULL, NULL, NULL, NULL, NULL, NULL FROM y0 WHERE s % 7 = 0")
+def html_table_cells(spark, d):
+    """Cells of the tables on pages, spans resolved to places."""
+    return supplier_cells(spark, d).select("table_id", "r", "c", "content", "row_span", "col_span", "header")
+
+
+@query(f"WITH {PAGES_SQL}, {gate_sql('g', 'cells')} SELECT table_id, decision, hard, soft, array_to_string(failed, ',') AS failed FROM g_gate UNION ALL SELECT s || ':1', 'HUMAN', 1, 0, 'TABLE_EMPTY' FROM y0 WHERE s % 7 = 0")
+def html_table_gate(spark, d):
+    """The gate on tables that come from pages: years that go back, short rows, wrong totals, no cell at all."""
+    g = tables.table_gate(supplier_cells(spark, d))
+    return g.select("table_id", "decision", F.col("hard").cast("long").alias("hard"), F.col("soft").cast("long").alias("soft"), F.array_join("failed", ",").alias("failed"))
+
+
+@query(r"""WITH l AS (SELECT page_id, unnest(lists) AS list, unnest(range(0, len(lists))) AS list_no FROM (SELECT page_id, regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1) AS lists FROM pages)),
+    i AS (SELECT page_id, list_no, unnest(items) AS item, unnest(range(0, len(items))) AS c FROM (SELECT page_id, list_no, regexp_extract_all(list, '(?s)<li>(.*?)</li>', 1) AS items FROM l))
+    SELECT page_id, list_no::INT AS list_no, c::INT AS c, trim(replace(replace(replace(replace(replace(regexp_replace(item, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) AS content FROM i""")
+def page_list_items(spark, d):
+    """Items of all lists on the given pages: a list is read as a table of one row."""
+    return html_tables(table(spark, d, "pages"), "page_id", markup=LISTS).where("r IS NOT NULL").select("page_id", F.col("table").alias("list_no"), "c", "content")
