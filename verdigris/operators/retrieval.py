@@ -8,15 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import words
+from .toplists import K1, B, top_lists
 
-# Parameters of BM25, buckets of a hashed vector, weights and limits of fusion and gates.
-K1, B, BUCKETS = 1.5, 0.75, 256
+# Weights and limits of fusion and gates.
 KEYWORDS, VECTORS, RRF, LATER = 0.55, 0.45, 60, 0.7
 LEAST_SCORE, LEAST_MARGIN, LEAST_OVERLAP, STRONG = 0.54, 0.12, 0.2, 0.95
 STOP_TERMS = ["수치", "실적", "성과", "지표", "기준", "관련", "현황", "데이터", "운영"]
 TOKEN = "[0-9A-Za-z가-힣]+"
-#: Query terms are broadcast up to this many rows; beyond it they are shuffled.
-BROADCAST_ROWS = 1 << 20
 
 
 def word_pairs(text: Column) -> Column:
@@ -42,34 +40,29 @@ def norm(terms: Column) -> Column:
     return F.sqrt(F.aggregate(F.array_sort(F.transform(terms, bucket)), first, step, lambda a: a["sum"]))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def scores(docs: DataFrame, queries: DataFrame, index: list[str], tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """(index, query_id, doc_id, bm25, cosine) of the documents that share a term or a bucket with a query of their index.
 
-
-def scores(docs: DataFrame, queries: DataFrame, tokens: Callable[[Column], Column] = words) -> DataFrame:
-    """(query_id, doc_id, bm25, cosine) of every document that shares a term or a bucket with a query.
-
-    docs has doc_id and text, queries query_id and text; a term that a query repeats counts each time. A document's
-    terms are counted once. The inner product of bucket counts is a sum over terms, so both scores come from one
-    aggregation, and what is shuffled is a row a document and query. Null and empty texts match nothing.
+    For many small indexes (a company's texts, met by a few queries): docs has the index columns, doc_id and text, queries the index columns,
+    query_id and text, and each index has its own statistics. One index over all texts is `toplists.top_lists`'s task. A term that a query
+    repeats counts each time. Null and empty texts match nothing.
     """
-    made = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    made = docs.select(*index, "doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
     # What is said of a whole text is worked out before its terms become rows.
-    tf = made.select("doc_id", "w", F.size("w").alias("n_terms"), norm(F.col("w")).alias("norm")).select("doc_id", "n_terms", "norm", F.explode("w").alias("term")).groupBy("doc_id", "n_terms", "norm", "term").agg(F.count(F.lit(1)).alias("tf"))
-    asked = queries.select("query_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    terms = asked.select("query_id", "w", norm(F.col("w")).alias("length")).select("query_id", "length", F.explode("w").alias("term")).groupBy("query_id", "length", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocabulary = _small(terms.select("term").distinct())
-    df = tf.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = made.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w").cast("double")).alias("avg_terms"))
+    tf = made.select(*index, "doc_id", "w", F.size("w").alias("n_terms"), norm(F.col("w")).alias("norm")).select(*index, "doc_id", "n_terms", "norm", F.explode("w").alias("term")).groupBy(*index, "doc_id", "n_terms", "norm", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = queries.select(*index, "query_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    terms = asked.select(*index, "query_id", "w", norm(F.col("w")).alias("length")).select(*index, "query_id", "length", F.explode("w").alias("term")).groupBy(*index, "query_id", "length", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    df = tf.groupBy(*index, "term").agg(F.count(F.lit(1)).alias("df"))
+    stats = made.groupBy(*index).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w").cast("double")).alias("avg_terms"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * idf).alias("weight"), "avg_terms")
-    buckets = _small(terms.groupBy("query_id", "length", bucket(F.col("term")).alias("bucket")).agg(F.sum("qtf").alias("q")))
+    weights = terms.join(df, [*index, "term"]).join(stats, index).select(*index, "query_id", "term", (F.col("qtf") * idf).alias("weight"), "avg_terms")
+    buckets = terms.groupBy(*index, "query_id", "length", bucket(F.col("term")).alias("bucket")).agg(F.sum("qtf").alias("q"))
     dl = F.greatest(F.col("n_terms"), F.lit(1)) / F.greatest(F.col("avg_terms"), F.lit(1.0))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * dl))
-    by_term = tf.join(F.broadcast(weights) if terms.count() <= BROADCAST_ROWS else weights, "term").select("query_id", "doc_id", part.alias("bm25"), F.lit(0.0).alias("cosine"))
-    by_bucket = tf.withColumn("bucket", bucket(F.col("term"))).join(buckets, "bucket").select("query_id", "doc_id", F.lit(0.0).alias("bm25"), (F.col("tf") * F.col("q") / F.col("norm") / F.col("length")).alias("cosine"))
-    summed = by_term.unionByName(by_bucket).groupBy("query_id", "doc_id").agg(F.sum("bm25").alias("bm25"), F.sum("cosine").alias("cosine"))
-    return summed.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("cosine", 6).alias("cosine"))
+    by_term = tf.join(weights, [*index, "term"]).select(*index, "query_id", "doc_id", part.alias("bm25"), F.lit(0.0).alias("cosine"))
+    by_bucket = tf.withColumn("bucket", bucket(F.col("term"))).join(buckets, [*index, "bucket"]).select(*index, "query_id", "doc_id", F.lit(0.0).alias("bm25"), (F.col("tf") * F.col("q") / F.col("norm") / F.col("length")).alias("cosine"))
+    summed = by_term.unionByName(by_bucket).groupBy(*index, "query_id", "doc_id").agg(F.sum("bm25").alias("bm25"), F.sum("cosine").alias("cosine"))
+    return summed.select(*index, "query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("cosine", 6).alias("cosine"))
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -184,7 +177,7 @@ def cascade(docs: DataFrame, queries: DataFrame, k: int = 5, max_tier: int = 2,
     variants = queries.select("query_id", F.posexplode(query_variants(F.coalesce("text", F.lit("")))).alias("v", "text"))
     keyed = variants.select(F.struct("query_id", "v").alias("query_id"), "text")
     facts = docs.select("doc_id", "code", F.col("source").alias("_source"))
-    lists = ranked(scores(docs.select("doc_id", "text"), keyed, tokens), deep)
+    lists = top_lists(docs.sparkSession, docs.select("doc_id", "text"), keyed, deep, tokens)
     named = lists.select("query_id", "doc_id").distinct().join(facts, "doc_id").join(keyed, "query_id")
     bonus = named.select("query_id", "doc_id", query_bonus(F.col("code"), F.col("_source"), F.col("text")).alias("bonus"))
     plain = lambda rows: rows.withColumn("query_id", F.col("query_id.query_id"))

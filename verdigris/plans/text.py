@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import hits, words
 from ..functions.numbers import NUMBER, NUMBER_UNIT, UNIT_NAMES, number_tokens, number_unit_pairs
 from ..operators import matching, retrieval
+from ..operators.toplists import top_lists
 from .registry import query, table
 
 # Function words that stand for a lexicon in each language.
@@ -81,8 +82,7 @@ BM25_SQL = f"""
 
 def lists(spark, d):
     """The ten best documents of each benchmark passage, by BM25 and by hashed vectors."""
-    scored = retrieval.scores(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    return retrieval.ranked(scored, 10)
+    return top_lists(spark, table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM a")
