@@ -152,11 +152,11 @@ def checked_claims(claims: DataFrame, items: DataFrame, keys: list[str]) -> Data
     return met.withColumns({"delta_pct": delta, "verdict": verdict}).drop("_value", "_unit")
 
 
-def document_risks(texts: DataFrame, checked: DataFrame, similarity: Column, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, risk): 0 to 100 from mismatches, unverifiable claims, vague phrases and distance from the report."""
+def document_risks(texts: DataFrame, checked: DataFrame, similarity: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, risk): 0 to 100 from mismatches, unverifiable claims, vague phrases and distance from the report; similarity has (id, sim)."""
     n = checked.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "mismatch").alias("bad"), F.count_if(F.col("verdict") == "unverifiable").alias("open"))
     whole = F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))
     vague = F.aggregate(sentences.sentences(F.coalesce(F.col(text_col), F.lit(""))), F.lit(0), lambda a, s: a + F.size(vague_phrases(s)))
     parts = 0.45 * F.least(F.lit(1.0), F.coalesce("bad", F.lit(0)) / whole * 2.0) + 0.10 * F.least(F.lit(1.0), F.coalesce("open", F.lit(0)) / whole)
-    parts = parts + 0.25 * F.least(F.lit(1.0), vague / 4.0) + 0.20 * F.greatest(F.lit(0.0), 1.0 - similarity)
-    return texts.join(n, id_col, "left").select(id_col, F.round(100 * parts, 1).alias("risk"))
+    parts = parts + 0.25 * F.least(F.lit(1.0), vague / 4.0) + 0.20 * F.greatest(F.lit(0.0), 1.0 - F.coalesce("sim", F.lit(0.0)))
+    return texts.join(n, id_col, "left").join(similarity, id_col, "left").select(id_col, F.round(100 * parts, 1).alias("risk"))

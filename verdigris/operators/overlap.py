@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Blank characters of Unicode, which part words.
 BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 #: Chunks that a sentence meets by its rarest words before it is known how good they are.
-FIRST = 32
+FIRST = 256
 #: Words of all sentences are broadcast up to so many.
 BROADCAST_ROWS = 1 << 20
 

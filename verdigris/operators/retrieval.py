@@ -166,6 +166,23 @@ def method_overlap(lists: DataFrame, k: int = 5) -> DataFrame:
     return both.select("query_id", F.coalesce(F.try_divide(F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))), F.lit(0.0)).alias("overlap"))
 
 
+def channels(docs: DataFrame, queries: DataFrame, k: int = 3, tokens: Callable[[Column], Column] = word_pairs) -> DataFrame:
+    """(query_id, channel, doc_id, score, rank): the k best of each query in each of its channels by both methods, fused; lists aren't mixed.
+
+    docs has channel, scope, doc_id, text, code and source; queries query_id, text and scopes, a map of channel to the scope it looks into (all
+    guidelines, its industry's texts, its own company's). Each (channel, scope) is an index of its own. Queries that ask an index the same are scored
+    once. A channel without a hit has no rows, whatever the others find.
+    """
+    deep, index = max(k, 8), ["channel", "scope"]
+    wanted = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"), F.explode("scopes").alias("channel", "scope"))
+    asked = wanted.select(*index, "text").distinct().select(*index, F.struct(*index, "text").alias("query_id"), "text")
+    lists = ranked(scores(docs.select(*index, "doc_id", "text"), asked, index, tokens), deep)
+    named = lists.select("query_id", "doc_id").distinct().withColumns({"channel": F.col("query_id.channel"), "scope": F.col("query_id.scope")}).join(docs.select(*index, "doc_id", "code", "source"), [*index, "doc_id"])
+    bonus = named.select("query_id", "doc_id", query_bonus(F.col("code"), F.col("source"), F.col("query_id.text")).alias("bonus"))
+    best = fuse(lists, k, bonus).select("query_id.*", "doc_id", "score", "rank")
+    return wanted.join(best, [*index, "text"]).select("query_id", "channel", "doc_id", "score", "rank")
+
+
 def cascade(docs: DataFrame, queries: DataFrame, k: int = 5, max_tier: int = 2, tokens: Callable[[Column], Column] = word_pairs) -> DataFrame:
     """(query_id, tier, decision, hard_fails, soft_flags, ids): keywords alone, then both methods, then variants of the
     query fused by rank; the first tier that is accepted, else the last.

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import FALLS, OVERCLAIMS, PERFECT, RISES, TOPICS, VAGUE
 from ..functions.measures import risk_level
 from ..functions.numbers import NUMBER, NUMBER_UNIT, UNIT_FAMILIES, UNIT_NAMES
-from ..operators import claims, grounding, retrieval
+from ..functions.sentences import sentences
+from ..operators import claims, grounding, retrieval, similarity
 from .registry import query, table
 
 # Each supplier's quantities by year are its figures; what it says of them is off by a twentieth for every step of its id modulo 5.
@@ -79,20 +80,91 @@ def claim_vs_evidence_asof(spark, d):
     return scored.select("id", F.col("sentence").cast("long").alias("sentence"), "d1", F.array_join("nodes", ",").alias("nodes"), risk_level(F.col("d1")).alias("level"))
 
 
+# What each supplier's questions are looked up in: guidelines for all, texts of its industry, its own figures.
+GUIDELINES = ["재생에너지 사용 비율을 연도별로 공시한다.", "폐기물 처리량은 톤으로 적고 재활용을 구분한다.", "이사회의 다양성과 출석률을 적는다.", "온실가스 배출량은 검증 기관의 확인을 받는다."]
+INDUSTRIES = [(str(i), f"{i}{j}", text) for i in range(5) for j, text in enumerate([f"업종 {i}의 재생에너지 전환은 {i + 2} TJ를 넘는다.", f"업종 {i}에서는 폐기물 {i * 7} 톤이 나온다."]) if (i, j) != (3, 0)]
+QUESTIONS = ("재생에너지 사용량, 폐기물 E-4-2", "폐기물 처리 톤")
+CHANNELS_SQL = f"""
+    docs AS (SELECT 'guideline' AS channel, 'all' AS scope, 'g' || i AS doc_id, t AS text, '' AS code, 'guideline' AS source FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(GUIDELINES))}) g(i, t)
+        UNION ALL SELECT 'industry', s, 'i' || i, t, '', 'industry' FROM (VALUES {", ".join(map(str, INDUSTRIES))}) v(s, i, t)
+        UNION ALL SELECT 'corp', corp::VARCHAR, node_id, '[' || code || '] ' || CASE WHEN code = 'E-4-2' THEN '재생에너지 사용량' ELSE '폐기물 처리' END || ' 수치: ' || value::BIGINT || ' ' || coalesce(unit, '') || ' ' || period || '년', code, CASE WHEN code = 'E-4-2' THEN 'dart_struct' ELSE 'snippet' END FROM nodes),
+    wanted AS (SELECT corp AS query_id, CASE WHEN corp % 2 = 0 THEN '{QUESTIONS[0]}' ELSE '{QUESTIONS[1]}' END AS text, unnest(['guideline', 'industry', 'corp']) AS channel, unnest(['all', (corp % 5)::VARCHAR, corp::VARCHAR]) AS scope FROM (SELECT DISTINCT corp FROM f))"""
+PAIRS_OF = r"list_filter(regexp_split_to_array({t}, '\s+'), lambda x: x <> '') || list_filter(list_transform(range(1, length({t})), lambda i: substr({t}, i, 2)), lambda x: NOT regexp_full_match(x, '\s*'))"
+BUCKET_SQL = "('0x' || substr(md5(term), 31, 2))::INT AS bucket"
+HITS_SQL = f"""{CHANNELS_SQL},
+    ct AS (SELECT channel, scope, doc_id, {PAIRS_OF.format(t='text')} AS w FROM docs),
+    ctf AS (SELECT channel, scope, doc_id, n_terms, term, {BUCKET_SQL}, count(*) AS tf FROM (SELECT channel, scope, doc_id, len(w) AS n_terms, unnest(w) AS term FROM ct) GROUP BY ALL),
+    cst AS (SELECT channel, scope, count(*) AS n_docs, avg(len(w)::DOUBLE) AS avg_terms FROM ct GROUP BY ALL),
+    cdf AS (SELECT channel, scope, term, count(*) AS df FROM ctf GROUP BY ALL),
+    aq AS (SELECT DISTINCT channel, scope, text FROM wanted),
+    aqt AS (SELECT channel, scope, text, term, {BUCKET_SQL}, count(*) AS qtf FROM (SELECT channel, scope, text, unnest({PAIRS_OF.format(t='text')}) AS term FROM aq) GROUP BY ALL),
+    sc AS (SELECT channel, scope, text, doc_id, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_terms / avg_terms))), 6) AS score FROM ctf JOIN aqt USING (channel, scope, term) JOIN cdf USING (channel, scope, term) JOIN cst USING (channel, scope) GROUP BY ALL),
+    db AS (SELECT channel, scope, doc_id, bucket, sum(tf) AS n FROM ctf GROUP BY ALL), dn AS (SELECT channel, scope, doc_id, sqrt(sum(n * n)) AS norm FROM db GROUP BY ALL),
+    qb AS (SELECT channel, scope, text, bucket, sum(qtf) AS n FROM aqt GROUP BY ALL), qn AS (SELECT channel, scope, text, sqrt(sum(n * n)) AS norm FROM qb GROUP BY ALL),
+    cs AS (SELECT db.channel, db.scope, qb.text, db.doc_id, round(sum(db.n * qb.n) / any_value(dn.norm) / any_value(qn.norm), 6) AS score FROM db JOIN qb USING (channel, scope, bucket) JOIN dn ON dn.channel = db.channel AND dn.scope = db.scope AND dn.doc_id = db.doc_id JOIN qn ON qn.channel = db.channel AND qn.scope = db.scope AND qn.text = qb.text GROUP BY ALL),
+    both_ AS (SELECT *, 0.55 AS weight FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY channel, scope, text ORDER BY score DESC, doc_id) <= 8 UNION ALL SELECT *, 0.45 FROM cs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY channel, scope, text ORDER BY score DESC, doc_id) <= 8),
+    scaled AS (SELECT *, weight * CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM both_ WINDOW w AS (PARTITION BY channel, scope, text, weight)),
+    summed AS (SELECT channel, scope, text, doc_id, round(sum(s) + any_value(CASE WHEN code <> '' AND contains(scaled.text, code) THEN 0.35 ELSE 0 END + CASE WHEN source = 'dart_struct' THEN 0.05 ELSE 0 END), 4) AS score FROM scaled JOIN (SELECT channel, scope, doc_id, code, source FROM docs) USING (channel, scope, doc_id) GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY channel, scope, text ORDER BY score DESC, doc_id) AS rank FROM summed QUALIFY rank <= 3),
+    found AS (SELECT query_id, channel, doc_id, score::DOUBLE AS score, rank FROM wanted JOIN best USING (channel, scope, text))"""
+
+
+def channel_docs(spark, f):
+    """(channel, scope, doc_id, text, code, source) of all three channels."""
+    own = evidence(f)[0]
+    structured = F.col("code") == "E-4-2"
+    text = F.concat(F.lit("["), "code", F.lit("] "), F.when(structured, "재생에너지 사용량").otherwise("폐기물 처리"), F.lit(" 수치: "), F.col("value").cast("long"), F.lit(" "), F.coalesce("unit", F.lit("")), F.lit(" "), "period", F.lit("년"))
+    mine = own.select(F.lit("corp").alias("channel"), F.col("corp").cast("string").alias("scope"), F.col("node_id").alias("doc_id"), text.alias("text"), "code", F.when(structured, "dart_struct").otherwise("snippet").alias("source"))
+    rows = [("guideline", "all", f"g{i}", t, "", "guideline") for i, t in enumerate(GUIDELINES)] + [("industry", s, f"i{i}", t, "", "industry") for s, i, t in INDUSTRIES]
+    return mine.unionByName(spark.createDataFrame(rows, mine.schema))
+
+
+def channel_hits(spark, f):
+    """(docs, hits): hits are the three best of each channel for each supplier's question."""
+    docs = channel_docs(spark, f)
+    corp = F.col("corp")
+    scopes = F.create_map(F.lit("guideline"), F.lit("all"), F.lit("industry"), (corp % 5).cast("string"), F.lit("corp"), corp.cast("string"))
+    questions = f.select("corp").distinct().select(corp.alias("query_id"), F.when(corp % 2 == 0, QUESTIONS[0]).otherwise(QUESTIONS[1]).alias("text"), scopes.alias("scopes"))
+    return docs, retrieval.channels(docs, questions, 3)
+
+
+@query(f"WITH {TEXTS_SQL}, {HITS_SQL} SELECT * FROM found")
+def three_channel_hits(spark, d):
+    """Guidelines, industry texts and own figures retrieved for each supplier, a list a channel."""
+    return channel_hits(spark, figures(spark, d))[1].withColumn("rank", F.col("rank").cast("long"))
+
+
+# Cosines of hashed bags: of a, rows (id, key, text), to b, rows (key, chunk, text).
+COSINE_SQL = """{n}_a AS (SELECT {id}, key, bucket, count(*) AS n FROM (SELECT {id}, key, ('0x' || substr(md5(term), 31, 2))::INT AS bucket FROM (SELECT {id}, key, unnest({pairs}) AS term FROM {a})) GROUP BY ALL),
+    {n}_b AS (SELECT key, chunk, bucket, count(*) AS n FROM (SELECT key, chunk, ('0x' || substr(md5(term), 31, 2))::INT AS bucket FROM (SELECT key, chunk, unnest({pairs}) AS term FROM {b})) GROUP BY ALL),
+    {n}_an AS (SELECT {id}, sqrt(sum(n * n)) AS an FROM {n}_a GROUP BY ALL), {n}_bn AS (SELECT key, chunk, sqrt(sum(n * n)) AS bn FROM {n}_b GROUP BY ALL),
+    {n}_dot AS (SELECT {id}, x.key, chunk, sum(x.n * y.n) AS dot FROM {n}_a x JOIN {n}_b y USING (key, bucket) GROUP BY ALL),
+    {n} AS (SELECT {id}, key, chunk, round(coalesce(dot / (an * bn), 0), 6) AS cosine FROM (SELECT DISTINCT {id}, key FROM {a}) JOIN {n}_bn USING (key) LEFT JOIN {n}_dot USING ({id}, key, chunk) LEFT JOIN {n}_an USING ({id}))"""
+D3_SQL = f"""{HITS_SQL},
+    vec_s AS (SELECT id, sentence, corp AS key, s AS text FROM sent), vec_t AS (SELECT query_id AS key, channel || doc_id AS chunk, docs.text FROM found JOIN docs USING (channel, doc_id)),
+    {COSINE_SQL.format(n='vec', id='id, sentence', pairs=PAIRS_OF.format(t='text'), a='vec_s', b='vec_t')},
+    sim AS (SELECT id, sentence, max(cosine) AS sim FROM vec GROUP BY ALL)"""
+
+
 COUNT_VAGUE = " + ".join(f"contains(s, '{p}')::INT" for p in VAGUE)
 SAYS = {k: "(" + " OR ".join(f"contains(s, '{w}')" for w in words) + ")" for k, words in (("down", FALLS), ("up", RISES))}
-RISK_SQL = f"""{D1_SQL},
+RISK_SQL = f"""{D1_SQL}, {D3_SQL},
     e AS (SELECT corp, code, count(*) AS n, count(*) FILTER (yoy > 0) AS ups, count(*) FILTER (yoy < 0) AS downs FROM edges GROUP BY ALL),
     d5 AS (SELECT id, sentence, round(least(1.0, sum(CASE WHEN {SAYS['down']} THEN ups ELSE 0 END + CASE WHEN {SAYS['up']} THEN downs ELSE 0 END)::DOUBLE / sum(n) / 0.2), 4) AS d5 FROM claims JOIN e USING (corp, code) GROUP BY ALL),
-    axes AS (SELECT id, sentence, s, coalesce(d1, 0) AS d1, round(least(1.0, ({COUNT_VAGUE}) / 1.0), 4) AS d2, 0.5 AS d3, coalesce(d5, 0) AS d5 FROM sent LEFT JOIN d1 USING (id, sentence) LEFT JOIN d5 USING (id, sentence)),
-    risks AS (SELECT *, round(0.4 * d1 + 0.25 * d2 + 0.25 * d3::DOUBLE + 0.1 * d5, 4) AS risk FROM axes)"""
+    axes AS (SELECT id, sentence, s, coalesce(d1, 0) AS d1, round(least(1.0, ({COUNT_VAGUE}) / 1.0), 4) AS d2, round(least(1.0, greatest(0.0, 0.35 - sim) / 0.35), 4) AS d3, coalesce(d5, 0) AS d5 FROM sent LEFT JOIN d1 USING (id, sentence) LEFT JOIN d5 USING (id, sentence) LEFT JOIN sim USING (id, sentence)),
+    risks AS (SELECT *, round(0.40 * d1::DECIMAL(9, 4) + 0.25 * d2::DECIMAL(9, 4) + 0.25 * d3::DECIMAL(9, 4) + 0.10 * d5::DECIMAL(9, 4), 4)::DOUBLE AS risk FROM axes)"""
 LEVEL = "CASE WHEN risk < 0.25 THEN 'low' WHEN risk < 0.5 THEN 'medium' ELSE 'high' END AS level"
 TOP = "CASE greatest(d1, d2, d3::DOUBLE, d5) WHEN d1 THEN 'D1_numeric' WHEN d2 THEN 'D2_modifier' WHEN d3::DOUBLE THEN 'D3_semantic' ELSE 'D5_timeseries' END AS top_axis"
 
 
 def risks(spark, d):
     f = figures(spark, d)
-    return claims.sentence_risks(statements(f), *evidence(f), keys=["corp"])
+    docs, hits = channel_hits(spark, f)
+    texts = statements(f)
+    chunks = hits.join(docs, ["channel", "doc_id"]).select(F.col("query_id").alias("corp"), "text")
+    said = texts.select("id", "corp", F.posexplode(sentences(F.col("text"))).alias("sentence", "text"))
+    near = similarity.retrieved_similarity(said, chunks, ["corp"], ["id", "sentence"])
+    return claims.sentence_risks(texts, *evidence(f), keys=["corp"], similarity=near)
 
 
 @query(f"WITH {RISK_SQL} SELECT id, sentence, d1, d2, d3::DOUBLE AS d3, d5, risk, {LEVEL}, {TOP} FROM risks")
@@ -124,11 +196,15 @@ def claim_verdicts(spark, d):
 
 
 @query(f"""WITH {CHECKED_SQL}, n AS (SELECT id, count(*) AS n, count(*) FILTER (verdict = 'mismatch') AS bad, count(*) FILTER (verdict = 'unverifiable') AS open FROM checked GROUP BY id),
-    v AS (SELECT id, sum({COUNT_VAGUE}) AS vague FROM sent GROUP BY id)
-    SELECT id, round(100 * (0.45 * least(1.0, coalesce(bad, 0) / greatest(coalesce(n, 0), 1) * 2.0) + 0.10 * least(1.0, coalesce(open, 0) / greatest(coalesce(n, 0), 1)) + 0.25 * least(1.0, vague / 4.0) + 0.20 * 0.5)::DOUBLE, 1) AS risk FROM v LEFT JOIN n USING (id)""")
+    v AS (SELECT id, sum({COUNT_VAGUE}) AS vague FROM sent GROUP BY id), {CHANNELS_SQL},
+    own_s AS (SELECT id, corp AS key, text FROM texts), own_t AS (SELECT scope::BIGINT AS key, doc_id AS chunk, text FROM docs WHERE channel = 'corp'), {COSINE_SQL.format(n='own', id='id', pairs=PAIRS_OF.format(t='text'), a='own_s', b='own_t')},
+    whole AS (SELECT id, round(avg(cosine), 6) AS sim FROM (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC) <= 5) GROUP BY id)
+    SELECT id, round(100 * (0.45 * least(1.0, coalesce(bad, 0) / greatest(coalesce(n, 0), 1) * 2.0) + 0.10 * least(1.0, coalesce(open, 0) / greatest(coalesce(n, 0), 1)) + 0.25 * least(1.0, vague / 4.0) + 0.20 * greatest(0, 1 - sim))::DOUBLE, 1) AS risk FROM v JOIN whole USING (id) LEFT JOIN n USING (id)""")
 def document_risk(spark, d):
-    """Documents by mismatches, open claims and vague words, with a similarity of a half to the report."""
-    return claims.document_risks(*checked(spark, d), F.lit(0.5))
+    """Documents by mismatches, open claims, vague words, and their similarity to their supplier's own texts."""
+    texts, verdicts = checked(spark, d)
+    own = channel_docs(spark, figures(spark, d)).where("channel = 'corp'").select(F.col("scope").cast("long").alias("corp"), "text")
+    return claims.document_risks(texts, verdicts, similarity.mean_similarity(texts, own, ["corp"]))
 
 
 # Answers about customers, each line citing one record, and the records they cite.
