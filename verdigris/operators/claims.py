@@ -115,7 +115,9 @@ def semantic_axis(similarity: Column) -> Column:
 def risk_vector(d1: Column, d2: Column, d3: Column, d5: Column) -> Column:
     """struct<risk, level, top_axis, high_axes>: weighted risk, its level, the first largest axis, axes of a half or more."""
     scores = dict(zip(WEIGHTS, (d1, d2, d3, d5)))
-    risk = F.round(sum((w * scores[name] for name, w in list(WEIGHTS.items())[1:]), WEIGHTS["D1_numeric"] * d1), 4)
+    # Scores have four digits and weights two: their sum is taken in decimals, so a half rounds up wherever it is worked out.
+    parts = [F.lit(f"{w:.2f}").cast("decimal(4,2)") * scores[name].cast("decimal(9,4)") for name, w in WEIGHTS.items()]
+    risk = F.round(sum(parts[1:], parts[0]), 4).cast("double")
     axes = F.array(*[F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, s) in enumerate(scores.items())])
     high = F.transform(F.filter(axes, lambda a: -a["s"] >= MEDIUM), lambda a: a["name"])
     return F.struct(risk.alias("risk"), F.when(risk < LOW, "low").when(risk < MEDIUM, "medium").otherwise("high").alias("level"), F.array_min(axes)["name"].alias("top_axis"), high.alias("high_axes"))
