@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from verdigris.operators import claims, extraction, overlap, retrieval, similarity, toplists
 
 
-@pytest.mark.parametrize("first", [1, 40])
-def test_overlaps(spark, monkeypatch, first):
-    """Random words with a few very frequent ones, ties, repeated words, null texts; with short and long first lists."""
-    monkeypatch.setattr(overlap, "FIRST", first)
+@pytest.mark.parametrize("block", [7, 1024])
+def test_overlaps(spark, monkeypatch, block):
+    """Random words with a few very frequent ones, ties, repeated words, null texts; in several passes and blocks too."""
+    monkeypatch.setattr(overlap, "SENTENCES", block)
+    monkeypatch.setattr(overlap, "CHUNKS", block)
     rng = random.Random(8)
     words = ["the", "of", "a"] * 12 + [f"w{i}" for i in range(60)]
     text = lambda n: rng.choice([" ", "  ", "\t", "　"]).join(rng.choices(words, k=n))

@@ -2,55 +2,88 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Blank characters of Unicode, which part words.
 BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-#: Chunks that a sentence meets by its rarest words before it is known how good they are.
-FIRST = 256
-#: Words of all sentences are broadcast up to so many.
-BROADCAST_ROWS = 1 << 20
+#: Sentences that a pass over the chunks serves, and chunks that are counted together.
+SENTENCES, CHUNKS = 1024, 512
 
 
 def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != ""))
 
 
+def _best_of(asked: list[list[str]], k: int):
+    """Scores batches of chunks (id, words) against sentences, given as lists of different words."""
+    vocabulary = sorted({w for words in asked for w in words})
+    number = {w: i for i, w in enumerate(vocabulary)}
+    names = pa.array(vocabulary, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = np.zeros((len(vocabulary), len(asked)), dtype=np.float32)
+        for i, words in enumerate(asked):
+            has[[number[w] for w in words], i] = 1
+        held: list[list[tuple[int, str]]] = [[] for _ in asked]
+        bound = np.ones(len(asked), dtype=np.float32)
+        for batch in batches:
+            for at in range(0, len(batch), CHUNKS):
+                part = batch.slice(at, CHUNKS)
+                lists = part.column(1)
+                code = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy()
+                row = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))[code >= 0]
+                there, column = np.unique(code[code >= 0], return_inverse=True)
+                mine = has[there]
+                # A sentence can't find anything better here than all of its words that occur here.
+                open_ = np.flatnonzero(mine.sum(axis=0) >= bound) if len(there) else []
+                if not len(open_):
+                    continue
+                held_here = np.zeros((len(part), len(there)), dtype=np.float32)
+                held_here[row, column] = 1
+                shared = held_here @ mine[:, open_]
+                rows, which = np.nonzero(shared >= bound[open_][None, :])
+                ids, found = part.column(0).to_pylist(), {}
+                for r, q in zip(rows.tolist(), which.tolist()):
+                    found.setdefault(int(open_[q]), []).append((int(shared[r, q]), ids[r]))
+                for q, more in found.items():
+                    held[q] = heapq.nlargest(k, held[q] + more)
+                    if len(held[q]) == k:
+                        bound[q] = held[q][-1][0]
+        rows_out = [(q, i, n) for q, found in enumerate(held) for n, i in found]
+        columns = list(zip(*rows_out)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["q", "chunk_id", "overlap"])
+
+    return run
+
+
 def top_overlaps(sentences: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
-    """(sentence_id, chunk_id, overlap, rank): of each sentence the k chunks that share most words, ties to the larger chunk_id.
+    """(sentence_id, chunk_id, overlap, rank): of each sentence the k chunks that share most words, ties to the larger chunk_id (a string).
 
-    sentences has sentence_id and text, chunks chunk_id and text; ids differ. Exact, without a row for each pair that shares a word:
-    a sentence's words are ordered by how many chunks have them. Its rarest words find the first chunks, whose overlaps are counted. Where
-    the k-th of these shares t words, a chunk outside can only be as good if it has one of all but the last t - 1 words, so only the
-    lists of words up to there are read; the most frequent words, whose lists hold nearly all chunks, are left to sentences that
-    find nothing better. Null and empty texts, and sentences that share no word, have no rows.
+    Exact, and without a row or an exchange for pairs that share a word: a pass over the chunks serves 1,024 sentences, whose words go to the
+    tasks. A block of chunks is skipped for sentences that have fewer words in it than their k-th overlap so far, others are counted at once
+    as a product of two small matrices; a task hands on its k best. Null and empty texts, and sentences that share no word, have no rows.
     """
+    spark = sentences.sparkSession
     asked = sentences.select("sentence_id", word_set(F.col("text")).alias("w"))
-    held = chunks.select("chunk_id", word_set(F.col("text")).alias("w"))
-    words = asked.select("sentence_id", F.explode("w").alias("word"))
-    vocabulary = words.select("word").distinct()
-    vocabulary = F.broadcast(vocabulary) if words.count() <= BROADCAST_ROWS else vocabulary
-    postings = held.select("chunk_id", F.explode("w").alias("word")).join(vocabulary, "word", "left_semi")
-    # The place of a word in its sentence's order, and how many chunks its lists hold up to there.
-    order = Window.partitionBy("sentence_id").orderBy("df", "word")
-    told = words.join(postings.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word")
-    told = told.withColumns({"place": F.row_number().over(order), "before": F.sum("df").over(order) - F.col("df"), "m": F.count(F.lit(1)).over(Window.partitionBy("sentence_id"))})
-    first = told.where((F.col("place") == 1) | (F.col("before") < FIRST))
-
-    def met(lists: DataFrame) -> DataFrame:
-        pairs = lists.select("sentence_id", "word").join(postings, "word").select("sentence_id", "chunk_id").distinct()
-        both = pairs.join(asked, "sentence_id").join(held.withColumnRenamed("w", "_w"), "chunk_id")
-        return both.select("sentence_id", "chunk_id", F.size(F.array_intersect("w", "_w")).alias("overlap"))
-
-    def best(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(Window.partitionBy("sentence_id").orderBy(F.desc("overlap"), F.desc("chunk_id")))).where(F.col("rank") <= k)
-
-    start = best(met(first))
-    bound = start.where(F.col("rank") == k).select("sentence_id", F.col("overlap").alias("t"))
-    rest = told.join(bound, "sentence_id", "left").where((F.col("place") > 1) & (F.col("before") >= FIRST) & (F.col("place") <= F.col("m") - F.coalesce("t", F.lit(1)) + 1))
-    found = start.drop("rank").unionByName(met(rest)).distinct()
-    return best(found)
+    held = chunks.select("chunk_id", word_set(F.col("text")).alias("w")).where("size(w) > 0")
+    blocks = max(1, -(-asked.count() // SENTENCES))
+    out = None
+    for block in range(blocks):
+        rows = (asked.where(F.pmod(F.xxhash64("sentence_id"), F.lit(blocks)) == block) if blocks > 1 else asked).collect()
+        found = held.mapInArrow(_best_of([r.w for r in rows], k), "q int, chunk_id string, overlap int")
+        names = spark.createDataFrame([(i, r.sentence_id) for i, r in enumerate(rows)], StructType([StructField("q", IntegerType()), asked.schema["sentence_id"]]))
+        order = Window.partitionBy("q").orderBy(F.desc("overlap"), F.desc("chunk_id"))
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(F.broadcast(names), "q").select("sentence_id", "chunk_id", "overlap", "rank")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def _items(items: DataFrame, keys: list[str]) -> DataFrame:
