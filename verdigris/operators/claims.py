@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sentences
 from ..functions.lexicon import CATEGORIES, FALLS, RISES, TOPICS, VAGUE
+from .industry import IndustryModule, merged_map, merged_terms, scalar
 
 # A number with a unit that makes a claim; other names of units; weights and limits of the axes.
 CLAIM = r"(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*(%|억원|조원|tCO2eq|만\s*tCO2eq|톤|ton|TJ|%p|건|명|배)"
@@ -103,8 +106,10 @@ def trend_axis(claims: DataFrame, edges: DataFrame, keys: list[str], by: list[st
     return met.groupBy(*by).agg(F.round(F.least(F.lit(1.0), F.sum(against) / F.sum("n") / D5_FULL), 4).alias("d5"))
 
 
-def modifier_axis(text: Column) -> Column:
-    return F.round(F.least(F.lit(1.0), F.size(vague_phrases(text)) / D2_FULL), 4)
+def modifier_axis(text: Column, terms: Column | None = None, full: Column | None = None) -> Column:
+    """Vague phrases (or other terms, an array) in the text, of as many as are full marks, at most 1."""
+    found = vague_phrases(text) if terms is None else F.filter(terms, lambda p: F.contains(text, p))
+    return F.round(F.least(F.lit(1.0), F.size(found) / (F.lit(D2_FULL) if full is None else full)), 4)
 
 
 def semantic_axis(similarity: Column) -> Column:
@@ -112,29 +117,35 @@ def semantic_axis(similarity: Column) -> Column:
     return F.when(similarity.isNull(), 0.5).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), D3_LEAST - similarity) / D3_LEAST), 4))
 
 
-def risk_vector(d1: Column, d2: Column, d3: Column, d5: Column) -> Column:
+def risk_vector(d1: Column, d2: Column, d3: Column, d5: Column, weights: dict[str, Column] | None = None) -> Column:
     """struct<risk, level, top_axis, high_axes>: weighted risk, its level, the first largest axis, axes of a half or more."""
+    weights = weights or {name: F.lit(w) for name, w in WEIGHTS.items()}
     scores = dict(zip(WEIGHTS, (d1, d2, d3, d5)))
     # Scores have four digits and weights two: their sum is taken in decimals, so a half rounds up wherever it is worked out.
-    parts = [F.lit(f"{w:.2f}").cast("decimal(4,2)") * scores[name].cast("decimal(9,4)") for name, w in WEIGHTS.items()]
+    parts = [weights[name].cast("decimal(4,2)") * scores[name].cast("decimal(9,4)") for name in WEIGHTS]
     risk = F.round(sum(parts[1:], parts[0]), 4).cast("double")
     axes = F.array(*[F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, s) in enumerate(scores.items())])
     high = F.transform(F.filter(axes, lambda a: -a["s"] >= MEDIUM), lambda a: a["name"])
     return F.struct(risk.alias("risk"), F.when(risk < LOW, "low").when(risk < MEDIUM, "medium").otherwise("high").alias("level"), F.array_min(axes)["name"].alias("top_axis"), high.alias("high_axes"))
 
 
-def sentence_risks(texts: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[str], similarity: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def sentence_risks(texts: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[str], similarity: DataFrame | None = None, id_col: str = "id", text_col: str = "text", module: str | None = None, registry: Sequence[IndustryModule] = ()) -> DataFrame:
     """One row a sentence: (id, sentence, text, d1, d2, d3, d5, risk, level, top_axis, high_axes, nodes).
 
-    texts has the keys too. similarity, where given, has (id, sentence, sim): the best similarity to retrieved chunks.
+    texts has the keys too. similarity, where given, has (id, sentence, sim): the best similarity to retrieved chunks. module, where given, is a
+    column of texts with the key of an industry in the registry, whose terms `vague`, scalar `d2_full` and map `weights` hold for its texts.
     """
-    rows = texts.select(id_col, *keys, F.posexplode(sentences.sentences(F.coalesce(F.col(text_col), F.lit("")))).alias("sentence", "text"))
+    rows = texts.select(id_col, *keys, *([module] if module else []), F.posexplode(sentences.sentences(F.coalesce(F.col(text_col), F.lit("")))).alias("sentence", "text"))
     claims = numeric_claims(texts, id_col, text_col).join(texts.select(id_col, *keys), id_col) if keys != [id_col] else numeric_claims(texts, id_col, text_col)
     by = [id_col, "sentence"]
     scored = rows.join(numeric_axis(with_evidence(claims, nodes, keys), by), by, "left").join(trend_axis(claims, edges, keys, by), by, "left")
     scored = scored.join(similarity, by, "left") if similarity is not None else scored.withColumn("sim", F.lit(None).cast("double"))
-    scored = scored.withColumns({"d1": F.coalesce("d1", F.lit(0.0)), "d2": modifier_axis(F.col("text")), "d3": semantic_axis(F.col("sim")), "d5": F.coalesce("d5", F.lit(0.0))})
-    return scored.withColumn("v", risk_vector(*map(F.col, ("d1", "d2", "d3", "d5")))).select(*by, "text", "d1", "d2", "d3", "d5", "v.*", F.coalesce("nodes", F.array().cast("array<string>")).alias("nodes"))
+    terms = full = weights = None
+    if module:
+        own = F.col(module)
+        terms, full, weights = merged_terms(own, "vague", VAGUE, registry), scalar(own, "d2_full", D2_FULL, registry), merged_map(own, "weights", WEIGHTS, registry)
+    scored = scored.withColumns({"d1": F.coalesce("d1", F.lit(0.0)), "d2": modifier_axis(F.col("text"), terms, full), "d3": semantic_axis(F.col("sim")), "d5": F.coalesce("d5", F.lit(0.0))})
+    return scored.withColumn("v", risk_vector(*map(F.col, ("d1", "d2", "d3", "d5")), weights)).select(*by, "text", "d1", "d2", "d3", "d5", "v.*", F.coalesce("nodes", F.array().cast("array<string>")).alias("nodes"))
 
 
 def worst_sentences(risks: DataFrame, id_col: str = "id") -> DataFrame:

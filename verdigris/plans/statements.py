@@ -9,7 +9,7 @@ from ..functions.lexicon import FALLS, OVERCLAIMS, PERFECT, RISES, TOPICS, VAGUE
 from ..functions.measures import risk_level
 from ..functions.numbers import NUMBER, NUMBER_UNIT, UNIT_FAMILIES, UNIT_NAMES
 from ..functions.sentences import sentences
-from ..operators import claims, grounding, retrieval, similarity
+from ..operators import claims, grounding, industry, retrieval, similarity
 from .registry import query, table
 
 # Each supplier's quantities by year are its figures; what it says of them is off by a twentieth for every step of its id modulo 5.
@@ -157,14 +157,18 @@ LEVEL = "CASE WHEN risk < 0.25 THEN 'low' WHEN risk < 0.5 THEN 'medium' ELSE 'hi
 TOP = "CASE greatest(d1, d2, d3::DOUBLE, d5) WHEN d1 THEN 'D1_numeric' WHEN d2 THEN 'D2_modifier' WHEN d3::DOUBLE THEN 'D3_semantic' ELSE 'D5_timeseries' END AS top_axis"
 
 
-def risks(spark, d):
+def risks(spark, d, registry=()):
     f = figures(spark, d)
     docs, hits = channel_hits(spark, f)
     texts = statements(f)
     chunks = hits.join(docs, ["channel", "doc_id"]).select(F.col("query_id").alias("corp"), "text")
     said = texts.select("id", "corp", F.posexplode(sentences(F.col("text"))).alias("sentence", "text"))
     near = similarity.retrieved_similarity(said, chunks, ["corp"], ["id", "sentence"])
-    return claims.sentence_risks(texts, *evidence(f), keys=["corp"], similarity=near)
+    if not registry:
+        return claims.sentence_risks(texts, *evidence(f), keys=["corp"], similarity=near)
+    told = F.when(F.col("corp") % 4 == 2, "자동차 부품 제조업").when(F.col("corp") % 4 == 3, "Steel")
+    texts = texts.withColumn("module", industry.module_of(F.when(F.col("corp") % 4 == 1, "chemicals").when(F.col("corp") % 8 == 7, "unknown"), told, registry))
+    return claims.sentence_risks(texts, *evidence(f), keys=["corp"], similarity=near, module="module", registry=registry)
 
 
 @query(f"WITH {RISK_SQL} SELECT id, sentence, d1, d2, d3::DOUBLE AS d3, d5, risk, {LEVEL}, {TOP} FROM risks")
@@ -177,6 +181,23 @@ def worst_sentence(spark, d):
     return claims.worst_sentences(risks(spark, d)).select("id", F.col("sentence").cast("long").alias("sentence"), "risk", "level", "top_axis")
 
 
+# Overrides of three industries: one is named, one told by an alias, one has terms that all have already.
+REGISTRY = [
+    industry.IndustryModule("automotive_parts", ("자동차부품", "Automotive"), {"vague": ("처리했다", "감소하였다", "선도적")}, {"weights": {"D2_modifier": 0.4, "D1_numeric": 0.25}}, {"d2_full": 4.0}),
+    industry.IndustryModule("chemicals", ("화학",), {"vague": ("톤",)}), industry.IndustryModule("steel", ("steel", "철강"), {"vague": ("친환경",)}, {"weights": {"D5_timeseries": 0.35}}),
+]
+MODULE_SQL = "CASE WHEN corp % 4 = 1 THEN 'chemicals' WHEN corp % 8 = 7 THEN NULL WHEN corp % 4 = 2 THEN 'automotive_parts' WHEN corp % 4 = 3 THEN 'steel' END"
+INDUSTRY_SQL = f"""{RISK_SQL},
+    ind AS (SELECT id, sentence, module, d1, d3, d5, CASE module WHEN 'automotive_parts' THEN round(least(1.0, ({COUNT_VAGUE} + contains(s, '처리했다')::INT + contains(s, '감소하였다')::INT) / 4.0), 4) WHEN 'chemicals' THEN round(least(1.0, {COUNT_VAGUE} + contains(s, '톤')::INT), 4) ELSE d2 END AS d2 FROM axes JOIN (SELECT id, {MODULE_SQL} AS module FROM texts) USING (id)),
+    irisks AS (SELECT *, round(CASE WHEN module = 'automotive_parts' THEN 0.25 ELSE 0.40 END * d1::DECIMAL(9, 4) + CASE WHEN module = 'automotive_parts' THEN 0.40 ELSE 0.25 END * d2::DECIMAL(9, 4) + 0.25 * d3::DECIMAL(9, 4) + CASE WHEN module = 'steel' THEN 0.35 ELSE 0.10 END * d5::DECIMAL(9, 4), 4)::DOUBLE AS risk FROM ind)"""
+
+
+@query(f"WITH {INDUSTRY_SQL} SELECT id, sentence, d1, d2::DOUBLE AS d2, d3::DOUBLE AS d3, d5, risk, {LEVEL}, {TOP} FROM irisks")
+def industry_risk_vector(spark, d):
+    """Risk of sentences with the terms, weights and limits of their supplier's industry."""
+    return risks(spark, d, REGISTRY).select("id", F.col("sentence").cast("long").alias("sentence"), "d1", "d2", "d3", "d5", "risk", "level", "top_axis")
+
+
 CHECKED_SQL = f"""{CLAIMS_SQL},
     items AS (SELECT DISTINCT ON (corp, code) corp, code, value, unit FROM nodes ORDER BY corp, code, period DESC),
     checked AS (SELECT c.*, v.code AS has, CASE WHEN c.code IS NULL OR v.value IS NULL THEN 'unverifiable' WHEN coalesce(v.unit, '') <> '' AND lower(v.unit) <> lower(c.unit) THEN 'approximate'
