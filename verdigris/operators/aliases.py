@@ -24,7 +24,7 @@ def bigrams(text: Column) -> Column:
 
 
 def alias_index(aliases: DataFrame) -> DataFrame:
-    """(alias, code, ord) of the normal aliases that one code alone owns; ord is their first place in the list."""
+    """(alias, code, ord) of the normal aliases that one code alone owns; ord, of any kind that sorts, is their first place in the list."""
     named = aliases.select(normal_label(F.col("alias")).alias("alias"), "code", "ord").where("length(alias) >= 2")
     return named.groupBy("alias").agg(F.min("code").alias("code"), F.min("ord").alias("ord"), F.max("code").alias("_last")).where("code = _last").drop("_last")
 
@@ -51,8 +51,10 @@ def resolve(labels: DataFrame, aliases: DataFrame, label_col: str = "label", con
     sized = index.select("alias", "code", "ord", bigrams(F.col("alias")).alias("b")).select("alias", "code", "ord", F.size("b").alias("m"), F.explode("b").alias("pair"))
     common = left.join(sized, "pair").groupBy("norm", "alias", "code", "ord", "m").agg(F.count(F.lit(1)).alias("both"))
     scored = common.withColumn("s", F.col("both") / (F.size(bigrams(F.col("norm"))) + F.col("m") - F.col("both")))
-    best = scored.groupBy("norm").agg(F.max_by("code", F.struct("s", -F.col("ord"))).alias("code"), F.max("s").alias("s"), F.slice(F.reverse(F.array_sort(F.collect_list("s"))), 2, 1).alias("second"))
-    sure = (F.col("s") >= least) & (F.col("s") - F.coalesce(F.get("second", F.lit(0)), F.lit(0.0)) >= gap)
+    order = Window.partitionBy("norm").orderBy(F.desc("s"), "ord", "alias")
+    two = scored.withColumn("k", F.row_number().over(order)).where("k <= 2")
+    best = two.groupBy("norm").agg(F.min_by("code", "k").alias("code"), F.max("s").alias("s"), F.max(F.when(F.col("k") == 2, F.col("s"))).alias("second"))
+    sure = (F.col("s") >= least) & (F.col("s") - F.coalesce("second", F.lit(0.0)) >= gap)
     sure = sure & (F.length("norm") <= longest_fuzzy) if longest_fuzzy else sure
     fuzzy = best.select("norm", F.when(sure, F.col("code")).alias("code"), F.round("s", 3).alias("confidence"), F.when(sure, "fuzzy").otherwise("none").alias("method"))
     found = exact.unionByName(held).unionByName(fuzzy).withColumnRenamed("norm", "_norm")

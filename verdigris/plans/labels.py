@@ -43,8 +43,6 @@ def resolved(spark, d):
     names = p.select(F.col("p_name").alias("alias"), F.col("b").alias("code")).distinct()
     # The list's order is that of the names: a text that sorts as they do serves as their place.
     raw = names.select("alias", "code", F.col("alias").alias("ord")).unionByName(p.select(F.col("a").alias("alias"), F.col("b").alias("code"), F.lit("~").alias("ord")).distinct())
-    order = raw.select("ord").distinct().orderBy("ord").agg(F.array_sort(F.collect_list("ord")).alias("all"))
-    raw = raw.crossJoin(F.broadcast(order)).select("alias", "code", F.array_position("all", F.col("ord")).alias("ord"))
     return aliases.resolve(p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("doc"), label.alias("label")), raw)
 
 
