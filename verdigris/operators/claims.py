@@ -97,9 +97,11 @@ def numeric_axis(evidenced: DataFrame, by: list[str]) -> DataFrame:
 def trend_axis(claims: DataFrame, edges: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """(by, d5): share of a claim's year-on-year edges that run against what its sentence says, over 20 %, at most 1.
 
-    edges has the keys, code and yoy; they are counted by code before any join.
+    edges has the keys, target_id and yoy: an edge is a code's if its target's id holds the code. Edges without yoy count among a code's edges, but
+    run against nothing. They are summed up for the codes that a company claims at all, so each edge meets these codes and not each claim.
     """
-    counts = edges.groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("yoy") > 0).alias("ups"), F.count_if(F.col("yoy") < 0).alias("downs"))
+    codes = claims.where("code IS NOT NULL").select(*keys, "code").distinct()
+    counts = codes.join(edges, keys).where(F.contains("target_id", F.col("code"))).groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("yoy") > 0).alias("ups"), F.count_if(F.col("yoy") < 0).alias("downs"))
     says = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("text"), w))
     against = F.when(says(FALLS), F.col("ups")).otherwise(0) + F.when(says(RISES), F.col("downs")).otherwise(0)
     met = claims.join(counts, [*keys, "code"])

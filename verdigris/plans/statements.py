@@ -21,7 +21,8 @@ TEXTS_SQL = f"""
               || CASE WHEN corp % 4 = 0 THEN '{BOAST}' ELSE '보고서 ' || period || '년.' END AS text FROM f),
     nodes AS (SELECT corp, 'E-4-2' AS code, 'n:' || corp || ':E-4-2:' || period AS node_id, q::DOUBLE AS value, 'TJ' AS unit, period, 1 AS ord FROM f
               UNION ALL SELECT corp, 'E-6-1', 'n:' || corp || ':E-6-1:' || period, n::DOUBLE, CASE WHEN corp % 3 = 0 THEN NULL WHEN corp % 3 = 1 THEN '톤' ELSE 'kg' END, period, 2 FROM f),
-    edges AS (SELECT corp, 'E-4-2' AS code, round((q - lag(q) OVER w)::DOUBLE / abs(lag(q) OVER w) * 100, 3) AS yoy FROM f WINDOW w AS (PARTITION BY corp ORDER BY period) QUALIFY lag(q) OVER w IS NOT NULL)"""
+    edges AS (SELECT corp, 'n:' || corp || ':E-4-2:' || period AS target_id, round((q - lag(q) OVER w)::DOUBLE / abs(lag(q) OVER w) * 100, 3) AS yoy FROM f WINDOW w AS (PARTITION BY corp ORDER BY period) QUALIFY lag(q) OVER w IS NOT NULL
+              UNION ALL SELECT corp, 'n:' || corp || ':E-6-10:' || period, CASE WHEN period % 2 = 0 THEN n::DOUBLE - 86 END FROM f WHERE corp % 3 = 0)"""
 TOPIC_SQL = ", ".join(f"({i}, '{w}', '{c}')" for i, (w, _, c) in enumerate(TOPICS))
 CLAIMS_SQL = rf"""{TEXTS_SQL},
     sent AS (SELECT id, corp, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sentence FROM (SELECT id, corp, string_split(regexp_replace(text, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM texts)),
@@ -53,7 +54,10 @@ def evidence(f):
         return f.select("corp", F.lit(code).alias("code"), name.alias("node_id"), F.col(value).cast("double").alias("value"), unit.alias("unit"), "period", F.lit(order).alias("ord"))
 
     before = F.lag("q").over(Window.partitionBy("corp").orderBy("period"))
-    edges = f.select("corp", F.lit("E-4-2").alias("code"), F.round((F.col("q") - before) / F.abs(before) * 100, 3).alias("yoy")).where("yoy IS NOT NULL")
+    name = lambda code: F.concat_ws(":", F.lit("n"), "corp", F.lit(code), "period").alias("target_id")
+    edges = f.select("corp", name("E-4-2"), F.round((F.col("q") - before) / F.abs(before) * 100, 3).alias("yoy")).where("yoy IS NOT NULL")
+    # Edges of a code that holds another one's, every second without a change.
+    edges = edges.unionByName(f.where("corp % 3 = 0").select("corp", name("E-6-10"), F.when(F.col("period") % 2 == 0, F.col("n").cast("double") - 86).alias("yoy")))
     waste = F.when(F.col("corp") % 3 == 1, "톤").when(F.col("corp") % 3 == 2, "kg")
     return nodes("E-4-2", "q", F.lit("TJ"), 1).unionByName(nodes("E-6-1", "n", waste, 2)), edges
 
@@ -149,8 +153,8 @@ D3_SQL = f"""{HITS_SQL},
 COUNT_VAGUE = " + ".join(f"contains(s, '{p}')::INT" for p in VAGUE)
 SAYS = {k: "(" + " OR ".join(f"contains(s, '{w}')" for w in words) + ")" for k, words in (("down", FALLS), ("up", RISES))}
 RISK_SQL = f"""{D1_SQL}, {D3_SQL},
-    e AS (SELECT corp, code, count(*) AS n, count(*) FILTER (yoy > 0) AS ups, count(*) FILTER (yoy < 0) AS downs FROM edges GROUP BY ALL),
-    d5 AS (SELECT id, sentence, round(least(1.0, sum(CASE WHEN {SAYS['down']} THEN ups ELSE 0 END + CASE WHEN {SAYS['up']} THEN downs ELSE 0 END)::DOUBLE / sum(n) / 0.2), 4) AS d5 FROM claims JOIN e USING (corp, code) GROUP BY ALL),
+    e AS (SELECT corp, target_id, count(*) AS n, count(*) FILTER (yoy > 0) AS ups, count(*) FILTER (yoy < 0) AS downs FROM edges GROUP BY ALL),
+    d5 AS (SELECT id, sentence, round(least(1.0, sum(CASE WHEN {SAYS['down']} THEN ups ELSE 0 END + CASE WHEN {SAYS['up']} THEN downs ELSE 0 END)::DOUBLE / sum(n) / 0.2), 4) AS d5 FROM (SELECT id, sentence, claims.s, e.n, ups, downs FROM claims JOIN e ON e.corp = claims.corp AND contains(e.target_id, claims.code)) GROUP BY id, sentence),
     axes AS (SELECT id, sentence, s, coalesce(d1, 0) AS d1, round(least(1.0, ({COUNT_VAGUE}) / 1.0), 4) AS d2, round(least(1.0, greatest(0.0, 0.35 - sim) / 0.35), 4) AS d3, coalesce(d5, 0) AS d5 FROM sent LEFT JOIN d1 USING (id, sentence) LEFT JOIN d5 USING (id, sentence) LEFT JOIN sim USING (id, sentence)),
     risks AS (SELECT *, round(0.40 * d1::DECIMAL(9, 4) + 0.25 * d2::DECIMAL(9, 4) + 0.25 * d3::DECIMAL(9, 4) + 0.10 * d5::DECIMAL(9, 4), 4)::DOUBLE AS risk FROM axes)"""
 LEVEL = "CASE WHEN risk < 0.25 THEN 'low' WHEN risk < 0.5 THEN 'medium' ELSE 'high' END AS level"
