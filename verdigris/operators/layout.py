@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAME_COLUMN, AHEAD = 0.06, 5
-NUMBERS = r"\d++(?:[,\s]++\d{3})*+(?:\.\d+)?"
+NUMBERS = r"\d+(?:[,\s]+\d{3})*(?:\.\d+)?"
+#: The same matches without giving back, so that a long token isn't matched by recursion.
+LONG_NUMBERS = r"\d++(?:[,\s]++\d{3})*+(?:\.\d+)?"
 
 
 def number_tokens(text: Column) -> Column:
     """The numbers of a token, separators within them dropped ("128, 400" is one number)."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({NUMBERS})"), F.lit(1)), lambda x: F.regexp_replace(x, r"(?<=\d)[,\s]+(?=\d)", ""))
+    return F.transform(F.regexp_extract_all(text, F.lit(f"({LONG_NUMBERS})"), F.lit(1)), lambda x: F.regexp_replace(x, r"(?<=\d)[,\s]+(?=\d)", ""))
 
 
 def single_number(text: Column) -> Column:
