@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What stands for a value where only a clause of a document was found, and a survey's word for no answer.
-CLAUSE, BLANK_ANSWER = "문서 조항 확인", "미입력"
-MISSING = "—"
+# What stands for a value where only a clause of a document was found, a survey's word for no answer, a dash for what is
+# missing, and whether a place is known.
+CLAUSE, BLANK_ANSWER, MISSING = "문서 조항 확인", "미입력", "—"
+PLACED, UNPLACED = "bbox 연결됨", "좌표 미연결"
 
 
 def _ordered(value: str, order: str) -> Column:
@@ -108,7 +109,7 @@ def provenance(points: DataFrame, nodes: DataFrame, id_col: str = "point_id") ->
     steps = F.array(
         step(1, "claim", text(claim), unknown), step(2, "node", text(F.col("_l.node_id")), unknown),
         step(3, "source", F.coalesce(F.when(F.col("_l._n.file") != "", F.col("_l._n.file")), F.when(F.col("_l._n.origin") != "", F.col("_l._n.origin")), F.lit(MISSING)), unknown),
-        step(4, "location", F.when(placed, "bbox 연결됨").otherwise("좌표 미연결"), placed),
+        step(4, "location", F.when(placed, PLACED).otherwise(UNPLACED), placed),
     )
     return points.select(id_col, "value", "unit").join(first, id_col, "left").select(id_col, F.explode(steps).alias("s")).select(id_col, "s.*")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import promotion
@@ -71,8 +74,6 @@ def _asked(spark, d, rows, schema):
     SELECT corp, qid, coalesce(array_to_string(present, ','), '') AS present, coalesce(array_to_string(ids, ','), '') AS node_ids, CASE WHEN present IS NULL THEN CASE WHEN narrative THEN 'hitl_required' ELSE 'insufficient' END WHEN len(ids) > 0 THEN 'verified' ELSE 'self_reported' END AS status FROM m""")
 def presence_answers(spark, d):
     """Whether the suppliers show what each question asks for, and on what evidence."""
-    import json
-
     asked = _asked(spark, d, json.dumps([{"qid": q, "codes": c, "narrative": n} for q, c, n in PRESENCE]), "qid:string,codes:array<string>,narrative:boolean")
     got = promotion.presence_answers(asked, items_after(spark, d), ["corp"])
     return got.select("corp", "qid", F.array_join("present", ",").alias("present"), F.array_join("node_ids", ",").alias("node_ids"), "status")
@@ -84,8 +85,6 @@ def presence_answers(spark, d):
     SELECT *, CASE WHEN ticked = '' THEN 'insufficient' WHEN node_ids <> '' THEN 'verified' ELSE 'self_reported' END AS status FROM g""")
 def multi_select_answers(spark, d):
     """Options that the suppliers' items tick, and those that stay open."""
-    import json
-
     asked = _asked(spark, d, json.dumps([{"qid": q, "options": [{"label": label, "codes": c} for label, c in o]} for q, o in OPTIONS]), "qid:string,options:array<struct<label:string,codes:array<string>>>")
     got = promotion.multi_select_answers(asked, items_after(spark, d), ["corp"])
     return got.select("corp", "qid", F.array_join("ticked", ",").alias("ticked"), F.array_join("open", ",").alias("open"), F.array_join("node_ids", ",").alias("node_ids"), "status")
@@ -113,7 +112,7 @@ def provenance_steps(spark, d):
 def geometry_attached(spark, d):
     """Places given back to figures: by label, else one to one among equal values in reading order."""
     o = F.col("l_linenumber").cast("int")
-    once = F.count(F.lit(1)).over(promotion.Window.partitionBy("l_orderkey", "l_linenumber"))
+    once = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber"))
     lines = table(spark, d, "lineitem").withColumn("_n", once).where("_n = 1").select(F.col("l_orderkey").alias("doc"), o.alias("ord"), F.concat(F.lit("L"), o).alias("label"), (F.col("l_quantity").cast("long") % 4).cast("double").alias("value"))
     pairs = lines.withColumns({"box": F.array("ord"), "page": F.col("ord") + 100})
     metrics = lines.select("doc", "ord", F.when(F.col("ord") % 3 == 0, F.col("label")).otherwise("x").alias("hint"), "value", F.when(F.col("ord") % 5 == 0, F.array(F.lit(-1))).alias("box"), F.lit(None).cast("int").alias("page"))
