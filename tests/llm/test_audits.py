@@ -181,3 +181,17 @@ def test_op13(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     assert rows(queries.op13_source_divergence(spark, SF)) == collections.Counter(con.execute(queries.ORACLE_SQL["op13_source_divergence"]).fetchall())
+
+
+def test_divergence_of_sources_without_some_terms(spark, monkeypatch):
+    """Shares dealt out in many parts: sources that lack all the terms of a part still meet the others there."""
+    monkeypatch.setattr(divergence, "DEAL_ROWS", 8)
+    rng = random.Random(5)
+    word = lambda i: "w" + chr(97 + i // 26) + chr(97 + i % 26)
+    texts = [(i, " ".join(word(5 * (i % 12) + rng.randint(0, 6)) for _ in range(30)), "en" if i % 3 else "de", f"s{i % 12}") for i in range(700)]
+    texts += [(1000 + i, t, "en", f"t{i}") for i, t in enumerate(["", "waa", "nothing kept", None])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", [list(r) for r in texts])
+    want = collections.Counter(con.execute(queries.ORACLE_SQL["op13_source_divergence"]).fetchall())
+    assert want and rows(divergence.source_divergence(spark, frame(spark, texts))) == want

@@ -132,16 +132,23 @@ class Divergence:
         """(lang, source, item, value): every two sources of a language, each way."""
         spark = self.spark
         blocks = F.ceil(F.col("sources") / SOURCES).cast("int")
-        sizes = self.groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"))
-        terms = max(1, -(-self.shares.count() // DEAL_ROWS))
-        marks = self.groups.select("lang", "source", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("p"), "base", "v", F.lit(0).alias("cut"))
-        rows = self.shares.select("lang", "source", "term", "p", "base", F.lit(0).cast("long").alias("v"), F.pmod(F.xxhash64("term"), F.lit(terms)).cast("int").alias("cut")).unionByName(marks)
-        rows = per_lang(rows, sizes).withColumn("own", F.pmod(F.xxhash64("source"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        sizes = self.groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")).select("lang", blocks.alias("blocks"))
+        own = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int")
+        held = per_lang(self.shares.select("lang", "source"), sizes).groupBy("lang", own.alias("own")).agg(F.count(F.lit(1)).alias("held"))
+        held = held.groupBy("lang").agg(F.max("held").alias("held"))
+        # Terms are cut so that two blocks of sources bring about DEAL_ROWS shares to a deal.
+        cuts = F.greatest(F.lit(1), F.ceil(2 * F.coalesce("held", F.lit(0)) / DEAL_ROWS)).cast("int")
+        sizes = written(spark, sizes.join(held, "lang", "left").select("lang", "blocks", cuts.alias("cuts")), "blocks")
+        marks = per_lang(self.groups.select("lang", "source", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("p"), "base", "v"), sizes)
+        # A source without a term in a deal meets the others' terms there with its baseline, so its mark goes to every deal; v counts once.
+        marks = marks.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("v", F.when(F.col("cut") == 0, F.col("v")).otherwise(F.lit(0).cast("long")))
+        rows = per_lang(self.shares.select("lang", "source", "term", "p", "base", F.lit(0).cast("long").alias("v")), sizes).withColumn("cut", F.pmod(F.xxhash64("term"), F.col("cuts")).cast("int"))
+        rows = rows.unionByName(marks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("lang", "cut", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "source", "term", "p", "base", "v")
 
         def differ(pdf: pd.DataFrame) -> pd.DataFrame:
-            """A row for each two sources that meet here: sums over the terms here, and, where groups are marked, the baseline of all terms."""
-            x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+            """A row for each two sources that meet here and differ by the terms here, or that differ by nothing in the first deal, which has the baseline of all terms."""
+            x, y, cut = (int(pdf[k].iloc[0]) for k in ("x", "y", "cut"))
             names, at = np.unique(pdf["source"].to_numpy(dtype=object), return_inverse=True)
             base, total = np.zeros(len(names), np.int64), np.zeros((len(names), len(names)), np.int64)
             block = np.zeros(len(names), np.int64)
@@ -160,7 +167,8 @@ class Divergence:
                     shares[who[order[a:b]], column[order[a:b]] - lo] = p[order[a:b]]
                     for i in range(len(names)):
                         total[i] += np.abs(shares - shares[i]).sum(axis=1) - shares.shape[1] * apart[i]
-            i, j = np.nonzero((block[:, None] == x) & (block[None, :] == y) if x != y else np.triu(np.ones_like(total, dtype=bool), 1))
+            met = (block[:, None] == x) & (block[None, :] == y) if x != y else np.triu(np.ones_like(total, dtype=bool), 1)
+            i, j = np.nonzero(met & (total != 0) if cut else met)
             return pd.DataFrame({"lang": pdf["lang"].iloc[0], "a": names[i], "b": names[j], "value": total[i, j]})
 
         met = rows.groupBy("lang", "x", "y", "cut").applyInPandas(differ, "lang string, a string, b string, value long")
