@@ -14,3 +14,8 @@ def test_parts_with_equal_words_are_not_paired(spark, tmp_path):
     assert len(got) == 60_005 and got[0] == (1, 1.0) and all(got[i] == (0, 1.0) for i in range(1, 60_001))
     third = round(1 / 3, 6)
     assert {a: x for a, x in got.items() if a > 60_000} == {60_001: (0, third), 60_002: (60_001, third), 60_004: (60_007, round(2 / 3, 6)), 60_007: (60_004, round(2 / 3, 6))}
+
+
+def test_masking_is_dealt_out_by_rows(spark):
+    """The customers' file is one small split, but each row brings a long text."""
+    assert catalogue.QUERIES["pii_masked_records"](spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism

@@ -24,6 +24,11 @@ def masked(text: Column) -> Column:
     """
     for pattern, label in MASKS:
         text = F.regexp_replace(text, pattern, label)
+    # What the patterns left is bound, as it is looked at four times and would be masked anew each time.
+    return F.element_at(F.transform(F.array(text), _without_accounts), 1)
+
+
+def _without_accounts(text: Column) -> Column:
     # A group is an account by its digits, which no pattern counts: hits and the pieces between them are joined again.
     hits = F.transform(F.regexp_extract_all(text, F.lit(f"({ACCOUNT})"), F.lit(1)), lambda h: F.when(F.length(F.replace(h, F.lit("-"), F.lit(""))) >= ACCOUNT_DIGITS, "[ACCT]").otherwise(h))
     parts = F.arrays_zip(F.split(text, ACCOUNT, -1).alias("piece"), hits.alias("hit"))
