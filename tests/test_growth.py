@@ -9,7 +9,7 @@ def test_parts_with_equal_words_are_not_paired(spark, tmp_path):
     """60,000 copies in a brand would be 3.6 billion pairs; words in another order and repeated words are the same set."""
     copies = spark.range(60_000).selectExpr("id AS p_partkey", "'A' AS p_brand", "'red bolt' AS p_name")
     rows = [(60_000, "A", "Bolt  red red"), (60_001, "A", "red nut"), (60_002, "A", "blue nut"), (60_003, "A", "tin"), (60_004, "B", "red bolt"), (60_005, "B", " "), (60_006, "B", None), (60_007, "B", "red bolt nut")]
-    copies.unionByName(spark.createDataFrame(rows, copies.schema)).write.parquet(f"{tmp_path}/part.parquet")
+    copies.unionByName(spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string")).write.parquet(f"{tmp_path}/part.parquet")
     got = {r.a: (r.b, r.jaccard) for r in catalogue.QUERIES["word_jaccard_within_brand"](spark, str(tmp_path)).collect()}
     assert len(got) == 60_005 and got[0] == (1, 1.0) and all(got[i] == (0, 1.0) for i in range(1, 60_001))
     third = round(1 / 3, 6)
