@@ -19,3 +19,21 @@ def test_parts_with_equal_words_are_not_paired(spark, tmp_path):
 def test_masking_is_dealt_out_by_rows(spark):
     """The customers' file is one small split, but each row brings a long text."""
     assert catalogue.QUERIES["pii_masked_records"](spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_table_cells_are_dealt_out_by_rows(spark):
+    """A line brings four cells of a few bytes, and each of these many windows."""
+    for name in ("table_gate_signals", "tables_restored"):
+        assert catalogue.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_values_of_odd_cells(spark):
+    """What is kept from the cast is what could not be a number anyway."""
+    from pyspark.sql import functions as F
+
+    from verdigris.operators.tables import to_float
+
+    texts = ["1,234", "(5)", "- 7 %", "%-,8", "\x017", " NaN", "inf", "-Infinity", ".5", "+.5e3", "P12", "합계", "", "O1", "((9", "1d", "(", "3-4", "e5"]
+    plain = F.regexp_replace(F.regexp_replace("t", r"[%,\s]", ""), r"^[()]+|[()]+$", "").try_cast("double")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", to_float(F.col("t")).alias("got"), plain.alias("want")).collect()
+    assert [(r.t, str(r.got)) for r in rows] == [(r.t, str(r.want)) for r in rows] and sum(r.got is not None for r in rows) >= 10
