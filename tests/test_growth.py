@@ -37,3 +37,19 @@ def test_values_of_odd_cells(spark):
     plain = F.regexp_replace(F.regexp_replace("t", r"[%,\s]", ""), r"^[()]+|[()]+$", "").try_cast("double")
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", to_float(F.col("t")).alias("got"), plain.alias("want")).collect()
     assert [(r.t, str(r.got)) for r in rows] == [(r.t, str(r.want)) for r in rows] and sum(r.got is not None for r in rows) >= 10
+
+
+def test_texts_to_score_go_in_blocks(spark):
+    """A task's memory must not hold the terms of 10,000 texts at once."""
+    from verdigris.operators import toplists
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 10_000)
+        docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id % 7, ' other') AS text")
+        found = toplists.top_lists(spark, docs, spark.createDataFrame([(1, "word3")], "query_id long, text string"), 2)
+        assert [(r.kind, r.doc_id) for r in found.orderBy("kind", "rank").collect() if r.kind == "bm25"] == [("bm25", 3), ("bm25", 10)]
+        assert int(spark.conf.get(key)) <= toplists.DOCUMENTS
+    finally:
+        spark.conf.set(key, before)

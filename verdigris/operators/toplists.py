@@ -22,7 +22,7 @@ from ..functions.measures import words
 # Parameters of BM25, and buckets of a hashed vector.
 K1, B, BUCKETS = 1.5, 0.75, 256
 #: Queries that are scored together, documents in a block of postings, and parts of scores that are summed at once.
-QUERIES, DOCUMENTS, PARTS = 1024, 512, 1 << 22
+QUERIES, DOCUMENTS, PARTS = 1024, 512, 1 << 19
 #: Terms whose bucket a task remembers.
 REMEMBERED = 1 << 17
 
@@ -141,6 +141,10 @@ def top_lists(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: int,
     asked = queries.select("query_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
     total, average = made.agg(F.count(F.lit(1)), F.avg(F.size("w").cast("double"))).first()
     blocks = -(-asked.count() // QUERIES)
+    # An Arrow batch holds the terms of all its texts on both sides: this session's have no more rows than a block from now on.
+    rows_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows_key)) <= DOCUMENTS:
+        spark.conf.set(rows_key, DOCUMENTS)
     id_type = made.schema["doc_id"].dataType.simpleString()
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     out = None
