@@ -20,7 +20,7 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
 def hashed(text: Column, tokens: Callable[[Column], Column] = word_pairs) -> Column:
     """struct<counts: map<bucket, n>, norm>: the bag of a text's terms by bucket; null and empty texts have none."""
     def counted(b: Column) -> Column:
-        n = F.transform(F.array_distinct(b), lambda x: F.struct(x.alias("bucket"), F.size(F.filter(b, lambda y: y == x)).cast("double").alias("n")))
+        n = F.transform(F.array_distinct(b), lambda x: F.struct(x.alias("bucket"), (F.size(b) - F.size(F.array_remove(b, x))).cast("double").alias("n")))
         return _bound(n, lambda c: F.struct(F.map_from_entries(c).alias("counts"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["n"] * x["n"])).alias("norm")))
 
     return _bound(F.transform(tokens(F.coalesce(text, F.lit(""))), bucket), counted)
