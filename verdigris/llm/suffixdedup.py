@@ -26,6 +26,8 @@ from .shared import drop, modest_batches, with_key_columns, written
 GRAM = 12
 #: Windows of a dealt string at most; text bytes for each bucket; bytes of text cut at once.
 RUN, BUCKET_BYTES, CUT_BYTES = 64, 2 << 20, 4 << 20
+#: Bytes hashed or gathered at once: arrays of 8 bytes a byte of text stand beside them.
+BLOCK_BYTES = 1 << 18
 #: Ids are broadcast up to this many rows (8 bytes each); beyond it the texts are shuffled to them.
 BROADCAST_ROWS = 1 << 20
 
@@ -56,9 +58,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def window_anchors(data: np.ndarray, long: int) -> np.ndarray:
+    """The least hash among the GRAM-byte strings of each window of long bytes."""
+    anchors = np.empty(max(0, len(data) - long + 1), dtype=np.uint64)
+    for at in range(0, len(anchors), BLOCK_BYTES):
+        part = data[at : min(at + BLOCK_BYTES, len(anchors)) + long - 1]
+        anchors[at : at + BLOCK_BYTES] = sliding_min(gram_hashes(part), long - GRAM + 1)
+    return anchors
+
+
 def cut_strings(data: np.ndarray, offsets: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start in the row's text, windows, anchor) of the strings that hold all windows of all texts."""
-    anchors = sliding_min(gram_hashes(data), long - GRAM + 1)[: max(0, len(data) - long + 1)]
+    anchors = window_anchors(data, long)
     n = len(anchors)
     sizes = np.diff(offsets)
     if not n or not (sizes >= long).any():
@@ -77,9 +88,37 @@ def cut_strings(data: np.ndarray, offsets: np.ndarray, long: int) -> tuple[np.nd
     return row, begins - offsets[row], np.minimum(ends - begins, RUN), anchors[begins]
 
 
+def _blocks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of strings of at most BLOCK_BYTES together, or one longer string."""
+    done, at = np.concatenate(([0], np.cumsum(lengths))), 0
+    while at < len(lengths):
+        end = max(at + 1, int(np.searchsorted(done, done[at] + BLOCK_BYTES, side="right")) - 1)
+        yield at, end
+        at = end
+
+
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    done = np.cumsum(lengths)
-    return data[np.arange(int(done[-1]) if len(done) else 0) + np.repeat(starts - done + lengths, lengths)]
+    out, at = np.empty(int(lengths.sum()), dtype=data.dtype), 0
+    for a, b in _blocks(lengths):
+        done = np.cumsum(lengths[a:b])
+        out[at : at + done[-1]] = data[np.arange(done[-1]) + np.repeat(starts[a:b] - done + lengths[a:b], lengths[a:b])]
+        at += int(done[-1])
+    return out
+
+
+def _hashes(strings: np.ndarray, lengths: np.ndarray, long: int = 0) -> np.ndarray:
+    """Hashes of strings that stand one after another; with long, of all windows of long bytes in each."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    for a, b in _blocks(lengths):
+        ends = np.cumsum(lengths[a:b])
+        begins, size = ends - lengths[a:b], int(ends[-1])
+        if long:
+            own, nth = _each(lengths[a:b] - long + 1)
+            begins = begins[own] + nth
+            ends = begins + long
+        out.append(Hasher(strings[at : at + size])(begins, ends))
+        at += size
+    return np.concatenate(out)
 
 
 def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,25 +160,29 @@ def removals(ids: np.ndarray, starts: np.ndarray, anchors: np.ndarray, windows:
     ids, starts, windows, lengths, offsets = (x[use] for x in (ids, starts, windows, lengths, offsets))
     strings = gather(strings, offsets, lengths)
     offsets = np.cumsum(lengths) - lengths
-    hashed = Hasher(strings)
-    _, one, variant = np.unique(hashed(offsets, offsets + lengths), return_index=True, return_inverse=True)
+    _, one, variant = np.unique(_hashes(strings, lengths), return_index=True, return_inverse=True)
+    strings, lengths = gather(strings, offsets[one], lengths[one]), lengths[one]
+    offsets = np.cumsum(lengths) - lengths
     owner, most = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
     np.minimum.at(owner, variant, ids)
     np.maximum.at(most, variant, ids)
     own, nth = _each(windows[one])
-    at = offsets[one][own] + nth
-    prints = hashed(at, at + long)
+    prints = _hashes(strings, lengths, long)
     order = np.argsort(prints)
-    same = prints[order[1:]] == prints[order[:-1]]
+    prints = prints[order]
+    same = prints[1:] == prints[:-1]
     open_ = (owner < most)[own]
     open_[order[1:][same]] = open_[order[:-1][same]] = True
+    del order, prints, same
     own, nth = own[open_], nth[open_]
     if not len(own):
         return none
     lead = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     use, first, last = own[lead], nth[lead], nth[np.append(lead[1:], len(own)) - 1]
-    begins, sizes = offsets[one][use] + first, last - first + long
-    _, trimmed, as_trimmed = np.unique(hashed(begins, begins + sizes), return_index=True, return_inverse=True)
+    sizes = last - first + long
+    strings = gather(strings, offsets[use] + first, sizes)
+    begins = np.cumsum(sizes) - sizes
+    _, trimmed, as_trimmed = np.unique(_hashes(strings, sizes), return_index=True, return_inverse=True)
     least_id = np.full(len(trimmed), np.iinfo(np.int64).max)
     np.minimum.at(least_id, as_trimmed, owner[use])
     texts = gather(strings, begins[trimmed], sizes[trimmed])

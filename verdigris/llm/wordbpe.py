@@ -8,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .arrays import LOWER, Hasher, chunks, words
+from .arrays import CHUNK_BYTES, LOWER, Hasher, chunks, words
 
 #: Runs known to a Python worker at most; a full table is emptied.
 TABLE_ENTRIES = 2_000_000
-#: Bytes of text encoded at once.
-TEXT_BYTES = 1 << 20
+#: Bytes of text encoded at once: as many as a worker keeps powers for.
+TEXT_BYTES = CHUNK_BYTES
 #: Runs encoded in one call.
 CALL_RUNS = 4096
 
