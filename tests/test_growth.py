@@ -53,3 +53,38 @@ def test_texts_to_score_go_in_blocks(spark):
         assert int(spark.conf.get(key)) <= toplists.DOCUMENTS
     finally:
         spark.conf.set(key, before)
+
+
+def test_channels_read_their_texts_once(spark):
+    """Each supplier's texts went through six joins and were made of lineitem again for each."""
+    plan = catalogue.QUERIES["three_channel_hits"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 3
+
+
+def test_scores_of_small_indexes(spark):
+    """Two queries of an index, repeated terms, a bucket shared without a term, nothing shared, null and empty texts; indexes apart."""
+    import collections
+    import hashlib
+    import math
+
+    from verdigris.operators import retrieval
+
+    at = lambda t: int(hashlib.md5(t.encode()).hexdigest(), 16) % 256
+    twin = next(f"w{i}" for i in range(10_000) if at(f"w{i}") == at("red"))
+    far = next(f"v{i}" for i in range(10_000) if at(f"v{i}") not in {at("red"), at("nut"), at("tin")})
+    docs = [("a", 1, "red nut red"), ("a", 2, twin), ("a", 3, far), ("a", 4, None), ("a", 5, ""), ("a", 6, "nut tin"), ("b", 1, "red tin tin"), ("c", 1, "red")]
+    queries = [("a", 1, "red red nut"), ("a", 2, "tin"), ("b", 1, "red tin"), ("b", 2, None), ("d", 1, "red")]
+    got = retrieval.scores(spark.createDataFrame(docs, "i string, doc_id int, text string").selectExpr("*", "concat(i, doc_id) AS named"), spark.createDataFrame(queries, "i string, query_id int, text string"), ["i"], kept=("named",)).collect()
+    want = {}
+    for i, q, asked in queries:
+        own = {d: (t or "").split() for x, d, t in docs if x == i}
+        for d, w in own.items():
+            a, b = collections.Counter(map(at, w)), collections.Counter(map(at, (asked or "").split()))
+            if a.keys() & b.keys():
+                mean, df = sum(map(len, own.values())) / len(own), lambda t: sum(t in x for x in own.values())  # noqa: B023
+                bm25 = sum(math.log(1 + (len(own) - df(t) + 0.5) / (df(t) + 0.5)) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / max(mean, 1))) for t in asked.split())
+                want[i, q, d] = (f"{i}{d}", round(bm25, 6), round(sum(n * b[k] for k, n in a.items()) / math.hypot(*a.values()) / math.hypot(*b.values()), 6))
+    assert ("a", 1, 2) in want and ("a", 1, 3) not in want and len(got) == len(want)
+    for r in got:
+        named, bm25, cosine = want[r.i, r.query_id, r.doc_id]
+        assert r.named == named and abs(r.bm25 - bm25) < 2e-6 and abs(r.cosine - cosine) < 2e-6

@@ -29,7 +29,12 @@ def bucket(term: Column) -> Column:
     return F.conv(F.substring(F.md5(term.cast("binary")), 31, 2), 16, 10).cast("int")
 
 
-def norm(terms: Column) -> Column:
+def times(items: Column, item: Column) -> Column:
+    """How often an item stands in an array."""
+    return F.size(items) - F.size(F.array_remove(items, item))
+
+
+def norm(buckets: Column) -> Column:
     """Length of the vector of bucket counts: sorted buckets stand in runs, and a run of n adds 1 + 3 + ... = n squared."""
     first = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("sum"))
 
@@ -37,38 +42,44 @@ def norm(terms: Column) -> Column:
         run = F.when(a["last"] == b, a["run"] + 1).otherwise(F.lit(1))
         return F.struct(b.alias("last"), run.alias("run"), (a["sum"] + 2 * run - 1).cast("long").alias("sum"))
 
-    return F.sqrt(F.aggregate(F.array_sort(F.transform(terms, bucket)), first, step, lambda a: a["sum"]))
+    return F.sqrt(F.aggregate(F.array_sort(buckets), first, step, lambda a: a["sum"]))
 
 
-def scores(docs: DataFrame, queries: DataFrame, index: list[str], tokens: Callable[[Column], Column] = words) -> DataFrame:
-    """(index, query_id, doc_id, bm25, cosine) of the documents that share a term or a bucket with a query of their index.
+def scores(docs: DataFrame, queries: DataFrame, index: list[str], tokens: Callable[[Column], Column] = words, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(index, query_id, doc_id, kept, bm25, cosine) of the documents that share a term or a bucket with a query of their index.
 
-    For many small indexes (a company's texts, met by a few queries): docs has the index columns, doc_id and text, queries the index columns,
-    query_id and text, and each index has its own statistics. One index over all texts is `toplists.top_lists`'s task. A term that a query
+    For many small indexes (a company's texts, met by a few queries): docs has the index columns, doc_id, text and the kept columns, queries the
+    index columns, query_id and text, and each index has its own statistics. Texts are dealt out by index once; a document then meets its index's
+    queries whole, and only terms that both have become rows. One index over all texts is `toplists.top_lists`'s task. A term that a query
     repeats counts each time. Null and empty texts match nothing.
     """
-    made = docs.select(*index, "doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    # What is said of a whole text is worked out before its terms become rows.
-    tf = made.select(*index, "doc_id", "w", F.size("w").alias("n_terms"), norm(F.col("w")).alias("norm")).select(*index, "doc_id", "n_terms", "norm", F.explode("w").alias("term")).groupBy(*index, "doc_id", "n_terms", "norm", "term").agg(F.count(F.lit(1)).alias("tf"))
-    asked = queries.select(*index, "query_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    terms = asked.select(*index, "query_id", "w", norm(F.col("w")).alias("length")).select(*index, "query_id", "length", F.explode("w").alias("term")).groupBy(*index, "query_id", "length", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    df = tf.groupBy(*index, "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = made.groupBy(*index).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w").cast("double")).alias("avg_terms"))
+
+    def bags(texts: DataFrame, *columns: str) -> DataFrame:
+        """The columns, a text's terms w, their buckets b, and the norm of these."""
+        made = texts.select(*columns, tokens(F.coalesce("text", F.lit(""))).alias("w")).select(*columns, "w", F.transform("w", bucket).alias("b"))
+        return made.withColumn("norm", norm(F.col("b")))
+
+    own, asker = Window.partitionBy(*index), Window.partitionBy(*index, "query_id", "term")
+    made = bags(docs.select(*index, "doc_id", *kept, "text").repartition(*index), *index, "doc_id", *kept).withColumn("n_terms", F.size("w"))
+    made = made.withColumns({"n_docs": F.count(F.lit(1)).over(own), "avg_terms": F.avg(F.col("n_terms").cast("double")).over(own)})
+    asked = bags(queries, *index, "query_id").select(*index, "query_id", F.col("w").alias("qw"), F.col("b").alias("qb"), F.col("norm").alias("length"))
+    dot = F.aggregate(F.array_intersect("b", "qb"), F.lit(0).cast("long"), lambda a, x: a + times(F.col("b"), x) * times(F.col("qb"), x))
+    pairs = made.join(asked, index).where(F.arrays_overlap("b", "qb"))
+    pairs = pairs.select(*index, "query_id", "doc_id", *kept, "n_terms", "n_docs", "avg_terms", "w", "qw", F.array_intersect("w", "qw").alias("both"), (dot / F.col("norm") / F.col("length")).alias("cosine"))
+    # A document that shares buckets only has one row without a term.
+    met = pairs.select("*", F.explode_outer("both").alias("term")).withColumns({"tf": times(F.col("w"), F.col("term")), "qtf": times(F.col("qw"), F.col("term"))}).drop("w", "qw", "both")
+    met = met.withColumn("df", F.count("term").over(asker))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, [*index, "term"]).join(stats, index).select(*index, "query_id", "term", (F.col("qtf") * idf).alias("weight"), "avg_terms")
-    buckets = terms.groupBy(*index, "query_id", "length", bucket(F.col("term")).alias("bucket")).agg(F.sum("qtf").alias("q"))
     dl = F.greatest(F.col("n_terms"), F.lit(1)) / F.greatest(F.col("avg_terms"), F.lit(1.0))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * dl))
-    by_term = tf.join(weights, [*index, "term"]).select(*index, "query_id", "doc_id", part.alias("bm25"), F.lit(0.0).alias("cosine"))
-    by_bucket = tf.withColumn("bucket", bucket(F.col("term"))).join(buckets, [*index, "bucket"]).select(*index, "query_id", "doc_id", F.lit(0.0).alias("bm25"), (F.col("tf") * F.col("q") / F.col("norm") / F.col("length")).alias("cosine"))
-    summed = by_term.unionByName(by_bucket).groupBy(*index, "query_id", "doc_id").agg(F.sum("bm25").alias("bm25"), F.sum("cosine").alias("cosine"))
-    return summed.select(*index, "query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("cosine", 6).alias("cosine"))
+    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * dl))
+    summed = met.groupBy(*index, "query_id", "doc_id").agg(*[F.first(c).alias(c) for c in kept], F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25"), F.max("cosine").alias("cosine"))
+    return summed.withColumns({"bm25": F.round("bm25", 6), "cosine": F.round("cosine", 6)})
 
 
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    """(query_id, kind, doc_id, score, rank): the k best of each query by keywords (above 0) and by vectors, in one frame."""
+def ranked(scored: DataFrame, k: int, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, kind, doc_id, kept, score, rank): the k best of each query by keywords (above 0) and by vectors, in one frame."""
     kinds = F.array(F.struct(F.lit("bm25").alias("kind"), F.col("bm25").alias("score")), F.struct(F.lit("vector").alias("kind"), F.col("cosine").alias("score")))
-    rows = scored.select("query_id", "doc_id", F.explode(kinds).alias("x")).select("query_id", "x.kind", "doc_id", "x.score").where("score > 0")
+    rows = scored.select("query_id", "doc_id", *kept, F.explode(kinds).alias("x")).select("query_id", "x.kind", "doc_id", *kept, "x.score").where("score > 0")
     order = Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "doc_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -85,12 +96,15 @@ def min_max(score: str, *keys: str) -> Column:
     return F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low))
 
 
-def fuse(lists: DataFrame, k: int, bonus: DataFrame | None = None) -> DataFrame:
-    """The k best of each query by the weighted sum of its scaled lists; bonus (query_id, doc_id, bonus) is added to what was found."""
+def fuse(lists: DataFrame, k: int, bonus: DataFrame | Column | None = None) -> DataFrame:
+    """The k best of each query by the weighted sum of its scaled lists; bonus, rows (query_id, doc_id, bonus) or made of the lists' columns, is
+    added to what was found.
+    """
     weight = F.when(F.col("kind") == "bm25", KEYWORDS).otherwise(VECTORS)
-    summed = lists.withColumn("s", min_max("score", "query_id", "kind") * weight).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
+    of_lists = [F.max(bonus).alias("bonus")] if isinstance(bonus, Column) else []
+    summed = lists.withColumn("s", min_max("score", "query_id", "kind") * weight).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"), *of_lists)
     if bonus is not None:
-        summed = summed.join(bonus, ["query_id", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
+        summed = (summed if of_lists else summed.join(bonus, ["query_id", "doc_id"], "left")).withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
     return top(summed.withColumn("score", F.round("score", 4)), "score", k)
 
 
@@ -176,10 +190,9 @@ def channels(docs: DataFrame, queries: DataFrame, k: int = 3, tokens: Callable[[
     deep, index = max(k, 8), ["channel", "scope"]
     wanted = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"), F.explode("scopes").alias("channel", "scope"))
     asked = wanted.select(*index, "text").distinct().select(*index, F.struct(*index, "text").alias("query_id"), "text")
-    lists = ranked(scores(docs.select(*index, "doc_id", "text"), asked, index, tokens), deep)
-    named = lists.select("query_id", "doc_id").distinct().withColumns({"channel": F.col("query_id.channel"), "scope": F.col("query_id.scope")}).join(docs.select(*index, "doc_id", "code", "source"), [*index, "doc_id"])
-    bonus = named.select("query_id", "doc_id", query_bonus(F.col("code"), F.col("source"), F.col("query_id.text")).alias("bonus"))
-    best = fuse(lists, k, bonus).select("query_id.*", "doc_id", "score", "rank")
+    kept = ("code", "source")
+    lists = ranked(scores(docs, asked, index, tokens, kept), deep, kept)
+    best = fuse(lists, k, query_bonus(F.col("code"), F.col("source"), F.col("query_id.text"))).select("query_id.*", "doc_id", "score", "rank")
     return wanted.join(best, [*index, "text"]).select("query_id", "channel", "doc_id", "score", "rank")
 
 

@@ -49,9 +49,9 @@ def statements(f):
 def evidence(f):
     """(nodes, edges) of the figures."""
 
-    def nodes(code, value, unit, order):
+    def node(code, value, unit, order):
         name = F.concat_ws(":", F.lit("n"), "corp", F.lit(code), "period")
-        return f.select("corp", F.lit(code).alias("code"), name.alias("node_id"), F.col(value).cast("double").alias("value"), unit.alias("unit"), "period", F.lit(order).alias("ord"))
+        return F.struct(F.lit(code).alias("code"), name.alias("node_id"), F.col(value).cast("double").alias("value"), unit.alias("unit"), F.lit(order).alias("ord"))
 
     before = F.lag("q").over(Window.partitionBy("corp").orderBy("period"))
     name = lambda code: F.concat_ws(":", F.lit("n"), "corp", F.lit(code), "period").alias("target_id")
@@ -59,7 +59,8 @@ def evidence(f):
     # Edges of a code that holds another one's, every second without a change.
     edges = edges.unionByName(f.where("corp % 3 = 0").select("corp", name("E-6-10"), F.when(F.col("period") % 2 == 0, F.col("n").cast("double") - 86).alias("yoy")))
     waste = F.when(F.col("corp") % 3 == 1, "톤").when(F.col("corp") % 3 == 2, "kg")
-    return nodes("E-4-2", "q", F.lit("TJ"), 1).unionByName(nodes("E-6-1", "n", waste, 2)), edges
+    both = F.array(node("E-4-2", "q", F.lit("TJ"), 1), node("E-6-1", "n", waste, 2))
+    return f.select("corp", "period", F.explode(both).alias("x")).select("corp", "x.code", "x.node_id", "x.value", "x.unit", "period", "x.ord"), edges
 
 
 @query(f"WITH {CLAIMS_SQL} SELECT id, sentence, nth, claim, number, unit, code FROM claims")
