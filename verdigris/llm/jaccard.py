@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, Hasher, chunks, mix, shingle_hashes, words
 from .components import components
-from .shared import drop, modest_batches, with_key_columns, written
+from .shared import drop, lean, modest_batches, with_key_columns, written
 
 #: Bytes of sets in one trie (or one larger set), and of all tries that are made together.
 TRIE_BYTES, TASK_BYTES = 1 << 20, 4 << 20
@@ -219,6 +219,7 @@ class NgramJaccard:
     def _summarise(self):
         k, t = self.k, self.t
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi, elements, offsets in shingle_sets(batch.column(1), k):
@@ -234,6 +235,7 @@ class NgramJaccard:
     def _signatures(self, copies: DataFrame) -> DataFrame:
         k, t = self.k, self.t
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy()
@@ -259,12 +261,14 @@ class NgramJaccard:
         few = needed.count() <= BROADCAST_ROWS
         texts = self.docs.join(F.broadcast(needed) if few else needed, "id", "left_semi")
 
+        @lean
         def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi, elements, offsets in shingle_sets(batch.column(1), k):
                     raw = memoryview(elements.tobytes())
                     yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())], names=["id", "elements"])
 
+        @lean
         def walk(pdf: pd.DataFrame) -> pd.DataFrame:
             out = []
             for _, group in pdf.groupby(["probe", "cut"], sort=False).indices.items():
@@ -335,6 +339,7 @@ class NgramJaccard:
             best = best[np.concatenate(([True], u[best][1:] != u[best][:-1]))]
             return u[best], v[best], d[best]
 
+        @lean
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pdf = pd.concat(list(batches), ignore_index=True)
             keys = pdf[["sig", "x", "y"]].to_numpy()

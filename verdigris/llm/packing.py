@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import modest_batches
+from .shared import lean, modest_batches
 from .wordbpe import encoded
 
 
@@ -36,6 +36,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, longest: i
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, ids, bounds in encoded(batch.column(1), vocabulary, end_id, plain):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +77,39 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run, for a task's batches or for one group, and give_back() after it: Spark keeps Python workers for later tasks,
+    and what they have freed but not given back stands beside the heap of their executor.
+    """
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def each(given):
+            try:
+                yield from run(given)
+            finally:
+                give_back()
+
+        return each
+
+    @functools.wraps(run)
+    def once(given):
+        try:
+            return run(given)
+        finally:
+            give_back()
+
+    return once
+
+
 #: Keys that each hold more than this part of all rows are met by broadcast: fewer keys than this.
 HOT_KEYS = 1024
 

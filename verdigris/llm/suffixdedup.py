@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Hasher, chunks, mix
 from .rindex import RunIndex
-from .shared import drop, modest_batches, with_key_columns, written
+from .shared import drop, lean, modest_batches, with_key_columns, written
 
 GRAM = 12
 #: Windows of a dealt string at most; text bytes for each bucket; bytes of text cut at once.
@@ -237,6 +237,7 @@ class SuffixDedup:
         self.copies = written(self.spark, with_key_columns(sized, lead, ["digest"], "rows", sized.count(), "inner").where("id > lead").select("id").distinct(), "copies")
         drop(sized, lead)
 
+        @lean
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             press = zstandard.ZstdCompressor(level=3)
             for batch in batches:
@@ -255,6 +256,7 @@ class SuffixDedup:
                         blobs.append(_packed(ids[lo + row[a:b]], start[a:b], windows[a:b], anchor[a:b], strings, press))
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "strings"])
 
+        @lean
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
             parts = [_unpacked(b) for b in pdf["strings"]]
             return pd.DataFrame(dict(zip(("id", "begin", "end"), removals(*(np.concatenate(x) for x in zip(*parts)), long))))
@@ -277,6 +279,7 @@ class SuffixDedup:
         by_doc = self._by_document().select(F.col("id").alias(own_id), F.col("spans").alias(own_spans))
         text_at, columns = docs.columns.index(text_col), len(docs.columns)
 
+        @lean
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi, data, offsets in chunks(batch.column(text_at)):
@@ -297,6 +300,7 @@ class SuffixDedup:
         """(id, n_bytes, n_removed, n_spans, kept): one row per row of docs; kept has the remaining bytes."""
         by_doc = self._by_document()
 
+        @lean
         def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi, data, offsets in chunks(batch.column(1)):

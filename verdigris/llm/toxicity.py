@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import SLICE_ROWS, Hasher, chunks, mix, shingle_hashes, words
-from .shared import drop, modest_batches, written
+from .shared import drop, lean, modest_batches, written
 
 DECAY, PAIR_GAP, TRIPLE_SPAN = 0.6, 3, 5
 SLOTS = 1 << 20
@@ -245,6 +245,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     ids = ids.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(params.train_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id")
 
+    @lean
     def to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             families = np.zeros(batch.num_rows, dtype=np.int64)
@@ -283,6 +284,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.float32), 0.0, np.array([0.0, 0.0, -30.0]))
     model = ToxicityModel(*train_words(good, bad, params), np.zeros(3))
 
+    @lean
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = WordScorer(model.slots, model.checks, model.weights, model.bias)
         for pdf in batches:
@@ -302,6 +304,7 @@ def held_out(doc_id):
 
 
 def _features(texts: DataFrame, model: ToxicityModel) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = WordScorer(model.slots, model.checks, model.weights, model.bias)
         for batch in batches:
@@ -317,6 +320,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     Null and empty texts have the score of a text without telling words. Repeated rows score alike; other columns are left out.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = WordScorer(model.slots, model.checks, model.weights, model.bias)
         for batch in batches:
@@ -331,6 +335,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     """The rows whose text isn't predicted toxic, all columns as they were. Only texts go to Python, and only flags back."""
 
     @F.arrow_udf("boolean")
+    @lean
     def toxic(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = WordScorer(model.slots, model.checks, model.weights, model.bias)
         for part in parts:
