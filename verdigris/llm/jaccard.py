@@ -269,7 +269,8 @@ class NgramJaccard:
                     yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())], names=["id", "elements"])
 
         @lean
-        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(list(batches), ignore_index=True)
             out = []
             for _, group in pdf.groupby(["probe", "cut"], sort=False).indices.items():
                 asks = pdf["asks"].to_numpy(dtype=bool)[group]
@@ -277,7 +278,7 @@ class NgramJaccard:
                 names = list(dict.fromkeys(sorted(zip(ids, raw, ~asks), key=lambda x: x[2])))  # the partner comes first
                 tree = PrefixTree([np.frombuffer(x, dtype=np.uint64) for _, x, _ in names])
                 out += [(names[i][0], names[j][0], n) for i, j, n in tree.spanning([i for i, x in enumerate(names) if not x[2]], t)]
-            return pd.DataFrame(out, columns=["a", "b", "overlap"])
+            yield pd.DataFrame(out, columns=["a", "b", "overlap"])
 
         held = texts.mapInArrow(to_sets, "id long, elements binary").join(wanted.drop("bytes"), "id")
         deal = max(1, -(-(wanted.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -86,28 +85,18 @@ def give_back() -> None:
 
 
 def lean(run: Callable) -> Callable:
-    """run, for a task's batches or for one group, and give_back() after it: Spark keeps Python workers for later tasks,
-    and what they have freed but not given back stands beside the heap of their executor.
+    """run, a generator over a task's or a group's batches, and give_back() after it: Spark keeps Python workers for later
+    tasks, and what they have freed but not given back stands beside the heap of their executor.
     """
-    if inspect.isgeneratorfunction(run):
-
-        @functools.wraps(run)
-        def each(given):
-            try:
-                yield from run(given)
-            finally:
-                give_back()
-
-        return each
 
     @functools.wraps(run)
-    def once(given):
+    def each(batches):
         try:
-            return run(given)
+            yield from run(batches)
         finally:
             give_back()
 
-    return once
+    return each
 
 
 #: Keys that each hold more than this part of all rows are met by broadcast: fewer keys than this.

@@ -257,9 +257,9 @@ class SuffixDedup:
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "strings"])
 
         @lean
-        def search(pdf: pd.DataFrame) -> pd.DataFrame:
-            parts = [_unpacked(b) for b in pdf["strings"]]
-            return pd.DataFrame(dict(zip(("id", "begin", "end"), removals(*(np.concatenate(x) for x in zip(*parts)), long))))
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [_unpacked(b) for pdf in batches for b in pdf["strings"]]
+            yield pd.DataFrame(dict(zip(("id", "begin", "end"), removals(*(np.concatenate(x) for x in zip(*parts)), long))))
 
         texts = self._with(self.copies, "left_anti").where(F.col("id").isNotNull() & (F.octet_length("text") >= long))
         return texts.mapInArrow(cut, "bucket long, strings binary").groupBy("bucket").applyInPandas(search, "id long, begin long, end long")
